@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, quality
+from . import bpe, decontaminate, licenses, quality, tokencount
 from .common import table
 
 
@@ -19,12 +19,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
+
+
+def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.recount(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_quality, op10_licenses)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_quality, op7_bpe, op9_tokencount, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
