@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, quality, tokencount
+from . import bpe, decontaminate, licenses, ngram, quality, tokencount
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.components_of(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,7 +36,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_quality, op7_bpe, op9_tokencount, op10_licenses)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_quality, op7_bpe, op9_tokencount, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -138,7 +138,7 @@ class Words:
         """Code of the k words from each place on; wrong where they would leave the batch's words."""
         h, n = self.hash, len(self)
         out = np.zeros(n, np.uint64)
-        for j in range(k):
+        for j in range(min(k, n)):
             out[: n - j] += h[j:] * _PLACE_CODE[j]
         return mix(out + _U(k))
 
