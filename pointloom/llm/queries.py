@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, ngram, quality, tokencount
+from . import bpe, decontaminate, licenses, ngram, quality, secrets, tokencount
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.recount(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
@@ -36,7 +41,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_quality, op7_bpe, op9_tokencount, op10_licenses)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_quality, op7_bpe, op8_secrets, op9_tokencount, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
