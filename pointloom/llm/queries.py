@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, ngram, pii, quality, secrets, tokencount
+from . import bpe, decontaminate, licenses, ngram, pii, quality, secrets, tokencount, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_quality, op6_pii, op7_bpe, op8_secrets, op9_tokencount, op10_licenses)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_quality, op5_warc, op6_pii, op7_bpe, op8_secrets, op9_tokencount, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
