@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, ngram, pii, quality, secrets, tokencount, warc
+from . import bpe, decontaminate, licenses, ngram, pii, quality, secrets, suffixes, tokencount, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_quality, op5_warc, op6_pii, op7_bpe, op8_secrets, op9_tokencount, op10_licenses)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_suffix_dedup, op4_quality, op5_warc, op6_pii, op7_bpe, op8_secrets, op9_tokencount, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
