@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once for each application, wherever the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp()) / "pointloom-package.zip"  # read by the driver alone, which serves it
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text alone, as doc_id and text: other columns, whatever their names, never meet ours."""
+    ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, shared_dir
+from .common import kept, shared_dir, ship
 
 FAN_IN = 64
 #: Lines of a run between two entries of its list of places.
@@ -233,6 +233,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes the archives and runs to the folder; one row per run."""
+    ship(pages.sparkSession)
     _make(folder)
     one = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     firsts = one.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("of"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
