@@ -52,3 +52,15 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pointloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids that are sent to all executors beside documents, at most; with more, both sides are shuffled.
+SENT = 400_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is among ids, a table of one column; rows without id stay."""
+    ids = ids.toDF("_gone").where("_gone is not null").distinct()
+    if ids.count() <= SENT:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")

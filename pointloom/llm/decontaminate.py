@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import narrow
+from .common import kept, narrow, without
 
 WINDOW = 13
 SHINGLE = 3
@@ -193,3 +193,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: words, hit words, items found, and whether at least a twentieth of the words are hit."""
     found = match(docs, benchmark, id_col, text_col, item_col, item_text_col)
     return found.mapInArrow(_judged, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, with all columns, without the contaminated; an id goes if one of its rows is."""
+    judged = judge(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return without(docs, kept(judged.where("contaminated").select("doc_id"), "contaminated"), id_col)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkit as tk
-from .common import narrow
+from .common import narrow, ship
 
 KINDS = ("email", "ip", "card", "phone", "ident", "account")
 SAMPLES = 6000
@@ -349,4 +349,5 @@ def scan(docs: DataFrame, model: Boosted | None = None, id_col: str = "doc_id",
 
 def redact(docs: DataFrame, model: Boosted | None = None, text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, with personal data in the text replaced."""
-    return docs.select("*").mapInArrow(_redactor(model or trained(), text_col), docs.schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_redactor(model or trained(), text_col), docs.schema)

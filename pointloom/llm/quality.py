@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import narrow
+from .common import narrow, ship
 
 #: Labelled documents of either label that the field is fitted on, at most.
 SAMPLE_DOCS = 1500
@@ -265,3 +265,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its counts, its content share and the verdict."""
     return narrow(docs, id_col, text_col).mapInArrow(_scored(field), SCHEMA)
+
+
+def _passing(field: Field | None, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            m = Measured(texts)
+            content = viterbi(m.features, m.line_first, field)
+            share = _per_doc(m.line_bytes * content, m.line_first) / np.maximum(_per_doc(m.line_bytes, m.line_first), 1)
+            failed = (m.n_words < 50) | (100 * m.n_repeat_words > 50 * m.n_words)
+            return rows.filter(pa.array(~failed & (share >= MIN_CONTENT)))
+
+        return tk.by_parts(batches, text_col, one)
+
+    return run
+
+
+def passing(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
+    """The rows of documents that the rules keep, with all their columns."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_passing(field, text_col), docs.schema)
