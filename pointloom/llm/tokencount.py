@@ -1,7 +1,7 @@
 """Token counts that follow edits: a segment tree of pre-tokens per document.
 
-The leaves of a document's tree are short runs of pre-tokens, each with its text, the ends of its pre-tokens and
-their token counts; inner nodes hold sums of characters and tokens.  An edit walks down by characters, re-encodes
+The leaves of a document's tree are short runs of pre-tokens, each with its text, and the sizes and token
+counts of its pre-tokens; inner nodes hold sums of characters and tokens.  An edit walks down by characters, re-encodes
 from the last pre-token boundary that lies at least the boundary context before the edit, and stops at the first
 boundary behind the edit that the old text had too; all beyond keeps its counts.  Sums on the paths above the
 changed leaves are then brought up to date.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,10 +35,14 @@ Edit = tuple[int, int, str]
 
 
 class Leaf:
-    __slots__ = ("counts", "ends", "text")
+    __slots__ = ("counts", "sizes", "text")
 
-    def __init__(self, text: str, ends: list[int], counts: list[int]):
-        self.text, self.ends, self.counts = text, ends, counts
+    def __init__(self, text: str, sizes: list[int], counts: list[int]):
+        self.text, self.sizes, self.counts = text, sizes, counts
+
+    @property
+    def ends(self) -> list[int]:
+        return list(accumulate(self.sizes))
 
 
 class TokenTree:
@@ -60,25 +65,33 @@ class TokenTree:
 
     @property
     def n_pretokens(self) -> int:
-        return sum(len(x.ends) for x in self.leaves)
+        return sum(len(x.sizes) for x in self.leaves)
 
     def text(self) -> str:
         return "".join(x.text for x in self.leaves)
 
     def _counted(self, text: str) -> tuple[list[int], list[int]]:
-        model, ends, counts = self.model, [], []
-        for start, end, added in model.pre_tokens(text):
-            ends.append(end)
-            counts.append(1 if added >= 0 else len(model.ids(text[start:end])) // 4)
-        return ends, counts
+        """Characters and tokens of each pre-token."""
+        model, at, sizes, counts = self.model, 0, [], []
+        known, ids = model.known, model.ids
+        for special in [*(model.split.finditer(text) if model.split else ()), None]:
+            pieces = model.pattern.findall(text, at, special.start() if special else len(text))
+            sizes += map(len, pieces)
+            counts += [len(known.get(p) or ids(p)) >> 2 for p in pieces]
+            if special:
+                sizes.append(len(special[0]))
+                counts.append(1)
+                at = special.end()
+        return sizes, counts
 
     @staticmethod
-    def _leaves(text: str, ends: list[int], counts: list[int]) -> list[Leaf]:
+    def _leaves(text: str, sizes: list[int], counts: list[int]) -> list[Leaf]:
         out, at = [], 0
-        for i in range(0, len(ends), LEAF):
-            own = ends[i : i + LEAF]
-            out.append(Leaf(text[at : own[-1]], [e - at for e in own], counts[i : i + LEAF]))
-            at = own[-1]
+        for i in range(0, len(sizes), LEAF):
+            own = sizes[i : i + LEAF]
+            end = at + sum(own)
+            out.append(Leaf(text[at:end], own, counts[i : i + LEAF]))
+            at = end
         return out
 
     def _build(self) -> None:
@@ -120,7 +133,7 @@ class TokenTree:
         first, first_at = self._find(max(0, start - self.context))
         head = self.leaves[first]
         keep = bisect_right(head.ends, max(0, start - self.context) - first_at)  # pre-tokens before the context
-        back = first_at + (head.ends[keep - 1] if keep else 0)
+        back = first_at + sum(head.sizes[:keep])
         last, last_at = self._find(max(end, start))
         stop = last_at + len(self.leaves[last].text)
         while True:
@@ -144,8 +157,8 @@ class TokenTree:
             k = bisect_right(boundaries, synced - moved)
             tail_ends = [b + moved for b in boundaries[k:]]
             tail_counts = flat_counts[k:]
-        own = [*head.ends[:keep], *(back - first_at + e for e in ends), *(back - first_at + e for e in tail_ends)]
-        fresh = self._leaves(head.text[: back - first_at] + text, own, [*head.counts[:keep], *counts, *tail_counts])
+        own = [b - a for a, b in pairwise([0, *ends, *tail_ends])]
+        fresh = self._leaves(head.text[: back - first_at] + text, head.sizes[:keep] + own, [*head.counts[:keep], *counts, *tail_counts])
         same = len(fresh) == last + 1 - first
         self.leaves[first : last + 1] = fresh
         if not same:
