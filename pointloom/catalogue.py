@@ -1,15 +1,23 @@
-"""The named queries of the grid engine."""
+"""The named queries of the grid engine and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .operators import classify
+from .plans import grid, labels, objects, registry, scans  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map folded from all scans, classified, and counted by level and flag."""
+    judged = classify.classify(grid.wide_cells(registry.Tables(spark, sf_dir)), grid.GROUND)
+    return judged.groupBy("level", "obstacle_flag").agg(F.count("*").alias("cells"), F.round(F.avg("traversability"), 6).alias("traversability"))
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)

@@ -1,0 +1,227 @@
+"""Tracks of moving objects over the frames of a sensor: stateful, so in Python, one group per sensor.
+
+Only detections enter, a few boxes a frame, never raw points.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..runtime import ship
+
+
+def assign(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost, by shortest augmenting paths; rows are matched in turn."""
+    if not cost.size:
+        return []
+    flip = cost.shape[0] > cost.shape[1]
+    c = cost.T if flip else cost
+    n, m = c.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], j = i, 0
+        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[j]:
+            used[j] = True
+            gap = c[owner[j] - 1] - u[owner[j]] - v[1:]
+            better = ~used[1:] & (gap < least[1:])
+            least[1:][better], back[1:][better] = gap[better], j
+            step = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
+            delta = least[step]
+            u[owner[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j = step
+        while j:
+            owner[j], j = owner[back[j]], back[j]
+    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+    return sorted((b, a) if flip else (a, b) for a, b in pairs)
+
+
+@dataclass
+class MoverRules:
+    # Gates and thresholds of movers, in metres, metres a second and frames.
+    dt: float = 0.1
+    min_speed: float = 1.0
+    min_shift: float = 0.8
+    confirm: int = 3
+    window: int = 10
+    oldest: int = 5
+    vacate_cell: float = 0.5
+    most_occupied: float = 0.25
+    least_vacated: int = 2
+    misses: int = 3
+    size_change: float = 1.0
+
+
+@dataclass
+class _Mover:
+    number: int
+    x: float
+    y: float
+    size: tuple[float, float]
+    vx: float = 0.0
+    vy: float = 0.0
+    hits: int = 1
+    missed: int = 0
+    streak: int = 0
+    confirmed: bool = False
+    past: list = field(default_factory=list)
+
+
+def _cells(box: tuple[float, float, float, float], cell: float) -> set[tuple[int, int]]:
+    lo_x, hi_x, lo_y, hi_y = (math.floor(b / cell) for b in box)
+    return {(a, b) for a in range(lo_x, hi_x + 1) for b in range(lo_y, hi_y + 1)}
+
+
+def _shift(old, new) -> float:
+    axis = [min(abs(new[i] - old[i]), abs(new[i + 1] - old[i + 1])) if (new[i] - old[i]) * (new[i + 1] - old[i + 1]) > 0 else 0.0 for i in (0, 2)]
+    return math.hypot(*axis)
+
+
+class MoverTracker:
+    """Tells movers from things that only look different from elsewhere: a mover's whole footprint shifts, at speed, and
+    leaves cells behind that are then empty, in several frames."""
+
+    def __init__(self, rules: MoverRules | None = None):
+        self.rules, self.tracks, self.next = rules or MoverRules(), [], 1
+
+    def update(self, frame: int, detections: list[tuple[float, float, float, float]]) -> list[dict]:
+        """detections: (centre x, centre y, size x, size y); the confirmed movers that were seen in this frame."""
+        r = self.rules
+        for t in self.tracks:
+            t.x, t.y = t.x + t.vx * r.dt, t.y + t.vy * r.dt
+        boxes = [(x - w / 2, x + w / 2, y - h / 2, y + h / 2) for x, y, w, h in detections]
+        occupied = set().union(*(_cells(b, r.vacate_cell) for b in boxes)) if boxes else set()
+        cost = np.full((len(self.tracks), len(detections)), 1e6)
+        for i, t in enumerate(self.tracks):
+            for j, (x, y, w, h) in enumerate(detections):
+                d = math.hypot(x - t.x, y - t.y)
+                if d <= 1 + 0.5 * max(w, h):
+                    cost[i, j] = d
+        pairs = [(i, j) for i, j in assign(cost) if cost[i, j] < 1e6]
+        for i, j in pairs:
+            t, (x, y, w, h) = self.tracks[i], detections[j]
+            px, py = t.x - t.vx * r.dt, t.y - t.vy * r.dt
+            gone = (t.missed + 1) * r.dt
+            px, py = (px, py) if not t.missed else (t.past[-1][1], t.past[-1][2])
+            vx, vy = (x - px) / gone, (y - py) / gone
+            t.vx, t.vy = (vx, vy) if t.hits == 1 else (0.6 * t.vx + 0.4 * vx, 0.6 * t.vy + 0.4 * vy)
+            steady = abs(w - t.size[0]) <= r.size_change and abs(h - t.size[1]) <= r.size_change
+            t.x, t.y, t.size, t.hits, t.missed = x, y, (w, h), t.hits + 1, 0
+            t.past = [p for p in t.past if frame - p[0] <= r.window]
+            moved = False
+            if t.past and frame - t.past[0][0] >= r.oldest:
+                old = t.past[0]
+                left = _cells(old[3], r.vacate_cell) - _cells(boxes[j], r.vacate_cell)
+                free = len(left) >= r.least_vacated and len(left & occupied) <= r.most_occupied * len(left)
+                moved = steady and free and _shift(old[3], boxes[j]) >= r.min_shift and math.hypot(t.vx, t.vy) >= r.min_speed
+            t.streak = t.streak + 1 if moved else 0
+            t.confirmed = t.confirmed and math.hypot(t.vx, t.vy) >= r.min_speed / 2 or t.streak >= r.confirm
+            t.past.append((frame, x, y, boxes[j]))
+        matched_t, matched_d = {i for i, _ in pairs}, {j for _, j in pairs}
+        for i, t in enumerate(self.tracks):
+            if i not in matched_t:
+                t.missed += 1
+        self.tracks = [t for t in self.tracks if t.missed <= r.misses]
+        for j, (x, y, w, h) in enumerate(detections):
+            if j not in matched_d:
+                self.tracks.append(_Mover(self.next, x, y, (w, h), past=[(frame, x, y, boxes[j])]))
+                self.next += 1
+        return [{"track_id": t.number, "cx": t.x, "cy": t.y, "vx": t.vx, "vy": t.vy, "speed": math.hypot(t.vx, t.vy)} for t in self.tracks if t.confirmed and not t.missed]
+
+
+class _Kalman:
+    """Constant velocity of the centre, constant size: state (x, y, w, h, vx, vy), measured (x, y, w, h)."""
+
+    TURN = np.eye(6)
+    TURN[0, 4] = TURN[1, 5] = 0.1
+    SEEN = np.eye(4, 6)
+    NOISE = np.diag([0.01, 0.01, 0.01, 0.01, 0.1, 0.1])
+    ERROR = np.diag([0.05, 0.05, 0.1, 0.1])
+
+    def __init__(self, number: int, box):
+        self.number, self.x = number, np.array([*box, 0.0, 0.0])
+        self.p = np.diag([1.0, 1.0, 1.0, 1.0, 100.0, 100.0])
+        self.since, self.streak = 0, 0
+
+    def predict(self) -> None:
+        self.x = self.TURN @ self.x
+        self.p = self.TURN @ self.p @ self.TURN.T + self.NOISE
+        if self.since:
+            self.streak = 0
+        self.since += 1
+
+    def update(self, box) -> None:
+        gain = self.p @ self.SEEN.T @ np.linalg.inv(self.SEEN @ self.p @ self.SEEN.T + self.ERROR)
+        self.x = self.x + gain @ (np.array(box) - self.SEEN @ self.x)
+        self.p = (np.eye(6) - gain @ self.SEEN) @ self.p
+        self.since, self.streak = 0, self.streak + 1
+
+
+class SortTracker:
+    """Kalman tracks matched by overlap, or by distance where boxes don't meet."""
+
+    def __init__(self, max_age: int = 3, min_hits: int = 2, reach: float = 2.5):
+        self.max_age, self.min_hits, self.reach = max_age, min_hits, reach
+        self.tracks, self.frames, self.next = [], 0, 1
+
+    @staticmethod
+    def _iou(a, b) -> float:
+        side = [max(0.0, min(a[i] + a[i + 2] / 2, b[i] + b[i + 2] / 2) - max(a[i] - a[i + 2] / 2, b[i] - b[i + 2] / 2)) for i in (0, 1)]
+        both = side[0] * side[1]
+        union = a[2] * a[3] + b[2] * b[3] - both
+        return both / union if union > 0 else 0.0
+
+    def update(self, detections: list[tuple[float, float, float, float]]) -> list[dict]:
+        self.frames += 1
+        for t in self.tracks:
+            t.predict()
+        cost = np.full((len(detections), len(self.tracks)), 3.0)
+        for i, d in enumerate(detections):
+            for j, t in enumerate(self.tracks):
+                over, far = self._iou(d, t.x), math.hypot(d[0] - t.x[0], d[1] - t.x[1])
+                cost[i, j] = 1 - over if over > 0 else 1 + far / self.reach if far <= self.reach else 3.0
+        pairs = [(i, j) for i, j in assign(cost) if cost[i, j] < 2]
+        for i, j in pairs:
+            self.tracks[j].update(detections[i])
+        for i in sorted(set(range(len(detections))) - {i for i, _ in pairs}):
+            self.tracks.append(_Kalman(self.next, detections[i]))
+            self.next += 1
+        out = [{"track_id": t.number, "cx": t.x[0], "cy": t.x[1], "dx": t.x[2], "dy": t.x[3], "vx": t.x[4], "vy": t.x[5]} for t in self.tracks if not t.since and (t.streak >= self.min_hits or self.frames <= 2)]
+        self.tracks = [t for t in self.tracks if t.since <= self.max_age]
+        return out
+
+
+def _frames(pdf: pd.DataFrame):
+    for frame, own in pdf.sort_values(["frame_ts", "det_id"]).groupby("frame_ts", sort=True):
+        yield int(frame), [tuple(x) for x in own[["cx", "cy", "dx", "dy"]].to_numpy(float)]
+
+
+def movers(detections: DataFrame, rules: MoverRules | None = None) -> DataFrame:
+    """Confirmed movers by frame, from detections (sensor_id, frame_ts, det_id, cx, cy, dx, dy)."""
+    ship(detections.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracker, sensor = MoverTracker(rules), pdf.sensor_id.iloc[0]
+        rows = [{"sensor_id": sensor, "frame_ts": f, **m} for f, d in _frames(pdf) for m in tracker.update(f, d)]
+        return pd.DataFrame(rows, columns=["sensor_id", "frame_ts", "track_id", "cx", "cy", "vx", "vy", "speed"])
+
+    return detections.groupBy("sensor_id").applyInPandas(run, "sensor_id long, frame_ts int, track_id long, cx double, cy double, vx double, vy double, speed double")
+
+
+def sort_tracks(detections: DataFrame) -> DataFrame:
+    """Boxes with persistent ids by frame."""
+    ship(detections.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracker, sensor = SortTracker(), pdf.sensor_id.iloc[0]
+        rows = [{"sensor_id": sensor, "frame_ts": f, **m} for f, d in _frames(pdf) for m in tracker.update(d)]
+        return pd.DataFrame(rows, columns=["sensor_id", "frame_ts", "track_id", "cx", "cy", "dx", "dy", "vx", "vy"])
+
+    return detections.groupBy("sensor_id").applyInPandas(run, "sensor_id long, frame_ts int, track_id long, cx double, cy double, dx double, dy double, vx double, vy double")
