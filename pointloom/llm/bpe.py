@@ -36,7 +36,7 @@ from .common import narrow
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of the tables of known pre-tokens and of known pairs; a full table is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Longest pre-token, in characters, that is remembered.
 SHORT = 40
 #: Bytes fed at a time from a long pre-token.
@@ -78,6 +78,8 @@ class Model:
         for rank, m in enumerate(spec["model"]["merges"]):
             x, y = (to_bytes(s) for s in (m if isinstance(m, list) else m.split(" ")))
             self.merges[vocab[x], vocab[y]] = (rank, vocab[x + y])
+        #: How a token is made: rank, left and right part.
+        self.made = {token: (rank, x, y) for (x, y), (rank, token) in self.merges.items()}
         self.longest = max(map(len, vocab))
         self.lookahead = self.sufficient_lookahead()
         self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -102,7 +104,7 @@ class Model:
         return most + self.longest
 
     def merged(self, parts: list[int]) -> list[int]:
-        """The merges themselves, lowest rank first, leftmost first; only ever used on two tokens' bytes."""
+        """The merges themselves, lowest rank first, leftmost first; only used on the bytes of single tokens."""
         merges = self.merges
         while len(parts) > 1:
             best = min(((merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in merges), default=None)
@@ -112,13 +114,32 @@ class Model:
             parts[i : i + 2] = [merges[parts[i], parts[i + 1]][1]]
         return parts
 
+    def parted(self, x: int, y: int) -> bool:
+        """Whether no merge crosses the border of two tokens that stand next to each other.
+
+        Seen backwards in time: of the tokens at the border the one made last is undone, and each pair that stood there
+        must not have a merge of a rank before both were used up.  Of equal ranks the leftmost merge comes first.
+        """
+        merges, made = self.merges, self.made
+        x_used = y_used = len(merges)
+        while True:
+            cross = merges.get((x, y))
+            if cross is not None and cross[0] < x_used and cross[0] <= y_used:
+                return False
+            a, b = made.get(x), made.get(y)
+            if a is not None and (b is None or a[0] > b[0]):
+                x_used, x = a[0], a[2]
+            elif b is not None:
+                y_used, y = b[0], b[1]
+            else:
+                return True
+
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together; left -1: none."""
         pair = left, right
         got = self.known_pairs.get(pair)
         if got is None:
-            whole = (self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[right]
-            got = self.merged([self.of_byte[b] for b in whole]) == ([left, right] if left >= 0 else [right])
+            got = self.parted(left, right) if left >= 0 else self.merged([self.of_byte[b] for b in self.bytes_of[right]]) == [right]
             if len(self.known_pairs) >= REMEMBERED:
                 self.known_pairs.clear()
             self.known_pairs[pair] = got
@@ -140,10 +161,13 @@ class Model:
         """Ids of one pre-token, as little-endian 32-bit integers."""
         got = self.known.get(piece)
         if got is None:
-            t = Transducer(self)
             raw = piece.encode()
-            out = [x for at in range(0, len(raw), FED) for x in t.feed(raw[at : at + FED])]
-            out += t.end()
+            if len(raw) <= self.lookahead:
+                out = self.whole(raw.decode("latin-1"))
+            else:
+                t = Transducer(self)
+                out = [x for at in range(0, len(raw), FED) for x in t.feed(raw[at : at + FED])]
+                out += t.end()
             got = struct.pack(f"<{len(out)}I", *out)
             if len(piece) <= SHORT:
                 if len(self.known) >= REMEMBERED:
@@ -151,6 +175,25 @@ class Model:
                 self.known[piece] = got
         return got
 
+    def whole(self, held: str) -> list[int]:
+        """The transducer's steps on a pre-token that ends within the lookahead, so that nothing is final before."""
+        n = len(held)
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        known = self.known_pairs.get
+        for end, (token, k) in self.automaton.iter(held):
+            end += 1
+            if not size[end]:
+                left = last[end - k]
+                fits = known((left, token))
+                if fits or fits is None and self.stable(left, token):
+                    last[end], size[end] = token, k
+        out = []
+        while n:
+            out.append(last[n])
+            n -= size[n]
+        out.reverse()
+        return out
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit integers."""
         known, ids, out = self.known, self.ids, []

@@ -47,6 +47,16 @@ def test_encode_and_decode(model, library):
         assert "".join(model.decode(ids.astype("<u4").tobytes())) == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_borders(model):
+    rng = random.Random(5)
+    for _ in range(4000):
+        x, y = (rng.choice((rng.randrange(256), rng.randrange(3000), rng.randrange(50000))) for _ in range(2))
+        if not (model.stable(-1, x) and model.stable(-1, y)):
+            continue
+        whole = model.bytes_of[x] + model.bytes_of[y]
+        assert model.parted(x, y) == (model.merged([model.of_byte[b] for b in whole]) == [x, y])
+
+
 def test_transducer_is_bounded_and_final(model, library):
     rng = random.Random(7)
     for t in ("a" * 5000, "ab" * 3000, "-" * 4001, "the" * 2000, "".join(rng.choice("etaoinshr") for _ in range(6000)), "".join(rng.choice("=-_*") for _ in range(5000))):
