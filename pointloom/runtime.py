@@ -10,10 +10,17 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Batches that go to Python: the setting, Spark's value, and ours where the session has left it at that.  Long texts
+#: make batches of ten thousand rows large, and each is held several times over on its way.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
+
 
 def ship(spark: SparkSession) -> None:
     """Sends the package's modules to the executors, once for each application, wherever the driver runs."""
     context = spark.sparkContext
+    for key, (given, ours) in BATCHES.items():
+        if spark.conf.get(key, given) == given:
+            spark.conf.set(key, ours)
     if context.applicationId in _sent:
         return
     home = Path(__file__).resolve().parent
