@@ -2,54 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_dir, ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once for each application, wherever the driver runs."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    home = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp()) / "pointloom-package.zip"  # read by the driver alone, which serves it
-    with zipfile.ZipFile(target, "w") as z:
-        for file in sorted(home.rglob("*.py")):
-            z.write(file, file.relative_to(home.parent))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
-
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and the text alone, as doc_id and text: other columns, whatever their names, never meet ours."""
     ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        given = "file:///tmp/pointloom-shared"
-    return given.rstrip("/")
+_made: list[str] = []
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pointloom-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,3 +42,10 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     if ids.count() <= SENT:
         ids = F.broadcast(ids)
     return docs.join(ids, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application; results that read them must have been used by then."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
