@@ -36,7 +36,7 @@ def scene(spark: SparkSession, boxes: DataFrame, frames: int, dt: float = 0.1, d
     """Returns from the faces of boxes that are turned to a sensor at the origin: density falls with the distance, rays
     above or below the field of view are lost, and nearer boxes hide farther ones of the same azimuth."""
     clock = spark.range(1, frames + 1).select(F.col("id").cast("int").alias("frame_ts"))
-    placed = at_time(clock.join(F.broadcast(boxes), F.lit(True)), (F.col("frame_ts") - 1) * dt)  # a scene of some tens of boxes
+    placed = at_time(clock.join(boxes, F.lit(True)), (F.col("frame_ts") - 1) * dt)  # every frame shows every box
     faces = placed.withColumn("side", F.explode(F.array(*map(F.lit, (-1, 1))))).withColumn("axis", F.explode(F.array(F.lit("x"), F.lit("y"))))
     half = F.when(F.col("axis") == "x", F.col("sx")).otherwise(F.col("sy")) / 2
     centre = F.when(F.col("axis") == "x", F.col("cx")).otherwise(F.col("cy"))
