@@ -65,7 +65,6 @@ class Automaton:
         self.sorted_codes = self.codes[self.code_order]
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length, self.ends = [-1], [0], [set()]
-        at = 0
         for t, body in enumerate(self.bodies):
             last = 0
             for i, x in enumerate(body):
@@ -74,7 +73,6 @@ class Automaton:
             if self.link[state] > 0:
                 self.ends[self.link[state]] |= self.ends[state]
         self.ends = [sorted(x) for x in self.ends]
-        del at
 
     def _state(self, length: int, link: int, step: dict[int, int]) -> int:
         self.step.append(step)
