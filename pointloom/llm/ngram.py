@@ -4,16 +4,18 @@ A document's set holds the codes of its distinct 5-word shingles.  All sets are
 corpus holds often come last, the others by their code.  Two sets with a Jaccard similarity of t or more share a
 shingle among their first n - ceil(t * n) + 1, their prefixes.
 
-1. One pass counts shingles by a hash to ``COUNTERS`` counters; only how far a counter lies above the mean matters
-   to the order, so chance collisions cost time at most.
+1. One pass counts shingles in a table of counters of bounded size; only how far a counter lies above the mean
+   matters to the order, so chance collisions cost time at most.
 2. One pass makes each document's set.  Documents of equal prefix and size collapse into a group within the task,
    and the group's prefix goes, packed, to the task of its shingle.  There the groups that share a shingle form a
    list; pairs with sizes too far apart are filtered out.  In lists that are long within one task already only
    their first group is passed on, so a shingle of very many documents fills no task.
-3. Group pairs are expanded to members and verified with whole sets, in two steps, so that a group of m near copies
-   takes about m verifications, not m * m.  First each document is verified against one pivot of each list.  Then
-   lists whose documents are all in one component are done, as no further link can change the result; for the
-   others, all pairs across components of sizes close enough are verified.
+3. Group pairs are expanded to members, filtered by what their prefixes allow, and verified with whole sets, so
+   that a group of m near copies takes about m verifications, not m * m.  First each document is verified against
+   one pivot of each list.  Then lists whose documents are all in one component are done, as no further link can
+   change the result.  In the others, shingles that a document of these lists has alone bound what it can share, which
+   takes out most of the rim of a large group.  Where very many pairs across components are left, other pivots have their turn, and lists
+   that this completes are done as well.  All pairs that are left then, of sizes close enough, are verified.
 
 Exact copies are one class throughout: equal sets have equal 128-bit digests, and links between classes are links
 between all their documents.
@@ -29,17 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import kept, narrow
+from .common import kept, narrow, without
 from .graph import components
 
 N = 5
 #: Similarity of a link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-COUNTERS = 1 << 18
+#: Counters of shingles, as powers of two: at least, at most (one byte each to every executor).
+COUNTERS = (16, 24)
+SLICE = 1 << 15
 #: A list longer than this within one task is taken apart there.
 LONG = 32
 #: Prefix entries in a bucket, about; there are as many buckets as that needs.
@@ -48,6 +52,12 @@ BUCKET = 1 << 19
 HELD = 1 << 21
 #: Documents verified against a pivot in one group.
 CHUNK = 64
+#: Turns of pivots before the pairs that are left are all taken.
+TURNS = 2
+#: Pairs across components, for each entry of a list, that are taken without more turns.
+FEW = 8
+#: Lists before a document's entry that its pairs are looked for in.
+SEEN = 16
 #: Requests for sets that are sent to all executors, at most (40 bytes each); with more, both sides are shuffled.
 SENT = 400_000
 
@@ -80,32 +90,74 @@ class Order:
     def __init__(self, levels: np.ndarray):
         self.levels = levels  # uint8, one for each counter
 
-    def first(self, codes: np.ndarray, k: int) -> np.ndarray:
-        level = self.levels[(codes & _U(COUNTERS - 1)).astype(np.int64)]
-        return codes[np.argsort(level, kind="stable")[:k]]  # codes are sorted
+    def first(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, int, int]:
+        """The first k codes, and the level and code of the last of them; codes are sorted."""
+        level = self.levels[(codes & _U(len(self.levels) - 1)).astype(np.int64)]
+        at = np.argsort(level, kind="stable")[:k]
+        return codes[at], int(level[at[-1]]), int(codes[at[-1]])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
+def _counts(counters: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.int32)
+
+        def one(_: pa.RecordBatch, texts: list[bytes | None]) -> None:
+            np.add.at(total, (np.concatenate(sets_of(texts)) & _U(counters - 1)).astype(np.int64), 1)
+
+        for _ in tk.by_parts(batches, "text", one):
+            pass
+        for at in range(0, counters, SLICE):
+            yield _slice(at, total[at : at + SLICE])
+
+    return run
+
 
-    def one(_: pa.RecordBatch, texts: list[bytes | None]) -> None:
-        for codes in sets_of(texts):
-            np.add.at(total, (codes & _U(COUNTERS - 1)).astype(np.int64), 1)
+_SLICES = "at int, n long, counts binary"
 
-    for _ in tk.by_parts(batches, "text", one):
-        pass
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["counter", "n"])
+
+def _slice(at: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "n": pa.array([int(counts.sum())], pa.int64()), "counts": pa.array([pa.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+
+def _unsliced(counts: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(counts, 8 * SLICE, "zstd", asbytes=True), np.uint8).reshape(8, SLICE).T).view("<i8").reshape(-1)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, total = None, np.zeros(0, np.int64)
+    for b in batches:
+        for at, counts in zip(b.column("at").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            if at != now:
+                if now is not None:
+                    yield _slice(now, total)
+                now, total = at, np.zeros(SLICE, np.int64)
+            total += _unsliced(counts)
+    if now is not None:
+        yield _slice(now, total)
 
 
 def order_of(docs: DataFrame) -> tuple[Order, int]:
-    """The order, and the number of shingles of all sets.  The driver gets COUNTERS counts, however large docs is."""
-    got = docs.select("text").mapInArrow(_counts, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(COUNTERS, np.int64)
-    count[got.column("counter").to_numpy()] = got.column("n").to_numpy()
-    mean = max(1.0, count.sum() / COUNTERS)
-    levels = np.floor(np.log2(np.maximum(count / mean, 1)))
-    return Order(np.where(levels >= 2, levels, 0).astype(np.uint8)), int(count.sum())
+    """The order, and the number of shingles of all sets.
+
+    The counters, at most 2 ** COUNTERS[1], follow the number of words as far as bytes tell it; they are added slice
+    by slice on the executors, and the driver gets a byte for each.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = 1 << min(COUNTERS[1], max(COUNTERS[0], (size // 64).bit_length()))
+    slices = docs.select("text").mapInArrow(_counts(counters), _SLICES)
+    summed = kept(slices.repartition("at").sortWithinPartitions("at").mapInArrow(_summed, _SLICES), "counts")
+    shingles = summed.agg(F.sum("n")).first()[0] or 0
+    mean = max(1.0, shingles / counters)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            above = [np.log2(np.maximum(_unsliced(c) / mean, 1)) for c in b.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array([np.where(x >= 0.7, np.minimum(2 * x, 255), 0).astype(np.uint8).tobytes() for x in above], pa.binary())], names=["at", "levels"])
+
+    out = np.zeros(counters, np.uint8)
+    for r in summed.mapInArrow(levels, "at int, levels binary").collect():
+        out[r.at : r.at + SLICE] = np.frombuffer(r.levels, np.uint8)
+    return Order(out), int(shingles)
 
 
 ROWS = "kind int, a long, b long, n int, d1 long, d2 long, bucket int, block binary"
@@ -178,7 +230,7 @@ class _Sender:
             rows.append((i, n, d1, d2))
             if not n or i is None:
                 continue
-            prefix = self.order.first(codes, prefix_size(n, self.percent))
+            prefix, _, _ = self.order.first(codes, prefix_size(n, self.percent))
             key = n, hashlib.blake2b(prefix.tobytes(), digest_size=16).digest()
             leader = self.groups.get(key)
             if leader is None:
@@ -230,9 +282,9 @@ def _listed(key: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> It
     yield _rows(LIST, len(key), a=key, b=doc, n=n)
 
 
-def _sent(order: Order, buckets: int, percent: int):
+def _sent(levels, buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, out = _Sender(order, buckets, percent), []
+        sender, out = _Sender(Order(levels.value), buckets, percent), []
 
         def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> None:
             out.extend(sender.take(rows.column(0).to_pylist(), sets_of(texts)))
@@ -288,35 +340,133 @@ def _joined(percent: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        keep = [rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "pivot", "salt", "role")]
-        return pa.RecordBatch.from_arrays([*keep, pa.array([s.tobytes() for s in sets_of(texts)], pa.binary())], names=["doc_id", "pivot", "salt", "role", "codes"])
+def _all_codes(buckets: int):
+    """All shingles of documents, dealt out to buckets; a shingle that a task has seen twice goes once, as shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            doc = np.repeat(np.array([i for i, _ in held], np.int64), [len(c) for _, c in held])
+            code = tk.mix(np.concatenate([c for _, c in held]))
+            held.clear()
+            bucket, shingle = (code & _U(buckets - 1)).astype(np.int64), (code >> _U(32)).astype(np.uint32)
+            order = np.lexsort((shingle, bucket))
+            doc, bucket, shingle = doc[order], bucket[order], shingle[order]
+            start, count = _runs((bucket << 32) | shingle.astype(np.int64))
+            doc, bucket, shingle, shared = doc[start], bucket[start], shingle[start], count > 1
+            start, count = _runs(bucket)
+            blocks = [_packed(shingle[a : a + k], doc[a : a + k], np.zeros(k, np.int32), shared[a : a + k]) for a, k in zip(start.tolist(), count.tolist(), strict=True)]
+            for at in range(0, len(blocks), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[start[at : at + 16]].astype(np.int32)), pa.array(blocks[at : at + 16], pa.binary())], names=["bucket", "block"])
+
+        def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            held.extend((i, c) for i, c in zip(rows.column(0).to_pylist(), sets_of(texts), strict=True) if len(c))
+            return rows
+
+        for _ in tk.by_parts(batches, "text", one):
+            if sum(len(c) for _, c in held) >= HELD:
+                yield from send()
+        if held:
+            yield from send()
+
+    return run
+
+
+def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, own): shingles of a bucket that one document has alone, counted by document."""
+
+    def of_bucket(blocks: list[bytes]) -> pa.RecordBatch:
+        shingle, doc, _, shared = (np.concatenate(x) for x in zip(*map(_unpacked, blocks), strict=True))
+        order = np.argsort(shingle, kind="stable")
+        start, count = _runs(shingle[order])
+        alone = order[start[(count == 1) & ~shared[order[start]]]]
+        of, own = np.unique(doc[alone], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(own.astype(np.int64))], names=["doc", "own"])
+
+    now, blocks = None, []
+    for b in batches:
+        for bucket, block in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True):
+            if bucket != now and blocks:
+                yield of_bucket(blocks)
+                blocks = []
+            now = bucket
+            blocks.append(block)
+    if blocks:
+        yield of_bucket(blocks)
 
-    return tk.by_parts(batches, "text", one)
 
+def _beside(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = kept(ids.toDF("id"), "ids")
+    if ids.count() <= SENT:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs.doc_id == F.col("id"), "left_semi")
 
-def _verified(percent: int):
+
+def shareable(docs: DataFrame, placed: DataFrame, unsure: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Lists with e, the shingles that a document has in common with any other of any list, without the documents that
+    these are too few of for every other of the list.  unsure: ids with several texts, which stay."""
+    codes = _beside(docs, placed.select("doc").distinct()).select("doc_id", "text").mapInArrow(_all_codes(buckets), "bucket int, block binary")
+    own = codes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lonely, "doc long, own long").groupBy("doc").agg(F.sum("own").alias("own"))
+    own = own.join(unsure.select(F.col("a").alias("doc")), "doc", "left_anti")
+    known = placed.join(own, "doc", "left").select("list", "doc", "n", "part", (F.col("n") - F.coalesce("own", F.lit(0))).cast("int").alias("e"))
+    least = placed.groupBy("list").agg(F.min("n").alias("least"))
+    return known.join(least, "list").where(F.col("e") * 100 >= percent * (F.col("n") + F.col("least") - F.col("e"))).drop("least")
+
+
+def _parts(levels, percent: int):
+    """Whole sets, or where levels are given, prefixes: half codes, then the level and code of the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = None if levels is None else Order(levels.value)
+
+        def part(codes: np.ndarray) -> bytes:
+            if order is None or not len(codes):
+                return codes.tobytes()
+            prefix, level, last = order.first(codes, prefix_size(len(codes), percent))
+            return np.sort((prefix >> _U(32)).astype(np.uint32)).tobytes() + bytes([level]) + last.to_bytes(8, "big")
+
+        def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            keep = [rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "pivot", "salt", "role")]
+            sets = sets_of(texts)
+            return pa.RecordBatch.from_arrays([*keep, pa.array([len(s) for s in sets], pa.int32()), pa.array(list(map(part, sets)), pa.binary())], names=["doc_id", "pivot", "salt", "role", "n", "codes"])
+
+        return tk.by_parts(batches, "text", one)
+
+    return run
+
+
+def similar(own: bytes, other: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two whole sets are similar."""
+    a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (n + m - common)
+
+
+def may_be_similar(own: bytes, other: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two prefixes allow for it: what both sets share up to the prefix that ends first is in both prefixes,
+    and beyond it that set has only so many left.  Half codes can only make more look shared."""
+    a, b = np.frombuffer(own[:-9], np.uint32), np.frombuffer(other[:-9], np.uint32)
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
+    rest = n - len(a) if own[-9:] <= other[-9:] else m - len(b)
+    most = min(shared + rest, n, m)
+    return 100 * most >= percent * (n + m - most)
+
+
+def _compared(test, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, None
         for batch in batches:
             found = []
-            for doc, pivot, salt, role, codes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pivot", "salt", "role", "codes")), strict=True):
-                own = np.frombuffer(codes, np.uint64)
+            for doc, pivot, salt, role, n, codes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pivot", "salt", "role", "n", "codes")), strict=True):
                 if role == 0:
                     if at != (pivot, salt):
                         at, mine = (pivot, salt), []
-                    mine.append(own)
+                    mine.append((n, codes))
                     continue
-                for other in mine if at == (pivot, salt) else ():
-                    both = len(own) + len(other)
-                    least = min(len(own), len(other))
-                    if not least or 100 * least < percent * max(len(own), len(other)):
-                        continue
-                    same = np.searchsorted(other, own)
-                    same[same == len(other)] = 0
-                    common = int((other[same] == own).sum())
-                    if 100 * common >= percent * (both - common):
+                for m, other in mine if at == (pivot, salt) else ():
+                    if min(n, m) and 100 * min(n, m) >= percent * max(n, m) and test(codes, other, n, m, percent):
                         found.append((doc, pivot))
                         break
             if found:
@@ -326,18 +476,24 @@ def _verified(percent: int):
     return run
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of documents that are similar, judged on their whole sets."""
+def _checked(docs: DataFrame, pairs: DataFrame, levels, test, percent: int) -> DataFrame:
+    """The pairs that pass the test.  Partners of a pivot are dealt out in groups of about CHUNK."""
     pairs = kept(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
     busy = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > CHUNK)
-    salted = kept(pairs.join(busy, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / CHUNK)), F.lit(0)).cast("int").alias("salt")), "salted")
+    salted = pairs.join(busy, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / CHUNK)), F.lit(0)).cast("int").alias("salt"))
     wanted = salted.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "salt", F.lit(1).alias("role"))
     wanted = wanted.unionAll(salted.select(F.col("b").alias("id"), F.col("b").alias("pivot"), "salt", F.lit(0).alias("role")).distinct())
+    wanted = kept(wanted, "wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, docs.doc_id == F.col("id")).select("doc_id", "text", "pivot", "salt", "role").mapInArrow(_sets, "doc_id long, pivot long, salt int, role int, codes binary")
-    dealt = sets.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    return kept(dealt.mapInArrow(_verified(percent), "a long, b long"), "links")
+    parts = docs.join(wanted, docs.doc_id == F.col("id")).select("doc_id", "text", "pivot", "salt", "role").mapInArrow(_parts(levels, percent), "doc_id long, pivot long, salt int, role int, n int, codes binary")
+    dealt = parts.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    return kept(dealt.mapInArrow(_compared(test, percent), "a long, b long"), "links")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, levels, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of documents that are similar: filtered by their prefixes, then judged on whole sets."""
+    return _checked(docs, _checked(docs, pairs, levels, may_be_similar, percent), None, similar, percent)
 
 
 def _buckets(shingles: int, percent: int) -> int:
@@ -345,12 +501,25 @@ def _buckets(shingles: int, percent: int) -> int:
     return 1 << max(6, min(30, (need - 1).bit_length()))
 
 
+def _close(a: str, b: str, ea: str, eb: str, percent: int):
+    """Whether sets of sizes a and b, of which at most ea and eb can be in common, can be similar."""
+    most = F.least(ea, eb)
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent) & (most * 100 >= percent * (F.col(a) + F.col(b) - most))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The lists that hold documents of more than one component."""
+    several = placed.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("list")
+    return kept(placed.join(several, "list", "left_semi"), "placed")
+
+
 def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id that links lead to)."""
     docs = narrow(docs, id_col, text_col)
     order, shingles = order_of(docs)
     buckets = _buckets(shingles, percent)
-    sent = kept(docs.mapInArrow(_sent(order, buckets, percent), ROWS), "sent")
+    levels = docs.sparkSession.sparkContext.broadcast(order.levels)  # 2 ** COUNTERS[1] bytes at most
+    sent = kept(docs.mapInArrow(_sent(levels, buckets, percent), ROWS), "sent")
     own = sent.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), "n", "d1", "d2")
     joined = kept(sent.where(F.col("kind") == BLOCK).select("bucket", "block").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(percent), ROWS), "joined")
     classes = own.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -372,27 +541,67 @@ def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     more = edges.join(members, edges.a == members.leader).select(F.col("member").alias("a"), "b")
     same_id = reps.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))  # an id with several texts
     many = reps.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
-    links = verify(docs, edges.unionAll(more).unionAll(members.select(F.col("member").alias("a"), F.col("leader").alias("b"))), percent)
+    links = verify(docs, edges.unionAll(more).unionAll(members.select(F.col("member").alias("a"), F.col("leader").alias("b"))), levels, percent)
     links = links.unionAll(same_id.join(many, "a", "left_semi").select("a", "b"))
     parts = components(links)
 
-    # Lists whose documents are in several components: all pairs across them, as far as sizes allow.
+    # Lists whose documents are in several components.
     lists = of_rep(found(LIST).select(F.col("a").alias("list"), F.col("b").alias("doc"), "n").distinct(), "doc").distinct()
     wider = lists.join(members, lists.doc == members.leader).select("list", F.col("member").alias("doc"), "n")
     lists = lists.unionAll(wider)
-    placed = lists.join(parts, lists.doc == parts.v, "left").select("list", "doc", "n", F.coalesce("c", "doc").alias("part"))
-    mixed = placed.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("list")
-    placed = kept(placed.join(mixed, "list", "left_semi").distinct(), "placed")
-    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = spans.toDF("list", "part", "least", "most"), spans.toDF("list2", "part2", "least2", "most2")
-    fits = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
+    placed = _mixed(lists.join(parts, lists.doc == parts.v, "left").select("list", "doc", "n", F.coalesce("c", "doc").alias("part")).distinct())
+    placed = _mixed(shareable(docs, placed, many, buckets, percent))
+    later = []
+    for turn in range(TURNS):
+        spans = placed.groupBy("list", "part").agg(F.count("*").cast("double").alias("k")).groupBy("list").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"))
+        pairs = spans.agg(F.sum("pairs")).first()[0] or 0
+        if pairs <= FEW * placed.count():
+            break
+        # one pivot a list, another each turn and in each list: most documents of a large component's rim find it
+        rank = F.struct(F.xxhash64("list", "doc", F.lit(turn)).alias("h"), F.col("doc").alias("p"), F.col("part").alias("to"), F.col("n").alias("np"), F.col("e").alias("ep"))
+        pivots = placed.groupBy("list").agg(F.min(rank).alias("x")).select("list", "x.p", "x.to", "x.np", "x.ep")
+        tried = placed.join(pivots, "list").where((F.col("part") != F.col("to")) & _close("n", "np", "e", "ep", percent))
+        step = verify(docs, tried.select(F.col("doc").alias("a"), F.col("p").alias("b")), levels, percent)
+        if step.isEmpty():
+            break
+        later.append(step)
+        # a component that found a link takes the pivot's name; names need only never join what no link joins
+        found_by = tried.select(F.col("doc").alias("a"), F.col("p").alias("b"), "part", "to").distinct().join(step, ["a", "b"])
+        onto = found_by.groupBy(F.col("part").alias("v")).agg(F.min("to").alias("c"))
+        placed = _mixed(placed.join(onto, placed.part == onto.v, "left").select("list", "doc", "n", F.coalesce("c", "part").alias("part"), "e"))
+
+    # All pairs that are left across components, as far as sizes allow.
+    # A pair meets in many lists; where both have seen each other in one of the last few, it isn't taken again.
+    before = Window.partitionBy("doc").orderBy("list").rowsBetween(-SEEN, -1)
+    placed = kept(placed.withColumn("seen", F.collect_list("list").over(before)), "placed")
+    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("e").alias("e"))
+    left, right = spans.toDF("list", "part", "least", "most", "e"), spans.toDF("list2", "part2", "least2", "most2", "e2")
+    common = F.least("e", "e2")
+    fits = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent) & (common * 100 >= percent * (F.col("least") + F.col("least2") - common))
     across = left.join(right, (left.list == right.list2) & (left.part < right.part2) & fits).select("list", "part", "part2")
-    one, two = placed.toDF("list", "a", "na", "part"), placed.toDF("list", "b", "nb", "part2")
-    close = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    pairs = across.join(one, ["list", "part"]).join(two, ["list", "part2"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = placed.toDF("list", "a", "na", "part", "ea", "sa"), placed.toDF("list", "b", "nb", "part2", "eb", "sb")
+    pairs = across.join(one, ["list", "part"]).join(two, ["list", "part2"]).where(_close("na", "nb", "ea", "eb", percent) & ~F.arrays_overlap("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = kept(pairs, "across")
     if not pairs.isEmpty():
-        links = links.unionAll(verify(docs, pairs, percent))
+        later.append(verify(docs, pairs, levels, percent))
+    if later:
+        for step in later:
+            links = links.unionAll(step)
         parts = components(links)
     labelled = own.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep")
     return labelled.join(parts, labelled.rep == parts.v, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id"))
+
+
+def distinct(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all columns, without those linked to one of a lesser id; an id with several rows keeps the
+    row of the least text, and rows without id stay."""
+    parts = kept(components_of(docs, percent, id_col, text_col), "components")
+    gone = parts.where("doc_id <> component_id").select("doc_id")
+    several = parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    several = kept(several, "several")
+    out = without(docs, gone.unionAll(several), id_col)
+    if several.isEmpty():
+        return out
+    rank = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`"))
+    own = docs.join(several.toDF("_several"), docs[f"`{id_col}`"] == F.col("_several"), "left_semi")
+    return out.unionAll(own.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))

@@ -69,6 +69,7 @@ def test_components(spark, odd, no_docs, monkeypatch, small):
         monkeypatch.setattr(ngram, "HELD", 500)
         monkeypatch.setattr(ngram, "CHUNK", 2)
         monkeypatch.setattr(ngram, "SENT", 0)
+        monkeypatch.setattr(ngram, "FEW", 0)
     docs = spark.createDataFrame(near_copies(), "doc_id long, text string").repartition(3)
     assert rows(ngram.components_of(docs)) == brute(plain(docs))
     assert rows(ngram.components_of(odd)) == brute(plain(odd))
