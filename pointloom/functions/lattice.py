@@ -15,21 +15,18 @@ def base_index(w: Column) -> Column:
 
 
 def floor_div(a: Column, b: Column | int) -> Column:
-    """Integer division that rounds down."""
-    b = F.lit(b) if isinstance(b, int) else b
-    return F.floor((a - F.pmod(a, b)) / b).cast("bigint")
+    """Integer division that rounds down, exact below 2 ** 50.  Each side is named once, as either may be a long
+    expression that the optimiser puts in its place."""
+    return F.floor(a / (F.lit(b) if isinstance(b, int) else b)).cast("bigint")
 
 
 def by_level(level: Column, values: tuple) -> Column:
-    """values[level]; null where the level has no value.  A ladder, as filters on it may be evaluated for null levels."""
-    out = F.when(level == 0, F.lit(values[0]))
-    for i, v in enumerate(values[1:], 1):
-        out = out.when(level == i, F.lit(v))
-    return out
+    """values[level]; for a null level the first, as filters on it may be evaluated before null levels are out."""
+    return F.element_at(F.array(*map(F.lit, values)), F.coalesce(level, F.lit(0)) + 1)
 
 
 def cell_index(w: Column, level: Column) -> Column:
-    return floor_div(base_index(w), by_level(level, C.DIVISOR))
+    return F.when(level.isNotNull(), floor_div(base_index(w), by_level(level, C.DIVISOR)))
 
 
 def level_of(distance: Column) -> Column:
