@@ -574,11 +574,13 @@ def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     # A pair meets in many lists; where both have seen each other in one of the last few, it isn't taken again.
     before = Window.partitionBy("doc").orderBy("list").rowsBetween(-SEEN, -1)
     placed = kept(placed.withColumn("seen", F.collect_list("list").over(before)), "placed")
-    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("e").alias("e"))
-    left, right = spans.toDF("list", "part", "least", "most", "e"), spans.toDF("list2", "part2", "least2", "most2", "e2")
+    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("e").alias("e"), F.count("*").alias("k"))
+    left, right = spans.toDF("list", "one", "least", "most", "e", "k"), spans.toDF("list2", "two", "least2", "most2", "e2", "k2")
     common = F.least("e", "e2")
     fits = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent) & (common * 100 >= percent * (F.col("least") + F.col("least2") - common))
-    across = left.join(right, (left.list == right.list2) & (left.part < right.part2) & fits).select("list", "part", "part2")
+    across = left.join(right, (left.list == right.list2) & (left.one < right.two) & fits)
+    fewer = F.col("k") <= F.col("k2")  # the smaller side is expanded first, the larger against it
+    across = across.select("list", F.when(fewer, F.col("one")).otherwise(F.col("two")).alias("part"), F.when(fewer, F.col("two")).otherwise(F.col("one")).alias("part2"))
     one, two = placed.toDF("list", "a", "na", "part", "ea", "sa"), placed.toDF("list", "b", "nb", "part2", "eb", "sb")
     pairs = across.join(one, ["list", "part"]).join(two, ["list", "part2"]).where(_close("na", "nb", "ea", "eb", percent) & ~F.arrays_overlap("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = kept(pairs, "across")
