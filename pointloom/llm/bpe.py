@@ -36,7 +36,7 @@ from .common import narrow
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of the tables of known pre-tokens and of known pairs; a full table is emptied.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Longest pre-token, in characters, that is remembered.
 SHORT = 40
 #: Bytes fed at a time from a long pre-token.
