@@ -53,7 +53,7 @@ HELD = 1 << 21
 #: Documents verified against a pivot in one group.
 CHUNK = 64
 #: Turns of pivots before the pairs that are left are all taken.
-TURNS = 2
+TURNS = 1
 #: Pairs across components, for each entry of a list, that are taken without more turns.
 FEW = 8
 #: Lists before a document's entry that its pairs are looked for in.
@@ -574,11 +574,12 @@ def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     # A pair meets in many lists; where both have seen each other in one of the last few, it isn't taken again.
     before = Window.partitionBy("doc").orderBy("list").rowsBetween(-SEEN, -1)
     placed = kept(placed.withColumn("seen", F.collect_list("list").over(before)), "placed")
-    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("e").alias("e"), F.count("*").alias("k"))
-    left, right = spans.toDF("list", "one", "least", "most", "e", "k"), spans.toDF("list2", "two", "least2", "most2", "e2", "k2")
+    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("e").alias("e"), F.count("*").alias("k"), F.first("seen").alias("seen"))
+    spans = spans.withColumn("seen", F.when(F.col("k") == 1, F.col("seen")).otherwise(F.array().cast("array<long>")))  # of components of one document
+    left, right = spans.toDF("list", "one", "least", "most", "e", "k", "s"), spans.toDF("list2", "two", "least2", "most2", "e2", "k2", "s2")
     common = F.least("e", "e2")
     fits = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent) & (common * 100 >= percent * (F.col("least") + F.col("least2") - common))
-    across = left.join(right, (left.list == right.list2) & (left.one < right.two) & fits)
+    across = left.join(right, (left.list == right.list2) & (left.one < right.two) & fits & ~F.arrays_overlap("s", "s2"))
     fewer = F.col("k") <= F.col("k2")  # the smaller side is expanded first, the larger against it
     across = across.select("list", F.when(fewer, F.col("one")).otherwise(F.col("two")).alias("part"), F.when(fewer, F.col("two")).otherwise(F.col("one")).alias("part2"))
     one, two = placed.toDF("list", "a", "na", "part", "ea", "sa"), placed.toDF("list", "b", "nb", "part2", "eb", "sb")
