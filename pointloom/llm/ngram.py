@@ -9,7 +9,8 @@ shingle among their first n - ceil(t * n) + 1, their prefixes.
 2. One pass makes each document's set.  Documents of equal prefix and size collapse into a group within the task,
    and the group's prefix goes, packed, to the task of its shingle.  There the groups that share a shingle form a
    list; pairs with sizes too far apart are filtered out.  In lists that are long within one task already only
-   their first group is passed on, so a shingle of very many documents fills no task.
+   their first group is passed on, so a shingle of very many documents fills no task.  A group of several different
+   sets is a list of its own, and every list that it is in is written whole.
 3. Group pairs are expanded to members, filtered by what their prefixes allow, and verified with whole sets, so
    that a group of m near copies takes about m verifications, not m * m.  First each document is verified against
    one pivot of each list.  Then lists whose documents are all in one component are done, as no further link can
@@ -162,6 +163,8 @@ def order_of(docs: DataFrame) -> tuple[Order, int]:
 
 ROWS = "kind int, a long, b long, n int, d1 long, d2 long, bucket int, block binary"
 DOC, EDGE, LIST, BLOCK, MEMBER = range(5)
+#: What is known of an entry: its list was taken apart in a task; its group has members beside the leader.
+OPEN, LED = 1, 2
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 _NAMES = ("kind", "a", "b", "n", "d1", "d2", "bucket", "block")
 
@@ -172,11 +175,11 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([made.get(k, pa.nulls(size, t)) for k, t in zip(_NAMES, _TYPES, strict=True)], names=list(_NAMES))
 
 
-def _packed(shingle: np.ndarray, doc: np.ndarray, n: np.ndarray, open_list: np.ndarray) -> bytes:
+def _packed(shingle: np.ndarray, doc: np.ndarray, n: np.ndarray, flags: np.ndarray) -> bytes:
     """Columns of a bucket's entries, in the order of documents, with documents as differences."""
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
-    raw = b"".join([np.int64(len(doc)).tobytes(), shingle[order].tobytes(), np.diff(doc, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), n[order].astype(np.int32).tobytes(), open_list[order].tobytes()])
+    raw = b"".join([np.int64(len(doc)).tobytes(), shingle[order].tobytes(), np.diff(doc, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), n[order].astype(np.int32).tobytes(), flags[order].astype(np.uint8).tobytes()])
     return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
@@ -185,7 +188,7 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     k = int(np.frombuffer(raw[:8], np.int64)[0])
     part = lambda at, size: raw[8 + at * k : 8 + (at + size) * k]
     doc = np.cumsum(np.ascontiguousarray(np.frombuffer(part(4, 8), np.uint8).reshape(8, k).T).view(np.int64).reshape(-1))
-    return np.frombuffer(part(0, 4), np.uint32), doc, np.frombuffer(part(12, 4), np.int32), np.frombuffer(part(16, 1), bool)
+    return np.frombuffer(part(0, 4), np.uint32), doc, np.frombuffer(part(12, 4), np.int32), np.frombuffer(part(16, 1), np.uint8)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +220,8 @@ class _Sender:
 
     def __init__(self, order: Order, buckets: int, percent: int):
         self.order, self.buckets, self.percent = order, buckets, percent
-        self.groups: dict[tuple, tuple[int, int, int]] = {}
-        self.held, self.size = [], 0
+        self.groups: dict[tuple, tuple[int, int, int, int]] = {}
+        self.held, self.led, self.size = [], set(), 0
 
     def take(self, ids: list[int | None], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -234,11 +237,12 @@ class _Sender:
             key = n, hashlib.blake2b(prefix.tobytes(), digest_size=16).digest()
             leader = self.groups.get(key)
             if leader is None:
-                self.groups[key] = (i, d1, d2)
+                self.groups[key] = (i, d1, d2, len(self.held))
                 self.held.append((i, n, tk.mix(prefix)))
                 self.size += len(prefix)
-            elif leader[1:] != (d1, d2):
+            elif leader[1:3] != (d1, d2):
                 members.append((leader[0], i))
+                self.led.add(leader[3])
         yield _rows(DOC, len(rows), **dict(zip(("a", "n", "d1", "d2"), zip(*rows), strict=True)))
         if members:
             yield _rows(MEMBER, len(members), **dict(zip("ab", zip(*members), strict=True)))
@@ -252,11 +256,17 @@ class _Sender:
         doc = np.repeat(np.array([i for i, _, _ in self.held], np.int64), size)
         n = np.repeat(np.array([k for _, k, _ in self.held], np.int32), size)
         code = np.concatenate([p for _, _, p in self.held])
-        self.groups, self.held, self.size = {}, [], 0
+        led = np.zeros(len(self.held), bool)
+        led[list(self.led)] = True
+        if led.any():  # members can be similar to each other and not to the leader
+            leader, sizes = (np.array(x, t)[led] for x, t in zip(list(zip(*self.held, strict=True))[:2], (np.int64, np.int32), strict=True))
+            yield _rows(LIST, len(leader), a=_content_id(tk.mix(leader.view(np.uint64)), 1), b=leader, n=sizes)
+        led = np.repeat(led, size)
+        self.groups, self.held, self.led, self.size = {}, [], set(), 0
         bucket = (code & _U(self.buckets - 1)).astype(np.int64)
         shingle = (code >> _U(32)).astype(np.uint32)
         order = np.lexsort((shingle, bucket))
-        doc, n, bucket, shingle = doc[order], n[order], bucket[order], shingle[order]
+        doc, n, led, bucket, shingle = doc[order], n[order], led[order], bucket[order], shingle[order]
         start, count = _runs((bucket << 32) | shingle.astype(np.int64))
         long = np.repeat(count > LONG, count)
         stays = ~long
@@ -264,9 +274,9 @@ class _Sender:
             key = _list_id(bucket[long], shingle[long])
             yield from _listed(key, doc[long], n[long], self.percent)
             stays[start[count > LONG]] = True
-        doc, n, bucket, shingle, long = (x[stays] for x in (doc, n, bucket, shingle, long))
+        doc, n, bucket, shingle, flags = (x[stays] for x in (doc, n, bucket, shingle, OPEN * long + LED * led))
         start, count = _runs(bucket)
-        blocks = [_packed(shingle[a : a + k], doc[a : a + k], n[a : a + k], long[a : a + k]) for a, k in zip(start.tolist(), count.tolist(), strict=True)]
+        blocks = [_packed(shingle[a : a + k], doc[a : a + k], n[a : a + k], flags[a : a + k]) for a, k in zip(start.tolist(), count.tolist(), strict=True)]
         for at in range(0, len(blocks), 16):
             yield _rows(BLOCK, len(blocks[at : at + 16]), bucket=bucket[start[at : at + 16]].astype(np.int32), block=blocks[at : at + 16])
 
@@ -275,6 +285,10 @@ def _list_id(bucket, shingle) -> np.ndarray:
     return ((shingle.astype(np.uint64) << _U(31)) | bucket.astype(np.uint64)).view(np.int64)
 
 
+def _content_id(content: np.ndarray, count) -> np.ndarray:
+    return (tk.mix(content + np.asarray(count).astype(np.uint64)) | _U(1 << 63)).view(np.int64)
+
+
 def _listed(key: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of whole lists, and the edges to their pivots."""
     edges = _stars(key, doc, n, percent)
@@ -299,28 +313,30 @@ def _sent(levels, buckets: int, percent: int):
 
 
 def _joined(percent: int):
-    """Lists of a bucket: edges to pivots; lists of three or more also whole, once for each set of documents."""
+    """Lists of a bucket: edges to pivots; lists of three or more, and those of groups with members, also whole, once
+    for each set of documents."""
 
     def of_bucket(bucket: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        shingle, doc, n, open_list = (np.concatenate(x) for x in zip(*map(_unpacked, blocks), strict=True))
+        shingle, doc, n, flags = (np.concatenate(x) for x in zip(*map(_unpacked, blocks), strict=True))
         order = np.lexsort((doc, shingle))
-        shingle, doc, n, open_list = shingle[order], doc[order], n[order], open_list[order]
+        shingle, doc, n, flags = shingle[order], doc[order], n[order], flags[order]
         start, count = _runs(shingle)
         shared = np.repeat(count > 1, count)
         if not shared.any():
             return
         number = np.repeat(np.arange(len(start)), count)[shared]
-        shingle, doc, n, open_list = shingle[shared], doc[shared], n[shared], open_list[shared]
+        shingle, doc, n, flags = shingle[shared], doc[shared], n[shared], flags[shared]
         edges = _stars(number, doc, n, percent)
         yield _rows(EDGE, len(edges), a=edges[:, 0], b=edges[:, 1])
         start, count = _runs(number)
         content = np.add.reduceat(tk.mix(doc.view(np.uint64)), start)
-        is_open = np.logical_or.reduceat(open_list, start)
-        key = np.where(is_open, _list_id(np.full(len(start), bucket), shingle[start]), (tk.mix(content + count.astype(np.uint64)) | _U(1 << 63)).view(np.int64))
+        known = np.bitwise_or.reduceat(flags, start)
+        is_open = known & OPEN > 0
+        key = np.where(is_open, _list_id(np.full(len(start), bucket), shingle[start]), _content_id(content, count))
         _, first = np.unique(key, return_index=True)
         once = np.zeros(len(start), bool)
         once[first] = True
-        once &= is_open | (count > 2)
+        once &= (known > 0) | (count > 2)
         rows = np.repeat(once, count)
         if rows.any():
             yield _rows(LIST, int(rows.sum()), a=np.repeat(key, count)[rows], b=doc[rows], n=n[rows])
@@ -380,7 +396,7 @@ def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, doc, _, shared = (np.concatenate(x) for x in zip(*map(_unpacked, blocks), strict=True))
         order = np.argsort(shingle, kind="stable")
         start, count = _runs(shingle[order])
-        alone = order[start[(count == 1) & ~shared[order[start]]]]
+        alone = order[start[(count == 1) & (shared[order[start]] == 0)]]
         of, own = np.unique(doc[alone], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(of), pa.array(own.astype(np.int64))], names=["doc", "own"])
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from pointloom.llm import ngram
@@ -78,6 +79,36 @@ def test_components(spark, odd, no_docs, monkeypatch, small):
     assert rows(ngram.components_of(no_docs)) == []
 
 
+def triples():
+    """Texts whose sets begin alike in the order of codes: two that are similar, and one that is similar to neither or
+    only to one.  Kinds: all of one size; the second of the similar ones shorter, so in another group."""
+    rng = random.Random(7)
+    least = lambda s, k=2: ngram.sets_of([s.encode()])[0][:k].tolist()
+    out = []
+    for kind in (0, 1):
+        made = 0
+        while made < 12:
+            w = [f"{'uv'[kind]}{rng.randrange(10**6)}" for _ in range(13)]
+            b = [*w[:11], "p", "q"]
+            c = [*w[:11], "p", "r"] if kind == 0 else b[:12]
+            a, b, c = (" ".join(x) for x in (w, b, c))
+            if least(a) == least(b) == least(c):
+                made += 1
+                out += [a, b, c] if made % 2 else [a, c, b]
+    return list(enumerate(out, 10))
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_members(spark, monkeypatch, parts):
+    """Members of a group that are similar to each other, or to another group, and not to their leader."""
+    monkeypatch.setattr(ngram, "order_of", lambda docs: (ngram.Order(np.zeros(1 << 16, np.uint8)), 1000))  # as in a corpus that has no shingle often
+    docs = spark.createDataFrame(triples(), "doc_id long, text string")
+    docs = docs.coalesce(1) if parts == 1 else docs.repartition(2)
+    want = brute(plain(docs))
+    assert len({c for _, _, c in want}) == 48
+    assert rows(ngram.components_of(docs)) == want
+
+
 def test_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "x y z"), (9, "x y z"), (7, "q")], "doc_id long, text string")
     assert rows(ngram.components_of(docs)) == [(None, 1, None), (5, 1, 5), (5, 1, 5), (7, 1, 7), (9, 1, 5)]
