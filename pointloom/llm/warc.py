@@ -170,11 +170,12 @@ def _write_run(folder: str, captures: Iterable[tuple[Key, tuple[str, int, int]]]
 
 
 def _read_run(folder: str, name: str, size: int, places: list, low: Key | None = None, high: Key | None = None) -> Iterator[tuple[Key, tuple[str, int, int]]]:
-    """Captures of a run from key low on and below high; reads start at the last place before low."""
+    """Captures of a run from key low on and below high; reads start at the last place before low, as lines of key low
+    itself can lie before a place of that key."""
     files, path = _files(folder)
     at = 0
     for key, offset in places:
-        if low is not None and tuple(key) <= low:
+        if low is not None and tuple(key) < low:
             at = offset
     with files.open_input_file(f"{path}/{name}") as f:
         f.seek(at)

@@ -51,6 +51,20 @@ def test_archive(spark, sf, tmp_path, monkeypatch, small):
         assert n
 
 
+def test_repeated_keys(spark, tmp_path, monkeypatch):
+    """More captures of one key than lie between two places, with ranges cut at that key: none is lost."""
+    monkeypatch.setattr(warc, "RANGE", 20_000)
+    rows_in = [(None, "http://a.b/same", f"text {i}") for i in range(3 * warc.STRIDE)] + [(7, "http://a.b/row", "again")] * (2 * warc.STRIDE + 9) + [(i, f"http://a.b/{i % 40}", f"page {i}") for i in range(900)]
+    pages = spark.createDataFrame(rows_in, "page_id long, url string, html string").repartition(2)
+    folder = f"file://{tmp_path}/repeated"
+    runs = warc.write(pages, folder)
+    histories = warc.merge(runs, folder)
+    assert histories.select("range").distinct().count() > 2
+    assert histories.count() == len(rows_in)
+    got = warc.read(histories, folder)
+    assert sorted(rows(got), key=str) == sorted(want([(i, html) for i, _, html in rows_in]), key=str)
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in range(9):
