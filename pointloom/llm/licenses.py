@@ -2,9 +2,10 @@
 
 The automaton accepts every run of words of every template, with a separator that no text has between templates.
 A text is streamed through it word by word; after each word the state gives the longest run that ends there and
-occurs in a template (the matching statistic).  Maximal matches of at least ``MIN_MATCH`` words are chained in
-template order, with gaps of at most ``MAX_GAP`` words in text and template; the chain's covered share of the
-template is the score.  A template is labelled from ``MIN_COVER`` of its words on.
+occurs in a template (the matching statistic); the state and its suffix links give the longest run for every place of
+every template.  Matches of at least ``MIN_MATCH`` words that are maximal at their place of their template, whatever
+other templates hold, are chained in template order, with gaps of at most ``MAX_GAP`` words in text and template; the
+best chain's covered share of the template is the score.  A template is labelled from ``MIN_COVER`` of its words on.
 
 The automaton is fixed in size by the templates, so it goes to every executor with the task.  Texts are one narrow
 pass without a shuffle.  Runs of words that the templates don't have at all are stepped over in vector code.
@@ -73,6 +74,7 @@ class Automaton:
             if self.link[state] > 0:
                 self.ends[self.link[state]] |= self.ends[state]
         self.ends = [sorted(x) for x in self.ends]
+        self.numbers = [[self.vocabulary[x] for x in body] for body in self.bodies]
 
     def _state(self, length: int, link: int, step: dict[int, int]) -> int:
         self.step.append(step)
@@ -123,12 +125,21 @@ class Automaton:
         return out
 
     def matches(self, words: list[int], shift: int) -> list[tuple[int, int, int, int]]:
-        """(template, its first word, first word in the text, words) of maximal matches of MIN_MATCH words or more."""
-        stats = self.statistics(words)
+        """(template, its first word, first word in the text, words) of the matches of MIN_MATCH words or more that
+        can't be made longer at their place of their template."""
         found = []
-        for i, (size, state) in enumerate(stats):
-            if size >= MIN_MATCH and (i + 1 == len(stats) or stats[i + 1][0] != size + 1):
-                found += [(t, end - size, shift + i + 1 - size, size) for t, end in self.ends[state]]
+        for i, (size, state) in enumerate(self.statistics(words)):
+            after = words[i + 1] if i + 1 < len(words) else -1
+            seen: set[tuple[int, int]] = set()
+            while size >= MIN_MATCH:  # the linked states hold shorter runs, which end at more places
+                for t, end in self.ends[state]:
+                    if (t, end) not in seen:
+                        seen.add((t, end))
+                        body = self.numbers[t]
+                        if end == len(body) or body[end] != after:
+                            found.append((t, end - size, shift + i + 1 - size, size))
+                state = self.link[state]
+                size = self.length[state]
         return found
 
 
@@ -136,15 +147,30 @@ def chains(found: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tup
     """(template, first word, end, covered share) of the best chain of each template and region of the text."""
     out = []
     for t in sorted({x[0] for x in found}):
-        open_chains: list[list[int]] = []  # template end, text start, text end, words covered
-        for _, a, b, n in sorted((x for x in found if x[0] == t), key=lambda x: (x[2], x[1])):
-            near = [c for c in open_chains if 0 <= a - c[0] <= MAX_GAP and 0 <= b - c[2] <= MAX_GAP]
-            if near:
-                c = max(near, key=lambda c: (c[3], -c[1]))
-                c[0], c[2], c[3] = a + n, b + n, c[3] + n
+        own = sorted((x[1:] for x in found if x[0] == t), key=lambda x: (x[1], x[0]))
+        best: list[tuple[int, int]] = []  # of the chain that ends with each match: words covered, where in the text it starts
+        for k, (a, b, n) in enumerate(own):
+            covered, start = 0, b
+            for j in range(k - 1, -1, -1):
+                a2, b2, n2 = own[j]
+                if b - b2 > MAX_GAP + sizes[t]:
+                    break
+                if 0 <= a - a2 - n2 <= MAX_GAP and 0 <= b - b2 - n2 <= MAX_GAP and (best[j][0], -best[j][1]) > (covered, -start):
+                    covered, start = best[j]
+            best.append((covered + n, start))
+        ends: dict[int, tuple[int, int]] = {}  # by start: words covered, end in the text
+        for (_, b, n), (covered, start) in zip(own, best, strict=True):
+            if covered > ends.get(start, (0, 0))[0]:
+                ends[start] = covered, b + n
+        good = sorted((start, end, covered) for start, (covered, end) in ends.items() if covered >= MIN_COVER * sizes[t])
+        kept: list[tuple[int, int, int]] = []
+        for start, end, covered in good:  # of chains that overlap in the text, the one that covers most
+            if kept and start < kept[-1][1]:
+                if covered > kept[-1][2]:
+                    kept[-1] = start, end, covered
             else:
-                open_chains.append([a + n, b, b + n, n])
-        out += [(t, c[1], c[2], c[3] / sizes[t]) for c in open_chains if c[3] >= MIN_COVER * sizes[t]]
+                kept.append((start, end, covered))
+        out += [(t, start, end, covered / sizes[t]) for start, end, covered in kept]
     return out
 
 

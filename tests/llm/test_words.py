@@ -117,6 +117,37 @@ def test_licenses(spark, real, odd, no_docs):
         assert list(licenses.TEMPLATES)[r.doc_id] in r.labels.split(",") and r.score == 1
 
 
+def test_licenses_in_longer_ones(spark):
+    """A template that the text holds whole is found where the run goes on in another template."""
+    t = licenses.TEMPLATES
+    texts = [
+        (0, f"{t['apache-2.0']} the project ships"),
+        (1, f'{t["apache-2.0"]} (the "License") and more words'),
+        (2, f"before {t['apache-2.0-notice']} after"),
+        (3, " ".join(["see", t["apache-2.0"], "the end."] * 300)),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [(got[i].labels, got[i].score) for i in (0, 1)] == [("apache-2.0", 1.0)] * 2
+    assert got[0].spans == "apache-2.0:0:8"
+    assert got[2].labels == "apache-2.0,apache-2.0-notice" and got[2].spans.startswith("apache-2.0:1:9,apache-2.0-notice:1:")
+    assert got[3].spans.count("apache-2.0:") == 300
+
+
+def test_matches_of_each_template():
+    bodies = {"a": "a b c d e a b c d f", "b": "b c d e", "c": "x a b c d", "d": "c d e a b c d"}
+    auto = licenses.Automaton(bodies)
+    for text in ("a b c d e x a b c d", "a b c d f", "x a b c d e a b c d e", "b c d e a b c d f a b c d"):
+        words, want = text.split(), set()
+        for t, body in enumerate(x.split() for x in bodies.values()):
+            for i in range(len(words)):
+                for j in range(len(body)):
+                    n = next((k for k in range(min(len(words) - i, len(body) - j)) if words[i + k] != body[j + k]), min(len(words) - i, len(body) - j))
+                    if n >= licenses.MIN_MATCH and (not i or not j or words[i - 1] != body[j - 1]):
+                        want.add((t, j, i, n))
+        got = auto.matches([auto.vocabulary[x.encode()] for x in words], 0)
+        assert sorted(got) == sorted(want)
+
+
 def test_matching_statistics():
     auto = licenses.Automaton({"a": "a b c b c d", "b": "b c d a b"})
     number = auto.vocabulary
