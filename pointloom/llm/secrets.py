@@ -3,8 +3,9 @@
 Two first-order models of characters, one of random strings and one of ordinary identifiers, are trained from
 labelled samples with aggregations; the log-likelihood ratio of each pair of characters goes into one table of
 128 * 128 numbers, which is fixed in size and part of the scan's expressions.  Runs of at least ``MIN_RUN``
-characters whose mean ratio a pair is at least ``THRESHOLD`` are reported as kind markov, unless they meet a span of
-a fixed format.  The scan is one narrow pass without Python, and work beyond one search per format is done only for
+characters are reported as kind markov, unless they meet a span of a fixed format, where the mean ratio a pair is at
+least ``THRESHOLD``: of the whole run, or of any ``MIN_RUN`` characters in a row, so that ordinary text joined to a
+secret doesn't hide it.  The scan is one narrow pass without Python, and work beyond one search per format is done only for
 texts that hold a candidate.
 
 Samples: random strings are digests of the numbers below ``RANDOM_SAMPLES``, in hexadecimal and base 64;
@@ -120,12 +121,24 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     return ratio
 
 
+def _ratios(run: Column, table: Column) -> Column:
+    """Log-likelihood ratios of the pairs of a run of ASCII characters."""
+    return _let(F.transform(F.split(run, ""), F.ascii), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.element_at(table, F.element_at(c, i) * 128 + F.element_at(c, i + 1) + 1)))
+
+
+def _mean(ratios: Column) -> Column:
+    return F.aggregate(ratios, F.lit(0.0), lambda a, b: a + b) / F.size(ratios)
+
+
 def llr(run: Column, table: Column) -> Column:
     """Mean log-likelihood ratio of the pairs of a run of ASCII characters."""
-    return _let(
-        F.transform(F.split(run, ""), F.ascii),
-        lambda c: F.aggregate(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.element_at(table, F.element_at(c, i) * 128 + F.element_at(c, i + 1) + 1)), F.lit(0.0), lambda a, b: a + b) / (F.size(c) - 1),
-    )
+    return _let(_ratios(run, table), _mean)
+
+
+def holds_random(run: Column, table: Column) -> Column:
+    """Whether the whole run, of MIN_RUN characters or more, or MIN_RUN characters in a row of it look random."""
+    stretches = lambda r: F.sequence(F.lit(1), F.size(r) - (MIN_RUN - 2))
+    return _let(_ratios(run, table), lambda r: (_mean(r) >= THRESHOLD) | F.exists(stretches(r), lambda i: _mean(F.slice(r, i, F.lit(MIN_RUN - 1))) >= THRESHOLD))
 
 
 def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +152,7 @@ def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col:
         _found(text, ASSIGN, "assign", long(12), 1).alias("assign"),
         _found(text, ACCESS, "access", long(18), maybe=text.contains("AKIA")).alias("access"),
         _found(text, HEX, "hex", long(16), maybe=F.regexp_like(text, F.lit("[0-9a-f]{16}"))).alias("hex"),
-        _found(text, RUN, "markov", lambda g: llr(g, table) >= THRESHOLD).alias("run"),
+        _found(text, RUN, "markov", lambda g: holds_random(g, table)).alias("run"),
     )
     order = "array_sort(concat(assign, access, hex))"
     # a run that meets a base span is not reported again

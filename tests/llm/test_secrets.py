@@ -51,6 +51,21 @@ def test_models(spark, real, sf):
     assert share(words.select(F.concat("w", F.lit("_"), F.lower("w"), F.initcap("w")).alias("s")).limit(20000)) < 0.01
 
 
+def test_joined_secrets(spark, real, sf):
+    """Random strings behind ordinary text of the same run are found; paths and names of held-out words are not."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ratios = secrets.train(real, labels)
+    alnum = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("joined "), F.col("id").cast("string")), 512))), "+/=", "")
+    for before, after in (("services/webhooks/production/", ""), ("session_state_value=", ""), ("session_state_value=", "/settings/of/the/account"), ("my-build-server-", "_backup_folder")):
+        docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"see {before}"), F.substring(alnum, 1, 32), F.lit(f"{after} there")).alias("text"))
+        got = rows(secrets.scan(docs, ratios))
+        assert {r[5] for r in got} <= {"", f"markov:4:{36 + len(before) + len(after)}"}
+        assert sum(bool(r[5]) for r in got) > 190
+    words = real.join(labels, "doc_id", "left_anti").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("w")).limit(5000)
+    paths = words.select(F.concat(F.lit("src/main/"), "w", F.lit("/"), F.lower("w"), F.lit("_"), F.initcap("w"), F.lit("-"), F.upper("w"), F.lit("="), "w").alias("text"), F.lit(1).alias("doc_id"))
+    assert sum(bool(r.spans) for r in secrets.scan(paths, ratios).select("spans").collect()) < 50
+
+
 def test_plan_is_native(spark, odd):
     import contextlib
     import io
