@@ -146,19 +146,25 @@ def _moving(t):
     return rows.select("sensor_id", "frame_ts", F.col("k.i").alias("det_id"), (F.col("k.x0") + F.col("k.v") * (F.col("frame_ts") % 100) + F.col("sensor_id") * 100).alias("cx"), (F.col("k.i") * 8.0).alias("cy"), F.col("k.w").alias("dx"), F.col("k.w").alias("dy"))
 
 
+def _boxes(t):
+    """All detections; among them things that move, as the detections' places are random and never move on."""
+    detected = t("detections").select("sensor_id", "frame_ts", "det_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "dx", "dy")
+    return detected.unionByName(_moving(t).withColumn("det_id", (-1 - F.col("det_id")).cast("long")))
+
+
 @query()
 def mover_tracks(t):
-    return tracking.movers(_moving(t))
+    return tracking.movers(_boxes(t))
 
 
 @query()
 def sort_tracks(t):
-    return tracking.sort_tracks(_moving(t))
+    return tracking.sort_tracks(_boxes(t))
 
 
 @query()
 def mover_markers(t):
-    return clouds.markers(tracking.movers(_moving(t)))
+    return clouds.markers(tracking.movers(_boxes(t)))
 
 
 @query(f"WITH {duck('points')} SELECT 'scan' || frame_ts AS scan, idx, CAST(x AS FLOAT) AS x, label & 65535 AS label, CAST((seq % 3) AS INT) AS instance FROM points")

@@ -188,6 +188,18 @@ def test_movers():
     assert {round(v[-1]["speed"], 1) for v in seen.values()} == {1.4, 8.0}
 
 
+def test_trackers_take_all_detections(spark):
+    """Every detection reaches the registered trackers: in the first frame each box is a track of its own."""
+    from pointloom import catalogue
+    from pointloom.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    first = views.view(spark, sf, "detections").where("frame_ts = 1").collect()
+    key = lambda r, x, y: (r.sensor_id, *(round(float(v), 6) for v in (x, y, r.dx, r.dy)))
+    tracks = catalogue.queries()["sort_tracks"](spark, sf).where("frame_ts = 1").collect()
+    assert first and {key(r, r.x, r.y) for r in first} <= {key(r, r.cx, r.cy) for r in tracks}
+
+
 def test_sort():
     tracker, ids = tracking.SortTracker(), []
     for f in range(10):
