@@ -32,6 +32,12 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_release(spark: SparkSession, path: str) -> str:
+    """A folder that release removes with the intermediate tables."""
+    _made.append(path)
+    return path
+
+
 #: Ids that are sent to all executors beside documents, at most; with more, both sides are shuffled.
 SENT = 400_000
 

@@ -1,33 +1,44 @@
 """Repeated strings of documents: column-wise construction of suffix order and common prefixes over many contexts.
 
-A string of ``length`` bytes that starts twice selects the same k-gram in both places: the one whose code is least,
-the leftmost of equals.  So all windows of ``length`` bytes fall into contexts, each the run of windows that one
+A document is a string of symbols.  Bytes tell what is removed: strings of ``LENGTH`` bytes that start twice.  Words
+tell which passages of ``PASSAGE`` words or more a document shares with another; these are reported beside it, as a
+passage can be long in words and yet shorter than LENGTH bytes.  Both go through the same steps.
+
+A string of ``length`` symbols that starts twice selects the same k-gram in both places: the one whose code is least,
+the leftmost of equals.  So all windows of ``length`` symbols fall into contexts, each the run of windows that one
 selected k-gram serves, and a window repeats only between contexts of the same k-gram, at the same distance to it.
 
-1. One pass cuts every text into contexts, about one in length / 2.4 bytes, and emits k-gram code, context code and
+1. One pass cuts every text into contexts, about one in length / 2.4 symbols, and emits k-gram code, context code and
    place.  Equal contexts meet in a map-side aggregation: all windows of a context that occurs twice repeat.
 2. Contexts that share their k-gram with a different one are fetched, once each, as two strings: the windows that
    reach half a window or more to the left of the k-gram, and the others.  A repeated window lies in two strings
    that agree on that half, which is the grouping key; most chance neighbours part here.
-3. The strings of many groups are a collection, aligned at the k-gram, to which a task adds one symbol per string
-   in each round, from the last column to the first.  A round takes the order of the suffixes that start one column
-   further right, sorts it stably by the new symbols within each group - the step of the Burrows-Wheeler transform -
-   and carries the array of common prefixes along by minima over the ranges between neighbours.  Suffixes whose
-   neighbour shares ``length`` symbols start a repeated window.  As strings are aligned, only suffixes of one column
-   can match, so of the transform only the current column is kept, and rounds are bounded by the size of a context
-   and not by the longest document.  Strings arrive sorted by group and are read in sequence.
+3. The strings of many groups are a collection, aligned at the k-gram.  A task writes its columns to a sequential file
+   and then adds one symbol per string in each round, from the last column to the first, as it reads them.  A round
+   takes the order of the suffixes that start one column further right, appends the symbols in that order to the
+   collection's Burrows-Wheeler transform, sorts the order stably by them within each group, and carries the array of
+   common prefixes along by minima over the ranges between neighbours, which it appends, with the order, to files of
+   their own.  As strings are aligned, only suffixes of one column can match, so what a round adds to the transform
+   follows what is there and nothing is written again; rounds are bounded by the size of a context and not by the
+   longest document, and a task holds a few numbers for each string.  At last order and common prefixes are read in
+   sequence: suffixes whose neighbour shares ``length`` symbols start a repeated window.
 4. Groups of more than ``HOT`` strings are not gathered in a task: their windows are counted by their 128-bit codes
    with map-side sums instead.
 
+Codes of k-grams and contexts have 62 bits, of two polynomials modulo a prime.
+
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; repeats are judged on the
 input, overlaps included, in one document or in several; rows that repeat are documents of their own and so repeat
-each other; a null id is an id like others; other columns are ignored.
+each other; a passage counts as shared where a row with another id or another text has it; a null id is an id like
+others; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +46,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import kept, narrow
+from .common import in_release, kept, narrow, shared_dir
 
 LENGTH = 400
+#: Words of a shared passage, at least.
+PASSAGE = 51
 #: Strings of a group, at most, that a task orders together.
 HOT = 512
 #: Strings ordered at once, at least, where there are so many.
 TOGETHER = 4096
-#: Rows that are sent to all executors beside the texts, at most; with more, both sides are shuffled.
-SENT = 150_000
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Bytes that are sent to all executors beside the texts, at most; with more, both sides are shuffled.
+SENT = 64 << 20
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, n_passages long, n_passage_words long, shares_passage boolean"
 
 _U = np.uint64
 _A, _B = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 
 
-def gram(length: int) -> int:
-    return max(4, 4 * length // 25)
+@dataclass(frozen=True)
+class Unit:
+    """What the symbols are, how many of them make a window, and whether it has to be in another document."""
+
+    number: int
+    size: int
+    length: int
+    across: bool
+
+    @property
+    def gram(self) -> int:
+        return max(4, 4 * self.length // 25)
+
+    @property
+    def half(self) -> int:
+        return (self.length - self.gram) // 2
+
+    def symbols(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if self.size == 1:
+            return [np.frombuffer(t or b"", np.uint8) for t in texts]
+        w = tk.Words(texts, tk.BLANK, lower=False)
+        return [w.hash[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
 
 
-def _half(length: int) -> int:
-    return (length - gram(length)) // 2
+def units(length: int = LENGTH, passage: int = PASSAGE) -> tuple[Unit, Unit]:
+    return Unit(0, 1, length, False), Unit(1, 8, passage, True)
 
 
 def least_places(codes: np.ndarray, width: int) -> np.ndarray:
@@ -71,12 +104,12 @@ def least_places(codes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[: n - width + 1], ahead[width - 1 : n]) & _U(0xFFFFF)).astype(np.int64)
 
 
-def contexts(buf: np.ndarray, at: np.ndarray, size: np.ndarray, length: int):
-    """Contexts of the texts in buf (less than a million bytes): place in buf, windows, place of the k-gram, codes."""
-    k = gram(length)
+def contexts(buf: np.ndarray, at: np.ndarray, size: np.ndarray, unit: Unit):
+    """Contexts of the strings in buf (PIECE symbols at most): place in buf, windows, place of the k-gram, codes."""
+    k, length = unit.gram, unit.length
     n = len(buf)
-    sums, inverse = tk.prefix_sums(buf)
-    codes = tk.mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+    rolling = tk.Rolling(buf)
+    codes = rolling.code(np.arange(n - k + 1), np.arange(k, n + 1))
     place = least_places(codes, length - k + 1)
     step = np.zeros(len(place) + 1, np.int64)
     real = size >= length
@@ -91,25 +124,24 @@ def contexts(buf: np.ndarray, at: np.ndarray, size: np.ndarray, length: int):
     windows = np.flatnonzero(ended) - start + 1
     off = place[start] - start
     stop = start + windows - 1 + length
-    code = tk.mix((sums[stop] - sums[start]) * inverse[start] + windows.astype(np.uint64) * _A + off.astype(np.uint64) * _B)
-    return start, windows, off, codes[place[start]], code
+    code = tk.mix(rolling.code(start, stop) + windows.astype(np.uint64) * _A + off.astype(np.uint64) * _B)
+    return start, windows, off, codes[place[start]] ^ _U(unit.number), code
 
 
-_OCC = "gram long, ctx long, doc_id long, th long, at long, windows int, off int"
+_OCC = "gram long, ctx long, doc_id long, th long, unit int, at long, windows int, off int"
 
 
-def _cut(length: int):
-    piece = tk.PIECE - length
-
-    def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch | None:
-        ids, th = rows.column(0).to_pylist(), rows.column(2).to_pylist()
+def _cut(kinds: tuple[Unit, ...]):
+    def one_unit(unit: Unit, ids: list, th: list, strings: list[np.ndarray]) -> pa.RecordBatch | None:
+        length, most = unit.length, tk.PIECE
+        piece = most - length
         out = []
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
 
         def flush() -> None:
             size = np.array([len(t) for _, _, t in held], np.int64)
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
-            start, windows, off, grams, code = contexts(np.frombuffer(b"".join(t for _, _, t in held), np.uint8), first, size, length)
+            start, windows, off, grams, code = contexts(np.concatenate([t for _, _, t in held]), first, size, unit)
             of = np.searchsorted(first, start, "right") - 1
             doc = np.array([i for i, _, _ in held])[of]
             at = start - first[of] + np.array([a for _, a, _ in held], np.int64)[of]
@@ -117,12 +149,10 @@ def _cut(length: int):
             held.clear()
 
         total = 0
-        for i, t in enumerate(texts):
-            if t is None or len(t) < length:
-                continue
+        for i, t in enumerate(strings):
             for a in range(0, len(t) - length + 1, piece):
                 part = t[a : a + piece + length - 1]
-                if held and total + len(part) > tk.PIECE:
+                if held and total + len(part) > most:
                     flush()
                     total = 0
                 held.append((i, a, part))
@@ -134,61 +164,99 @@ def _cut(length: int):
         doc, at, windows, off, grams, code = (np.concatenate(x) for x in zip(*out, strict=True))
         pick = pa.array(doc)
         return pa.RecordBatch.from_arrays(
-            [pa.array(grams.view(np.int64)), pa.array(code.view(np.int64)), pa.array(ids, pa.int64()).take(pick), pa.array(th, pa.int64()).take(pick), pa.array(at), pa.array(windows.astype(np.int32)), pa.array(off.astype(np.int32))],
-            names=["gram", "ctx", "doc_id", "th", "at", "windows", "off"],
+            [pa.array(grams.view(np.int64)), pa.array(code.view(np.int64)), pa.array(ids, pa.int64()).take(pick), pa.array(th, pa.int64()).take(pick), pa.array(np.full(len(doc), unit.number, np.int32)), pa.array(at), pa.array(windows.astype(np.int32)), pa.array(off.astype(np.int32))],
+            names=["gram", "ctx", "doc_id", "th", "unit", "at", "windows", "off"],
         )
 
-    return lambda batches: tk.by_parts(batches, "text", one, tk.PIECE)
+    def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch | None:
+        ids, th = rows.column(0).to_pylist(), rows.column(2).to_pylist()
+        found = [b for unit in kinds if (b := one_unit(unit, ids, th, unit.symbols(texts))) is not None]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
 
+    return lambda batches: tk.by_parts(batches, "text", one, tk.PIECE)
 
-_STRINGS = "key long, doc_id long, th long, at long, lead int, single boolean, bytes binary"
 
+_STRINGS = "key long, unit int, doc_id long, th long, at long, lead int, single boolean, symbols binary"
 
-def _fetched(length: int):
-    k, half = gram(length), _half(length)
 
+def _fetched(kinds: tuple[Unit, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, th, text, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "wanted")), strict=True):
-                raw = text.encode()
+                symbols = {u: kinds[u].symbols([text.encode()])[0] for u in {w["unit"] for w in wanted}}
                 rows = []
                 for w in wanted:
-                    own = raw[w["at"] : w["at"] + w["windows"] - 1 + length]
-                    off, single = w["off"], w["n"] == 1
+                    unit = kinds[w["unit"]]
+                    length, k, half = unit.length, unit.gram, unit.half
+                    own = symbols[unit.number][w["at"] : w["at"] + w["windows"] - 1 + length]
+                    off = w["off"]
                     tag = w["gram"].to_bytes(8, "little", signed=True)
                     # windows that start half or more before the k-gram, then the others
                     for side, low, high, core in ((b"L", 0, min(off - half, w["windows"] - 1), own[max(0, off - half) : off]), (b"R", max(0, off - half + 1), w["windows"] - 1, own[off + k : off + k + half])):
                         if low <= high:
-                            key = int.from_bytes(hashlib.blake2b(tag + side + core, digest_size=8).digest(), "little", signed=True)
-                            rows.append((key, doc, th, w["at"] + low, off - low, single, own[low : high + length]))
+                            key = int.from_bytes(hashlib.blake2b(tag + side + core.tobytes(), digest_size=8).digest(), "little", signed=True)
+                            rows.append((key, unit.number, doc, th, w["at"] + low, off - low, w["single"], own[low : high + length].tobytes()))
                 for lo in range(0, len(rows), 2048):
-                    columns = zip(zip(*rows[lo : lo + 2048], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["key", "doc_id", "th", "at", "lead", "single", "bytes"])
+                    kinds_of = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 2048], strict=True), kinds_of, strict=True)], names=[c.split()[0] for c in _STRINGS.split(", ")])
+        tk.give_back()
 
     return run
 
 
-def repeated(strings: list[bytes], lead: list[int], group: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string, whether the window from each place on is in another string of its group, at the same distance
-    to the k-gram.  Strings are sorted by group."""
-    m = len(strings)
-    left, size = max(lead), np.array([len(s) for s in strings], np.int64)
-    first = left - np.array(lead, np.int64)
-    width = int((first + size).max())
-    grid = np.zeros((m, width), np.uint8)
-    for i, s in enumerate(strings):
-        grid[i, first[i] : first[i] + len(s)] = np.frombuffer(s, np.uint8)
-    columns = np.ascontiguousarray(grid.T)
-    end = first + size
+class Files:
+    """Sequential files of one construction, in the folder that executors share; they go when it is done."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.files, path = fs.FileSystem.from_uri(folder)
+        self.path = f"{path}/{uuid.uuid4().hex}"
+        self.files.create_dir(self.path, recursive=True)
+
+    def write(self, name: str):
+        return self.files.open_output_stream(f"{self.path}/{name}", compression=None)
+
+    def read(self, name: str):
+        return self.files.open_input_stream(f"{self.path}/{name}", compression=None)
+
+    def __enter__(self) -> Files:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.files.delete_dir(self.path)
+
+
+#: Columns that are put together at a time.
+COLUMNS = 64
+
+
+def _write_columns(strings: list[np.ndarray], first: np.ndarray, end: np.ndarray, width: int, out) -> None:
+    """All symbols of a column, then those of the column before it; absent ones are zero."""
+    dtype = strings[0].dtype
+    for high in range(width, 0, -COLUMNS):
+        low = max(0, high - COLUMNS)
+        grid = np.zeros((len(strings), high - low), dtype)
+        for i in np.flatnonzero((first < high) & (end > low)).tolist():
+            a, b = max(first[i], low), min(end[i], high)
+            grid[i, a - low : b - low] = strings[i][a - first[i] : b - first[i]]
+        out.write(np.ascontiguousarray(grid.T[::-1]).tobytes())
+
+
+def _add_columns(columns, bwt, order_out, common_out, dtype: np.dtype, first: np.ndarray, end: np.ndarray, group: np.ndarray, width: int) -> None:
+    """Rounds: one symbol of every string is read, put into the transform, and order and common prefixes are appended."""
+    m = len(first)
     order = np.arange(m)
-    base = group.astype(np.int64) * 512
     common = np.zeros(m + 1, np.int32)  # with the suffix before it in the order; one more for ranges that end last
-    marks = np.zeros((width, m), bool)
+    base = group.astype(np.int64) * (max(m, 256) + 1)
     for x in range(width - 1, -1, -1):
-        symbol = columns[x, order].astype(np.int64)
+        column = np.frombuffer(columns.read(m * dtype.itemsize), dtype)
+        bwt.write(column[order].tobytes())
+        symbol = column.astype(np.int64) if dtype.itemsize == 1 else np.unique(column, return_inverse=True)[1].astype(np.int64)
+        symbol = symbol[order]
         absent = (x < first[order]) | (x >= end[order])
-        symbol[absent] = 256
-        key = base + symbol
+        symbol[absent] = max(m, 256)
+        key = base[order] + symbol
         if (key[1:] >= key[:-1]).all():
             same = key[1:] == key[:-1]
             least = common[1:m]
@@ -205,82 +273,125 @@ def repeated(strings: list[bytes], lead: list[int], group: np.ndarray, length: i
                 least[far] = np.minimum.reduceat(common, span)[::2]
             order = order[move]
             given = absent[move]
-        new = np.zeros(m + 1, np.int32)
-        new[1:m] = np.where(same & ~given[1:], least + 1, 0)
-        common = new
-        long = common >= length
-        if long.any():
-            marks[x, order[long[:m] | long[1:]]] = True
-    return [marks[first[i] : end[i], i] for i in range(m)]
-
-
-_SPANS = "doc_id long, th long, low long, high long"
+        common = np.zeros(m + 1, np.int32)
+        common[1:m] = np.where(same & ~given[1:], least + 1, 0)
+        order_out.write(order.astype(np.int32).tobytes())
+        common_out.write(common[:m].tobytes())
 
 
-def _spans_of(rows: list[tuple], marks: list[np.ndarray], length: int) -> list[tuple]:
+def _read_marks(order_in, common_in, m: int, width: int, length: int, doc: np.ndarray | None) -> list[tuple[np.ndarray, int]]:
+    """(strings whose suffix at the column starts a repeated window, column); doc: where given, the window has to be in
+    several documents, and -1 stands for several."""
     out = []
-    for (doc, th, at, _, single, _), mark in zip(rows, marks, strict=True):
-        if single and mark.any():
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], mark, [False])).astype(np.int8)))
-            out += [(doc, th, at + a, at + b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    for x in range(width - 1, -1, -1):
+        order = np.frombuffer(order_in.read(4 * m), np.int32)
+        long = np.concatenate((np.frombuffer(common_in.read(4 * m), np.int32) >= length, [False]))
+        if not long.any():
+            continue
+        marked = long[:m] | long[1:]
+        if doc is not None:
+            start = np.flatnonzero(~long[:m])  # runs of suffixes with the same window
+            of = doc[order]
+            several = (np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)) | (np.minimum.reduceat(of, start) < 0)
+            marked &= np.repeat(several, np.diff(np.append(start, m)))
+        if marked.any():
+            out.append((order[marked], x))
     return out
 
 
+def repeated(strings: list[np.ndarray], lead: list[int], group: np.ndarray, length: int, folder: str, doc: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each string, the places from which a window is in another string of its group, at the same distance to the
+    k-gram.  Strings are sorted by group."""
+    m, size = len(strings), np.array([len(s) for s in strings], np.int64)
+    first = max(lead) - np.array(lead, np.int64)
+    end = first + size
+    width = int(end.max())
+    with Files(folder) as files:
+        with files.write("columns") as out:
+            _write_columns(strings, first, end, width, out)
+        with files.read("columns") as columns, files.write("bwt") as bwt, files.write("order") as order, files.write("common") as common:
+            _add_columns(columns, bwt, order, common, strings[0].dtype, first, end, group, width)
+        with files.read("order") as order, files.read("common") as common:
+            marks = _read_marks(order, common, m, width, length, doc)
+    if not marks:
+        return [np.zeros(0, np.int64)] * m
+    of = np.concatenate([i for i, _ in marks])
+    at = np.concatenate([np.full(len(i), x) for i, x in marks]) - first[of]
+    by = np.lexsort((at, of))
+    return np.split(at[by], np.searchsorted(of[by], np.arange(1, m)))
+
+
+_SPANS = "doc_id long, th long, unit int, low long, high long"
+
+
+def _runs(places: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of places that follow each other: first, last."""
+    cut = np.flatnonzero(np.diff(places) != 1)
+    return list(zip(places[np.append(0, cut + 1)].tolist(), places[np.append(cut, len(places) - 1)].tolist(), strict=True)) if len(places) else []
+
+
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "th", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in _SPANS.split(", ")])
 
 
-def _ordered(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        groups: list[int] = []
-        now, own, number = None, [], 0
-
-        def close() -> None:
-            nonlocal number, own
-            if len(own) > 1 and any(r[4] for r in own):
-                rows.extend(own)
-                groups.extend([number] * len(own))
-                number += 1
-            own = []
-
-        def order() -> list[tuple]:
-            nonlocal number
-            marks = repeated([r[5] for r in rows], [r[3] for r in rows], np.array(groups), length)
-            out = _spans_of(rows, marks, length)
-            rows.clear()
-            groups.clear()
-            number = 0
-            return out
+class _Collection:
+    """Strings of one unit, group by group, until there are enough to be ordered together."""
+
+    def __init__(self, unit: Unit, folder: str):
+        self.unit, self.folder, self.rows, self.groups, self.number = unit, folder, [], [], 0
+
+    def add(self, own: list[tuple]) -> None:
+        if len(own) > 1 and any(r[4] for r in own):
+            self.rows += own
+            self.groups += [self.number] * len(own)
+            self.number += 1
 
+    def order(self) -> list[tuple]:
+        if not self.rows:
+            return []
+        dtype = np.uint8 if self.unit.size == 1 else np.uint64
+        doc = np.array([hash((r[0], r[1])) & 0x7FFFFFFFFFFFFFFF if r[4] else -1 for r in self.rows], np.int64) if self.unit.across else None
+        found = repeated([np.frombuffer(r[5], dtype) for r in self.rows], [r[3] for r in self.rows], np.array(self.groups), self.unit.length, self.folder, doc)
+        out = [(i, th, self.unit.number, at + a, at + b + self.unit.length) for (i, th, at, _, single, _), places in zip(self.rows, found, strict=True) if single for a, b in _runs(places)]
+        self.rows, self.groups, self.number = [], [], 0
+        return out
+
+
+def _ordered(kinds: tuple[Unit, ...], folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_Collection(u, folder) for u in kinds]
+        now, unit, own = None, 0, []
         for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "th", "at", "lead", "single", "bytes")), strict=True):
+            for key, number, *row in zip(*(b.column(c).to_pylist() for c in ("key", "unit", "doc_id", "th", "at", "lead", "single", "symbols")), strict=True):
                 if key != now:
-                    close()
-                    now = key
-                    if len(rows) >= TOGETHER and (out := order()):
+                    held[unit].add(own)
+                    if len(held[unit].rows) >= TOGETHER and (out := held[unit].order()):
                         yield _span_batch(out)
+                    now, unit, own = key, number, []
                 if not own or own[-1][:3] != tuple(row[:3]):
                     own.append(tuple(row))
-        close()
-        if rows and (out := order()):
-            yield _span_batch(out)
+        held[unit].add(own)
+        for collection in held:
+            if out := collection.order():
+                yield _span_batch(out)
+        tk.give_back()
 
     return run
 
 
-_WINDOWS = "d1 long, d2 long, doc_id long, th long, at long, n int"
+_WINDOWS = "d1 long, d2 long, doc_id long, th long, unit int, at long, single boolean"
 
 
-def _windows(length: int):
+def _windows(kinds: tuple[Unit, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, th, at, single, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "at", "single", "bytes")), strict=True):
-                k = len(own) - length + 1
-                code = b"".join([hashlib.blake2b(own[i : i + length], digest_size=16).digest() for i in range(k)])
+            for number, doc, th, at, single, own in zip(*(b.column(c).to_pylist() for c in ("unit", "doc_id", "th", "at", "single", "symbols")), strict=True):
+                size, length = kinds[number].size, kinds[number].length
+                k = len(own) // size - length + 1
+                code = b"".join([hashlib.blake2b(own[size * i : size * (i + length)], digest_size=16).digest() for i in range(k)])
                 d = np.frombuffer(code, np.int64).reshape(-1, 2)
                 fill = lambda v, t: pa.array([v] * k, t)
-                yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), fill(doc, pa.int64()), fill(th, pa.int64()), pa.array(np.arange(at, at + k)), fill(1 if single else 2, pa.int32())], names=["d1", "d2", "doc_id", "th", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), fill(doc, pa.int64()), fill(th, pa.int64()), fill(number, pa.int32()), pa.array(np.arange(at, at + k)), fill(single, pa.bool_())], names=[c.split()[0] for c in _WINDOWS.split(", ")])
 
     return run
 
@@ -289,58 +400,75 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
 
-def _beside(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs with the row of their id and text code: sent to all executors if few, else by a shuffle of both."""
+def _beside(docs: DataFrame, rows: DataFrame, items: str, how: str) -> DataFrame:
+    """docs with the row of their id and text code: sent to all executors if that is few bytes, else by a shuffle of
+    both; items: the array that makes a row long."""
+    size = rows.agg((F.sum(F.size(items)) * 48 + F.count("*") * 64).alias("n")).first().n or 0
     rows = rows.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    if rows.count() <= SENT:
+    if size <= SENT:
         rows = F.broadcast(rows)
     return docs.join(rows, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.th == F.col("_th")), how).drop("_id", "_th")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, low, high): byte ranges to remove, which may meet; th is the code of the text."""
-    docs = _keyed(narrow(docs, id_col, text_col).where(F.octet_length("text") >= length))
-    occ = kept(docs.select("doc_id", "text", "th").mapInArrow(_cut(length), _OCC), "contexts")
+def _repeats(kinds: tuple[Unit, ...], n: str, low: str, high: str):
+    """Whether what occurs n times, in documents with codes from low to high, repeats as its unit asks for."""
+    across = [u.number for u in kinds if u.across]
+    return F.when(F.col("unit").isin(across), F.col(low) != F.col(high)).otherwise(F.col(n) > 1)
+
+
+def spans(docs: DataFrame, kinds: tuple[Unit, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, unit, low, high): ranges of symbols that repeat, which may meet; th is the code of the text."""
+    docs = _keyed(narrow(docs, id_col, text_col).where(F.octet_length("text") >= min(u.length if u.size == 1 else 2 * u.length - 1 for u in kinds)))
+    folder = in_release(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/pointloom-columns-{uuid.uuid4().hex}")
+    occ = kept(docs.select("doc_id", "text", "th").mapInArrow(_cut(kinds), _OCC), "contexts")
+    length = F.element_at(F.array(*(F.lit(u.length) for u in kinds)), F.col("unit") + 1)
     first = lambda c: F.first(c).alias(c)  # noqa: E731  (all of one row: they are taken together)
-    same = kept(occ.groupBy("gram", "ctx").agg(F.count("*").alias("n"), *map(first, ("doc_id", "th", "at", "windows", "off"))), "same")
-    whole = occ.join(same.where("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("doc_id", "th", F.col("at").alias("low"), (F.col("at") + F.col("windows") - 1 + length).alias("high"))
+    code = F.xxhash64("doc_id", "th")
+    same = kept(occ.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(code).alias("from"), F.max(code).alias("to"), *map(first, ("doc_id", "th", "unit", "at", "windows", "off"))).withColumn("many", _repeats(kinds, "n", "from", "to")), "same")
+    whole = occ.join(same.where("many").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("doc_id", "th", "unit", F.col("at").alias("low"), (F.col("at") + F.col("windows") - 1 + length).alias("high"))
     several = same.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    open_ctx = same.join(several, "gram", "left_semi")
-    wanted = kept(open_ctx.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "n", "at", "windows", "off")).alias("wanted")), "wanted")  # a row for each document
+    # what a document alone has several times is wanted in every place
+    again = occ.join(same.where("n > 1 and not many").select("gram", "ctx"), ["gram", "ctx"], "left_semi").withColumn("many", F.lit(False))
+    fields = ["gram", "doc_id", "th", "unit", "at", "windows", "off", "many"]
+    open_ctx = same.where("n = 1 or many").select(*fields).unionByName(again.select(*fields)).join(several, "gram", "left_semi")
+    wanted = kept(open_ctx.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "unit", "at", "windows", "off", (~F.col("many")).alias("single"))).alias("wanted")), "wanted")  # a row for each document
     # rows of documents that repeat fetch the same strings, which are taken once below
-    texts = _beside(docs, wanted, "inner").select("doc_id", "th", "text", "wanted")
-    strings = kept(texts.mapInArrow(_fetched(length), _STRINGS), "strings")
+    texts = _beside(docs, wanted, "wanted", "inner").select("doc_id", "th", "text", "wanted")
+    strings = kept(texts.mapInArrow(_fetched(kinds), _STRINGS), "strings")
     hot = kept(strings.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key"), "hot")
     cold = strings.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id", "th", "at")
-    found = whole.unionAll(cold.mapInArrow(_ordered(length), _SPANS))
+    found = whole.unionByName(cold.mapInArrow(_ordered(kinds, folder), _SPANS))
     if not hot.isEmpty():
-        windows = kept(strings.join(hot, "key", "left_semi").dropDuplicates(["key", "doc_id", "th", "at"]).mapInArrow(_windows(length), _WINDOWS), "windows")
-        twice = windows.groupBy("d1", "d2").agg(F.sum("n").alias("n")).where("n > 1").select("d1", "d2")
-        found = found.unionAll(windows.where("n = 1").join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
+        windows = kept(strings.join(hot, "key", "left_semi").dropDuplicates(["key", "doc_id", "th", "at"]).mapInArrow(_windows(kinds), _WINDOWS), "windows")
+        counted = windows.groupBy("d1", "d2", "unit").agg(F.count("*").alias("n"), F.min(code).alias("from"), F.max(code).alias("to"), (~F.bool_and("single")).alias("many"))
+        twice = counted.where(F.col("many") | _repeats(kinds, "n", "from", "to")).select("d1", "d2")
+        found = found.unionByName(windows.where("single").join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", "unit", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
     return found
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        n, gone, runs, sha = [], [], [], []
-        for t, low, high in zip(texts, rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+        out: list[list] = [[] for _ in range(8)]
+        for t, spans_of in zip(texts, rows.column(2).to_pylist(), strict=True):
             left, count, removed, at = hashlib.sha256(), 0, 0, 0
             raw = t or b""
-            for a, b in merged(low or [], high or []):
+            for a, b in merged([(x["low"], x["high"]) for x in spans_of or () if x["unit"] == 0]):
                 left.update(raw[at:a])
                 count, removed, at = count + 1, removed + b - a, b
             left.update(raw[at:])
-            for column, v in zip((n, gone, runs, sha), (len(raw), removed, count, left.hexdigest()), strict=True):
+            passages = merged([(x["low"], x["high"]) for x in spans_of or () if x["unit"] == 1])
+            for column, v in zip(out, (len(raw), removed, count, left.hexdigest(), len(raw) - removed, len(passages), sum(b - a for a, b in passages), bool(passages)), strict=True):
                 column.append(v)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        kinds = (*(pa.int64(),) * 3, pa.string(), *(pa.int64(),) * 3, pa.bool_())
+        return pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return tk.by_parts(batches, "text", one)
 
 
-def merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the ranges; ranges that touch are one run."""
     out: list[list[int]] = []
-    for a, b in sorted(zip(low, high, strict=True)):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -348,9 +476,10 @@ def merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: bytes, bytes and maximal runs removed, and the digest of what is left."""
+def dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: bytes, bytes and maximal runs removed, the digest of what is left and its bytes; the runs
+    of words that it shares with another document, and whether there is any."""
     texts = _keyed(narrow(docs, id_col, text_col))
-    found = spans(docs, length, id_col, text_col)
-    by_doc = kept(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("r")).select("doc_id", "th", F.col("r.low").alias("low"), F.col("r.high").alias("high")), "spans")
-    return _beside(texts, by_doc, "left").select("doc_id", "text", "low", "high").mapInArrow(_removed, SCHEMA)
+    found = spans(docs, units(length, passage), id_col, text_col)
+    by_doc = kept(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("unit", "low", "high")).alias("spans")), "spans")
+    return _beside(texts, by_doc, "spans", "left").select("doc_id", "text", "spans").mapInArrow(_removed, SCHEMA)

@@ -7,6 +7,8 @@ about 24 bytes a word of the batch, however long a single text is.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,15 +16,21 @@ import pyarrow as pa
 
 #: Bytes of text handled at once, and at least one whole text.
 BATCH = 2 << 20
-#: Bytes hashed at once; pieces end at word ends.
+#: Bytes that rolling codes are made of at once.
 PIECE = 1 << 20
 
 _U = np.uint64
-_MULTIPLIER = 0x9E3779B97F4A7C55
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _PLACE_CODE = _SEED.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
+_CHUNK_CODE = _SEED.integers(1, 1 << 63, 32, dtype=np.uint64) * _U(2) + _U(1)
+#: Spans of more bytes are coded by a cryptographic hash, one by one.
+_SHORT = 8 * len(_CHUNK_CODE)
+#: The first so many bytes of eight, as a little-endian integer.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+#: Rolling codes: a prime for sums without overflow, two bases, and their powers for PIECE bytes.
+_PRIME = (1 << 31) - 1
+_BASES = (1_331_572_613, 1_908_870_421)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -41,27 +49,6 @@ BLANK = _table((0x20, 0x20), (0x09, 0x0D))
 #: Words are runs of ASCII letters and digits and of everything outside ASCII, after lower-casing.
 ALNUM = _table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(PIECE + 2, 1 << (n + 1).bit_length())
-    if n >= PIECE + 1:
-        return _grow(size)
-    if PIECE not in _powers:
-        _powers[PIECE] = _grow(PIECE + 2)
-    return _powers[PIECE]
-
-
-def _grow(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_MULTIPLIER, _INVERSE):
-        table = np.full(size, _U(base), np.uint64)
-        table[0] = 1
-        out.append(np.multiply.accumulate(table))
-    return out[0], out[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -73,28 +60,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers): the code of buf[s:e] is (sums[e] - sums[s]) * inverse[s]."""
-    power, inverse = _power_tables(len(buf))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[buf] * power[: len(buf)], out=sums[1:])
-    return sums, inverse
-
-
 def codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit code of the bytes of each span; spans are in order and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    done = 0
-    while done < len(start):
-        base = start[done]
-        last = max(done + 1, int(np.searchsorted(end, base + PIECE, "right")))
-        sums, inverse = prefix_sums(buf[base : end[last - 1]])
-        s, e = start[done:last] - base, end[done:last] - base
-        out[done:last] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _PLACE_CODE[63]
-        done = last
+    """A 64-bit code of the bytes of each span; two different spans have one code with a chance of 2 ** -64.
+
+    Spans are taken eight bytes at a time, each step through a bijection that spreads all bits, so that no arithmetic
+    pattern of the bytes cancels out; long spans go through a keyed cryptographic hash.
+    """
+    size = end - start
+    out = size.astype(np.uint64) * _CHUNK_CODE[0]
+    if not len(start):
+        return out
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    short = size <= _SHORT
+    at = np.flatnonzero((size > 0) & short)
+    j = 0
+    while len(at):
+        left = size[at] - 8 * j
+        chunk = eight[start[at] + 8 * j] & _FIRST[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ chunk) * _CHUNK_CODE[j])
+        at = at[left > 8]
+        j += 1
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=b"words").digest(), "little")
     return mix(out)
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2 ** 62; the prime itself may stand for 0."""
+    x = (x & _U(_PRIME)) + (x >> _U(31))
+    return (x & _U(_PRIME)) + (x >> _U(31))
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """For each base its powers, and those of its inverse, up to n."""
+    if not _powers or len(_powers[0]) <= n:
+        _powers.clear()
+        for base in (*_BASES, *(pow(b, -1, _PRIME) for b in _BASES)):
+            table = np.ones(1, np.uint64)
+            while len(table) <= n:
+                table = np.concatenate([table, _modulo(table * _U(pow(base, len(table), _PRIME)))])
+            _powers.append(table)
+    return _powers
+
+
+class Rolling:
+    """Codes of any spans of a buffer of PIECE symbols at most, bytes or 64-bit codes: two polynomials modulo a prime,
+    so that two different spans of n symbols have one code with a chance of about (n / 2 ** 31) ** 2."""
+
+    def __init__(self, buf: np.ndarray):
+        assert len(buf) <= PIECE
+        tables = _power_tables(PIECE)
+        values = [buf.astype(np.uint64) + _U(1)] * 2 if buf.dtype.itemsize == 1 else [buf % _U(_PRIME), (buf >> _U(32)) + _U(1)]
+        self.sums = []
+        for power, value in zip(tables[:2], values, strict=True):
+            sums = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(_modulo(_modulo(value) * power[: len(buf)]), out=sums[1:])
+            self.sums.append(_modulo(sums))
+        self.inverse = tables[2:]
+
+    def code(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        parts = [_modulo(_modulo(sums[end] + _U(_PRIME) - sums[start]) * inverse[start]) % _U(_PRIME) for sums, inverse in zip(self.sums, self.inverse, strict=True)]
+        return mix((parts[0] << _U(31)) | parts[1])
+
+
 class Words:
     """Words of a batch of texts.
 
@@ -182,3 +214,13 @@ def by_parts(
             out = work(piece, texts_of(column.slice(lo, hi - lo)))
             if out is not None and out.num_rows:
                 yield out
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine at the end of a task: workers live on, and the next task may need little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library keeps it
+        ctypes.CDLL(None).malloc_trim(0)
