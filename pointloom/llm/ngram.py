@@ -14,9 +14,11 @@ shingle among their first n - ceil(t * n) + 1, their prefixes.
 3. Group pairs are expanded to members, filtered by what their prefixes allow, and verified with whole sets, so
    that a group of m near copies takes about m verifications, not m * m.  First each document is verified against
    one pivot of each list.  Then lists whose documents are all in one component are done, as no further link can
-   change the result.  In the others, shingles that a document of these lists has alone bound what it can share, which
-   takes out most of the rim of a large group.  Where very many pairs across components are left, other pivots have their turn, and lists
-   that this completes are done as well.  All pairs that are left then, of sizes close enough, are verified.
+   change the result.  In the others, shingles that a document of these lists has alone bound what it can share.
+   Where very many pairs across components are left in a list, every document of it is measured against the one that
+   has the fewest shingles alone: two documents share at most the lesser of what both share with it, and the lesser of
+   what both share with others beyond it, which takes out the rim of a large group.  All pairs that these bounds
+   leave, of sizes close enough, are verified.
 
 Exact copies are one class throughout: equal sets have equal 128-bit digests, and links between classes are links
 between all their documents.
@@ -48,15 +50,13 @@ SLICE = 1 << 15
 #: A list longer than this within one task is taken apart there.
 LONG = 32
 #: Prefix entries in a bucket, about; there are as many buckets as that needs.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
 #: Entries that a task holds before it packs them.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Documents verified against a pivot in one group.
 CHUNK = 64
-#: Turns of pivots before the pairs that are left are all taken.
-TURNS = 1
-#: Pairs across components, for each entry of a list, that are taken without more turns.
-FEW = 8
+#: Pairs across components, for each entry of a list, that are taken without measuring the list against a pivot.
+FEW = 1
 #: Lists before a document's entry that its pairs are looked for in.
 SEEN = 16
 #: Requests for sets that are sent to all executors, at most (40 bytes each); with more, both sides are shuffled.
@@ -308,6 +308,7 @@ def _sent(levels, buckets: int, percent: int):
             yield from out
             out.clear()
         yield from sender.send()
+        tk.give_back()
 
     return run
 
@@ -352,6 +353,7 @@ def _joined(percent: int):
                 blocks.append(block)
         if blocks:
             yield from of_bucket(now, blocks)
+        tk.give_back()
 
     return run
 
@@ -381,10 +383,11 @@ def _all_codes(buckets: int):
             return rows
 
         for _ in tk.by_parts(batches, "text", one):
-            if sum(len(c) for _, c in held) >= HELD:
+            if sum(len(c) for _, c in held) >= HELD // 2:
                 yield from send()
         if held:
             yield from send()
+        tk.give_back()
 
     return run
 
@@ -410,6 +413,7 @@ def _lonely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append(block)
     if blocks:
         yield of_bucket(blocks)
+    tk.give_back()
 
 
 def _beside(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -452,10 +456,14 @@ def _parts(levels, percent: int):
     return run
 
 
+def shared(own: bytes, other: bytes) -> int:
+    """How many shingles two whole sets share."""
+    return len(np.intersect1d(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True))
+
+
 def similar(own: bytes, other: bytes, n: int, m: int, percent: int) -> bool:
     """Whether two whole sets are similar."""
-    a, b = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    common = shared(own, other)
     return 100 * common >= percent * (n + m - common)
 
 
@@ -471,6 +479,8 @@ def may_be_similar(own: bytes, other: bytes, n: int, m: int, percent: int) -> bo
 
 
 def _compared(test, percent: int):
+    """Rows (a, b) of the pairs that pass the test, or without a test, of all pairs with s, what they share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, None
         for batch in batches:
@@ -482,18 +492,19 @@ def _compared(test, percent: int):
                     mine.append((n, codes))
                     continue
                 for m, other in mine if at == (pivot, salt) else ():
-                    if min(n, m) and 100 * min(n, m) >= percent * max(n, m) and test(codes, other, n, m, percent):
+                    if test is None:
+                        found.append((doc, pivot, shared(codes, other)))
+                    elif min(n, m) and 100 * min(n, m) >= percent * max(n, m) and test(codes, other, n, m, percent):
                         found.append((doc, pivot))
                         break
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b", "s"][: len(found[0])])
 
     return run
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, levels, test, percent: int) -> DataFrame:
-    """The pairs that pass the test.  Partners of a pivot are dealt out in groups of about CHUNK."""
+    """The pairs that pass the test, or all with what they share.  Partners of a pivot are dealt out in groups of about CHUNK."""
     pairs = kept(pairs.select("a", "b").where("a <> b").distinct(), "pairs")
     busy = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > CHUNK)
     salted = pairs.join(busy, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / CHUNK)), F.lit(0)).cast("int").alias("salt"))
@@ -504,7 +515,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, levels, test, percent: int) -> D
         wanted = F.broadcast(wanted)
     parts = docs.join(wanted, docs.doc_id == F.col("id")).select("doc_id", "text", "pivot", "salt", "role").mapInArrow(_parts(levels, percent), "doc_id long, pivot long, salt int, role int, n int, codes binary")
     dealt = parts.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
-    return kept(dealt.mapInArrow(_compared(test, percent), "a long, b long"), "links")
+    return kept(dealt.mapInArrow(_compared(test, percent), "a long, b long" + ", s long" * (test is None)), "links")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, levels, percent: int = PERCENT) -> DataFrame:
@@ -517,10 +528,11 @@ def _buckets(shingles: int, percent: int) -> int:
     return 1 << max(6, min(30, (need - 1).bit_length()))
 
 
-def _close(a: str, b: str, ea: str, eb: str, percent: int):
-    """Whether sets of sizes a and b, of which at most ea and eb can be in common, can be similar."""
-    most = F.least(ea, eb)
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent) & (most * 100 >= percent * (F.col(a) + F.col(b) - most))
+def _close(na, nb, sa, sb, oa, ob, percent: int):
+    """Whether sets of sizes na and nb can be similar, where they have at most the lesser of sa and sb in common within
+    the pivot of their list, and the lesser of oa and ob beyond it."""
+    most = F.least(sa, sb) + F.least(oa, ob)
+    return (F.col(na) * 100 >= F.col(nb) * percent) & (F.col(nb) * 100 >= F.col(na) * percent) & (most * 100 >= percent * (F.col(na) + F.col(nb) - most))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -567,46 +579,45 @@ def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     lists = lists.unionAll(wider)
     placed = _mixed(lists.join(parts, lists.doc == parts.v, "left").select("list", "doc", "n", F.coalesce("c", "doc").alias("part")).distinct())
     placed = _mixed(shareable(docs, placed, many, buckets, percent))
-    later = []
-    for turn in range(TURNS):
-        spans = placed.groupBy("list", "part").agg(F.count("*").cast("double").alias("k")).groupBy("list").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"))
-        pairs = spans.agg(F.sum("pairs")).first()[0] or 0
-        if pairs <= FEW * placed.count():
-            break
-        # one pivot a list, another each turn and in each list: most documents of a large component's rim find it
-        rank = F.struct(F.xxhash64("list", "doc", F.lit(turn)).alias("h"), F.col("doc").alias("p"), F.col("part").alias("to"), F.col("n").alias("np"), F.col("e").alias("ep"))
-        pivots = placed.groupBy("list").agg(F.min(rank).alias("x")).select("list", "x.p", "x.to", "x.np", "x.ep")
-        tried = placed.join(pivots, "list").where((F.col("part") != F.col("to")) & _close("n", "np", "e", "ep", percent))
-        step = verify(docs, tried.select(F.col("doc").alias("a"), F.col("p").alias("b")), levels, percent)
-        if step.isEmpty():
-            break
-        later.append(step)
-        # a component that found a link takes the pivot's name; names need only never join what no link joins
-        found_by = tried.select(F.col("doc").alias("a"), F.col("p").alias("b"), "part", "to").distinct().join(step, ["a", "b"])
-        onto = found_by.groupBy(F.col("part").alias("v")).agg(F.min("to").alias("c"))
-        placed = _mixed(placed.join(onto, placed.part == onto.v, "left").select("list", "doc", "n", F.coalesce("c", "part").alias("part"), "e"))
+    placed = placed.join(many.select(F.col("a").alias("doc"), F.lit(True).alias("unsure")), "doc", "left")
+    spans = placed.groupBy("list", "part").agg(F.count("*").cast("double").alias("k"))
+    busy = kept(spans.groupBy("list").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("pairs"), F.sum("k").alias("k")).where(F.col("pairs") > FEW * F.col("k")).select("list"), "busy")
+    # In each list with very many pairs, what every document shares with the one that has the least of its own.
+    rank = F.struct((F.col("n") - F.col("e")).alias("own"), F.xxhash64("doc").alias("h"), F.col("doc").alias("p"), F.col("part").alias("to"), F.col("n").alias("np"))
+    pivots = placed.where("unsure is null").join(busy, "list", "left_semi").groupBy("list").agg(F.min(rank).alias("x")).select("list", "x.p", "x.to", "x.np")
+    tried = kept(placed.join(pivots, "list").where("doc <> p and unsure is null").select("list", "doc", "p", "part", "to", "n", "np"), "tried")
+    met = kept(_checked(docs, tried.select(F.col("doc").alias("a"), F.col("p").alias("b")), None, None, percent).groupBy("a", "b").agg(F.max("s").alias("s")), "met")
+    known = tried.join(met, (tried.doc == met.a) & (tried.p == met.b))
+    step = kept(known.where((F.col("part") != F.col("to")) & (F.col("s") * 100 >= percent * (F.col("n") + F.col("np") - F.col("s")))).select("a", "b", "part", "to").distinct(), "step")
+    later = [step.select("a", "b")]
+    onto = components(step.select(F.col("part").alias("a"), F.col("to").alias("b")))
+    inside = known.select("list", "doc", "s").unionAll(pivots.select("list", F.col("p").alias("doc"), F.col("np").cast("long")))
+    placed = placed.join(onto, placed.part == onto.v, "left").join(inside, ["list", "doc"], "left")
+    inside, beyond = F.when(F.col("unsure"), F.col("n")).otherwise(F.coalesce("s", "e")), F.when(F.col("unsure"), F.col("n")).otherwise(F.coalesce(F.col("e") - F.col("s"), F.lit(0)))
+    placed = _mixed(placed.select("list", "doc", "n", F.coalesce("c", "part").alias("part"), inside.cast("int").alias("s"), beyond.cast("int").alias("o")))
 
     # All pairs that are left across components, as far as sizes allow.
     # A pair meets in many lists; where both have seen each other in one of the last few, it isn't taken again.
     before = Window.partitionBy("doc").orderBy("list").rowsBetween(-SEEN, -1)
     placed = kept(placed.withColumn("seen", F.collect_list("list").over(before)), "placed")
-    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("e").alias("e"), F.count("*").alias("k"), F.first("seen").alias("seen"))
+    spans = placed.groupBy("list", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("s").alias("s"), F.max("o").alias("o"), F.count("*").alias("k"), F.first("seen").alias("seen"))
     spans = spans.withColumn("seen", F.when(F.col("k") == 1, F.col("seen")).otherwise(F.array().cast("array<long>")))  # of components of one document
-    left, right = spans.toDF("list", "one", "least", "most", "e", "k", "s"), spans.toDF("list2", "two", "least2", "most2", "e2", "k2", "s2")
-    common = F.least("e", "e2")
+    names = ("list", "one", "least", "most", "s", "o", "k", "seen")
+    left, right = spans.toDF(*names), spans.toDF(*(f"{c}2" for c in names)).withColumnRenamed("one2", "two")
+    common = F.least("s", "s2") + F.least("o", "o2")
     fits = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent) & (common * 100 >= percent * (F.col("least") + F.col("least2") - common))
-    across = left.join(right, (left.list == right.list2) & (left.one < right.two) & fits & ~F.arrays_overlap("s", "s2"))
+    across = left.join(right, (left.list == right.list2) & (left.one < right.two) & fits & ~F.arrays_overlap("seen", "seen2"))
     fewer = F.col("k") <= F.col("k2")  # the smaller side is expanded first, the larger against it
     across = across.select("list", F.when(fewer, F.col("one")).otherwise(F.col("two")).alias("part"), F.when(fewer, F.col("two")).otherwise(F.col("one")).alias("part2"))
-    one, two = placed.toDF("list", "a", "na", "part", "ea", "sa"), placed.toDF("list", "b", "nb", "part2", "eb", "sb")
-    pairs = across.join(one, ["list", "part"]).join(two, ["list", "part2"]).where(_close("na", "nb", "ea", "eb", percent) & ~F.arrays_overlap("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = placed.toDF("list", "a", "na", "part", "sa", "oa", "seena"), placed.toDF("list", "b", "nb", "part2", "sb", "ob", "seenb")
+    pairs = across.join(one, ["list", "part"]).join(two, ["list", "part2"]).where(_close("na", "nb", "sa", "sb", "oa", "ob", percent) & ~F.arrays_overlap("seena", "seenb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = kept(pairs, "across")
     if not pairs.isEmpty():
         later.append(verify(docs, pairs, levels, percent))
-    if later:
-        for step in later:
-            links = links.unionAll(step)
-        parts = components(links)
+    for found_later in later:
+        links = links.unionAll(found_later)
+    parts = components(links)
+    levels.unpersist()
     labelled = own.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep")
     return labelled.join(parts, labelled.rep == parts.v, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id"))
 
@@ -621,6 +632,7 @@ def distinct(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     out = without(docs, gone.unionAll(several), id_col)
     if several.isEmpty():
         return out
-    rank = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`"))
     own = docs.join(several.toDF("_several"), docs[f"`{id_col}`"] == F.col("_several"), "left_semi")
-    return out.unionAll(own.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    rank = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(f"`{text_col}`"))
+    ranked = own.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), rank.alias("rank")).where("rank = 1")
+    return out.unionAll(ranked.select("row.*"))

@@ -109,6 +109,44 @@ def test_members(spark, monkeypatch, parts):
     assert rows(ngram.components_of(docs)) == want
 
 
+def test_words_of_one_code(spark):
+    """Words that polynomials modulo a power of two can't tell apart are different words."""
+    word = lambda n, swap: "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+    texts = [(i, " ".join(f"{word(n, swap)}{k}" if swap else f"{word(n, 0)}{k}" for k in range(9))) for i, (n, swap) in enumerate((n, s) for n in (1024, 4096) for s in (0, 1))]
+    texts += [(9, word(1024, 0)), (10, word(1024, 1))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(ngram.components_of(docs)) == brute(plain(docs)) and len({c for _, _, c in brute(plain(docs))}) == 6
+
+
+def rim():
+    """A base, near copies of it that are linked to it, and others beyond them, of which a few are linked to a copy."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    out = [list(base)]
+    for _ in range(150):
+        t, edits = list(base), rng.choice((1, 1, 2, 3, 4, 5, 6, 8))
+        if rng.random() < 0.3:  # side by side, or those of another
+            at = rng.randrange(140)
+            for j in range(edits):
+                t[at + j] = f"e{at}-{j}" if rng.random() < 0.7 else f"x{rng.randrange(10**6)}"
+        else:
+            for _ in range(edits):
+                t[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        if rng.random() < 0.1:
+            t = t[: rng.randrange(110, 150)]
+        out.append(t)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize(("parts", "few"), [(1, 1), (9, 1), (9, 10**9)])
+def test_rim(spark, monkeypatch, parts, few):
+    monkeypatch.setattr(ngram, "FEW", few)
+    docs = spark.createDataFrame(rim(), "doc_id long, text string").repartition(parts)
+    want = brute(plain(docs))
+    assert 5 < len({c for _, _, c in want}) < 140
+    assert rows(ngram.components_of(docs)) == want
+
+
 def test_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "x y z"), (9, "x y z"), (7, "q")], "doc_id long, text string")
     assert rows(ngram.components_of(docs)) == [(None, 1, None), (5, 1, 5), (5, 1, 5), (7, 1, 7), (9, 1, 5)]
