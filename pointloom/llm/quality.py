@@ -1,10 +1,14 @@
 """Quality rules: a linear-chain conditional random field labels the lines of a text as content or boilerplate.
 
 The field is trained here, on a bounded sample of labelled documents (``SAMPLE_DOCS`` of either label, chosen by a
-hash of the id), with all lines of a good document taken as content and all lines of a bad one as boilerplate.
-Viterbi decoding then labels the lines of every text; a document stays if lines of content hold at least
-``MIN_CONTENT`` of the bytes of its lines.  Scoring is one narrow pass over the documents: no shuffle, and each
-batch of whole texts is handled on its own.
+hash of the id; of these all lines count).  Labels are of documents, so those of lines come by expectation and
+maximisation in turns, with the documents' labels as constraint: each line first takes its document's label; a
+classifier of single lines is fitted; a line then takes the label that the classifier gives it, as long as a good
+document keeps half of its bytes as content and a bad one has no more than ``MIN_CONTENT`` of them, the surest lines
+first; and so on, ``TURNS`` times.  The field is fitted on these labels, which change within a document.  Viterbi
+decoding then labels the lines of every text; a document stays if lines of content hold at least ``MIN_CONTENT`` of the
+bytes of its lines.  Scoring is one narrow pass over the documents: no shuffle, and each batch of whole texts is handled
+on its own.
 
 Defined results: a null text has no words and no lines; a document without lines has content share 0; rows that
 repeat are scored each on their own; with no labelled documents of both kinds the field is absent and every line
@@ -26,9 +30,12 @@ from .common import narrow, ship
 
 #: Labelled documents of either label that the field is fitted on, at most.
 SAMPLE_DOCS = 1500
-#: Lines in a training sequence, at most; longer documents give several sequences, up to SEQUENCES_A_DOC.
+#: Lines in a training sequence, at most; longer documents give several sequences.
 SEQUENCE = 48
-SEQUENCES_A_DOC = 4
+#: Turns of fitting a classifier of lines and labelling the lines anew.
+TURNS = 4
+#: Least share of a good document's bytes that stay content while lines are labelled.
+GOOD_CONTENT = 0.5
 #: Least share of a kept document's bytes in lines of content.
 MIN_CONTENT = 0.3
 
@@ -137,18 +144,58 @@ def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, penalty: float = 1.0) -> Field | None:
-    """Greatest conditional likelihood by full-batch gradient steps; sequences: features of lines, their label."""
-    if len({label for _, label in sequences}) < 2:
+def _line_classifier(x: np.ndarray, y: np.ndarray, rounds: int = 120, penalty: float = 1.0) -> np.ndarray:
+    """Weights of a logistic classifier of lines, with both labels weighing alike."""
+    theta, pace = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())) * len(y)
+    for _ in range(rounds):
+        grad = x.T @ ((y - 1 / (1 + np.exp(-(x @ theta)))) * weight) - penalty * theta
+        pace += grad * grad
+        theta += 0.3 * grad / np.sqrt(pace + 1e-9)
+    return theta
+
+
+def line_labels(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+    """Labels (true: content) of the lines of labelled documents: (features, bytes, label of the document)."""
+    size = np.array([len(x) for x, _, _ in docs])
+    first = np.concatenate(([0], np.cumsum(size)))
+    x = np.concatenate([x for x, _, _ in docs]).astype(np.float32)
+    good = np.repeat([q == 1 for _, _, q in docs], size)
+    share = np.concatenate([b / max(1, b.sum()) for _, b, _ in docs])
+    doc = np.repeat(np.arange(len(docs)), size)
+    y = good.copy()
+    for _ in range(TURNS):
+        score = x @ _line_classifier(x, y)
+        # of each document the lines that go against its label, surest first, as far as its share lasts
+        against = np.where(good, -score, score)
+        order = np.lexsort((-against, doc))
+        turned = np.where(against[order] > 0, share[order], 0.0)
+        spent = np.cumsum(turned)
+        spent -= np.repeat(np.concatenate(([0.0], spent))[first[:-1]], size)  # within the document
+        may = (turned > 0) & (spent <= np.where(good[order], 1 - GOOD_CONTENT, MIN_CONTENT))
+        new = good.copy()
+        new[order[may]] ^= True
+        if (new == y).all() or new.all() or not new.any():
+            break
+        y = new
+    return np.split(y, first[1:-1])
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 120, penalty: float = 1.0) -> Field | None:
+    """Greatest conditional likelihood by full-batch gradient steps; docs: features and bytes of lines, label."""
+    docs = [d for d in docs if len(d[0])]
+    if len({q for _, _, q in docs}) < 2:
         return None
-    n, longest = len(sequences), max(len(x) for x, _ in sequences)
+    sequences = [(x[at : at + SEQUENCE], own[at : at + SEQUENCE], q) for (x, _, q), own in zip(docs, line_labels(docs), strict=True) for at in range(0, len(x), SEQUENCE)]
+    n, longest = len(sequences), max(len(x) for x, _, _ in sequences)
     x = np.zeros((n, longest, N_FEATURES), np.float32)
-    size = np.zeros(n, np.int64)
-    y = np.zeros(n, np.int64)
-    for i, (rows, label) in enumerate(sequences):
-        x[i, : len(rows)], size[i], y[i] = rows, len(rows), label
+    y = np.zeros((n, longest), np.int64)
+    size = np.array([len(rows) for rows, _, _ in sequences])
+    for i, (rows, own, _) in enumerate(sequences):
+        x[i, : len(rows)], y[i, : len(rows)] = rows, own
     real = np.arange(longest) < size[:, None]
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
+    of = np.array([q for _, _, q in sequences])
+    weight = np.where(of == 1, 0.5 / max(1, (of == 1).sum()), 0.5 / max(1, (of == 0).sum())) * n
     theta, pace = np.zeros(N_FEATURES + 6), np.zeros(N_FEATURES + 6)
     for _ in range(rounds):
         emit, pair, start = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[N_FEATURES + 4 :]
@@ -165,14 +212,14 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, penalty: flo
         total = np.logaddexp(*np.moveaxis(forward[:, 0] + backward[:, 0], 1, 0))
         node = np.exp(forward + backward - total[:, None, None]) * real[:, :, None]
         grad = np.zeros_like(theta)
-        off = (y[:, None] - node[:, :, 1]) * real * weight[:, None]
+        off = (y - node[:, :, 1]) * real * weight[:, None]
         grad[:N_FEATURES] = np.einsum("nt,ntf->f", off, x)
         both = real[:, 1:] * weight[:, None]
         for a in (0, 1):
             for b in (0, 1):
                 edge = np.exp(np.minimum(0, forward[:, :-1, a] + pair[a, b] + score[:, 1:, b] + backward[:, 1:, b] - total[:, None]))
-                grad[N_FEATURES + 2 * a + b] = ((((y == a) & (y == b))[:, None] - edge) * both).sum()
-            grad[N_FEATURES + 4 + a] = (((y == a) - node[:, 0, a]) * weight).sum()
+                grad[N_FEATURES + 2 * a + b] = (((y[:, :-1] == a) & (y[:, 1:] == b)) * both - edge * both).sum()
+            grad[N_FEATURES + 4 + a] = (((y[:, 0] == a) - node[:, 0, a]) * weight).sum()
         grad -= penalty * theta
         pace += grad * grad
         theta = theta + 0.3 * grad / np.sqrt(pace + 1e-9)
@@ -236,16 +283,13 @@ def _scored(field: Field | None):
     return run
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and bytes of all lines of labelled documents."""
+
     def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         m = Measured(texts)
-        cut, label = [], []
-        for i, quality in enumerate(rows.column(2).to_pylist()):
-            lines = m.features[m.line_first[i] : m.line_first[i + 1]]
-            for at in range(0, min(len(lines), SEQUENCE * SEQUENCES_A_DOC), SEQUENCE):
-                cut.append(lines[at : at + SEQUENCE].tobytes())
-                label.append(quality)
-        return pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(label, pa.int32())], names=["features", "label"])
+        spans = list(zip(m.line_first[:-1].tolist(), m.line_first[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([m.features[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([m.line_bytes[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()), rows.column(2)], names=["features", "sizes", "label"])
 
     return tk.by_parts(batches, "text", one)
 
@@ -257,9 +301,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     chosen = pick(0).unionAll(pick(1))
     sample = narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")  # at most 2 * SAMPLE_DOCS rows are broadcast
-    rows = sample.mapInArrow(_sequences, "features binary, label int").collect()
+    rows = sample.mapInArrow(_lines, "features binary, sizes binary, label int").collect()  # 2 * SAMPLE_DOCS at most
     rows.sort()
-    return fit([(np.frombuffer(r.features, np.uint8).reshape(-1, N_FEATURES), r.label) for r in rows])
+    return fit([(np.frombuffer(r.features, np.uint8).reshape(-1, N_FEATURES), np.frombuffer(r.sizes, "<i4"), r.label) for r in rows])
 
 
 def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pointloom.llm import decontaminate, licenses, quality
 
 from .conftest import rows
@@ -44,6 +46,55 @@ def test_quality(spark, real, odd, no_docs, sf):
     assert all(r.kept != r.base_failed for r in quality.score(odd, None).collect())
 
 
+def thue_morse(n, swap=False):
+    """Strings that polynomials modulo a power of two can't tell apart."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_lines_of_one_code(spark):
+    texts = [(n, f"{thue_morse(n)}\n{thue_morse(n, True)}\n{'word ' * 60}") for n in (1024, 2048, 4096)]
+    got = quality.score(spark.createDataFrame(texts, "doc_id long, text string"), None).collect()
+    assert [r.n_dup_lines for r in got] == [0, 0, 0]
+
+
+def mixed_texts(docs, labels, n=200):
+    """Texts of stretches of lines from good and bad documents, and for each line whether it is content.  Lines of bad
+    documents count only where they look like junk, as those documents hold plain lines too."""
+    import random
+
+    rng = random.Random(5)
+    quality_of = {r.doc_id: r.quality for r in labels.collect()}
+    junk, clean = [], []
+    for r in docs.collect():
+        for line in (r.text or "").split("\n"):
+            odd = re.search(r"[|]|!!|%%%|&&&", line)
+            if blank(line) and quality_of.get(r.doc_id) == (0 if odd else 1):
+                (junk if odd else clean).append(line)
+    for i in range(n):
+        kinds = [rng.random() < 0.5 for _ in range(rng.randrange(2, 5)) for _ in range(rng.randrange(2, 6))]
+        for j in range(1, len(kinds)):
+            if rng.random() < 0.75:
+                kinds[j] = kinds[j - 1]
+        yield i, "\n".join(rng.choice(clean if k else junk) for k in kinds), kinds
+
+
+def test_lines_are_labelled(spark):
+    """Content and boilerplate in one text are told apart line by line."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
+    field = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    known = labels.where("doc_id % 2 = 1")
+    texts = list(mixed_texts(docs.join(known, "doc_id", "left_semi").select("doc_id", "text"), known))
+    m = quality.Measured([t.encode() for _, t, _ in texts])
+    got = quality.viterbi(m.features, m.line_first, field)
+    want = np.concatenate([np.array(k) for _, _, k in texts])
+    assert len(got) == len(want) and (got == want).mean() > 0.97
+    share = [r.content_share for r in quality.score(spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string"), field).collect()]
+    assert sum(0 < x < 1 for x in share) > 0.5 * len(share)
+
+
 def test_quality_held_out(spark):
     """Held-out accuracy of the verdict: the field never sees the documents that it is judged on."""
     sf = "/root/testdata/sf0.1"
@@ -100,6 +151,9 @@ def test_decontaminate(spark, real, odd, no_docs, sf, monkeypatch):
             want = sorted(contamination([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], pairs))
             assert rows(decontaminate.judge(docs, items)) == want
     assert sum(r[5] for r in rows(decontaminate.judge(real, benchmark))) > 0
+    named = small.select(F.concat(F.lit("item-"), "item_id").alias("item_id"), "text")
+    pairs = [(r.item_id, r.text) for r in named.collect() if r.item_id is not None]
+    assert rows(decontaminate.judge(odd, named)) == sorted(contamination([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()], pairs))
     assert rows(decontaminate.judge(no_docs, small)) == []
     assert all(r[2] == 0 for r in rows(decontaminate.judge(odd, small.limit(0))))
 
@@ -133,6 +187,22 @@ def test_licenses_in_longer_ones(spark):
     assert got[3].spans.count("apache-2.0:") == 300
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    auto = licenses.Automaton(licenses.TEMPLATES)
+    sizes = [len(b) for b in auto.bodies]
+
+    def seconds(n):
+        words = [w for _ in range(n) for w in [*auto.numbers[1][:20], *auto.numbers[8][5:30]]]
+        start = time.process_time()
+        assert licenses.chains(auto.matches(words, 0), sizes) is not None
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(4000) < 8 * seconds(1000) + 0.2
+
+
 def test_matches_of_each_template():
     bodies = {"a": "a b c d e a b c d f", "b": "b c d e", "c": "x a b c d", "d": "c d e a b c d"}
     auto = licenses.Automaton(bodies)
