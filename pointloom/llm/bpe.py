@@ -10,10 +10,13 @@ that competes for y, or through the merges that make y.  ``sufficient_lookahead`
 merge list, in the order of ranks, and gives a bound K in bytes: a token is final once K more bytes were read.
 ``Transducer.feed`` emits tokens then, and keeps no more than K bytes, the longest token and the bytes just fed.
 
-Pre-tokens are cut by the vocabulary's pattern and strings of added tokens are ids of their own.  Tokens of short
-pre-tokens are remembered in a table of bounded size.
+Pre-tokens are cut by the byte-level pattern that the vocabulary asks for, and strings of added tokens are ids of their
+own; a vocabulary that asks for anything else is refused.  ``Encoder`` takes a text in pieces: it holds what no more
+text can change, i.e. a few characters, and feeds a pre-token that grows long to a transducer while it is still growing.
+Tokens of short pre-tokens are remembered in a table of bounded size.
 
-Decoding.  Tokens map to bytes, which go through an incremental UTF-8 state machine; malformed bytes become U+FFFD.
+Decoding.  Tokens map to bytes, which go through an incremental UTF-8 state machine, ``Decoder``; malformed bytes become
+U+FFFD.  Digests are taken as ids come out, so that neither the ids of a text nor what they decode to are held.
 
 Defined results: null texts are empty and give no tokens; repeated rows are each encoded; other columns are ignored.
 """
@@ -41,6 +44,12 @@ REMEMBERED = 200_000
 SHORT = 40
 #: Bytes fed at a time from a long pre-token.
 FED = 4096
+#: Characters that an encoder is given at a time, and of a pre-token that is fed while it grows.
+PIECE, LONG = 1 << 15, 1 << 12
+
+#: Fixed value: the pattern of byte-level pre-tokens, and what the kinds of long ones go on with.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+KINDS = (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")
 
 
 def default_vocabulary() -> str:
@@ -82,7 +91,13 @@ class Model:
         self.made = {token: (rank, x, y) for (x, y), (rank, token) in self.merges.items()}
         self.longest = max(map(len, vocab))
         self.lookahead = self.sufficient_lookahead()
-        self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+        wanted = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or spec.get("normalizer") or wanted.get("type") != "ByteLevel" or wanted.get("add_prefix_space") or not wanted.get("use_regex", True) or spec["model"].get("ignore_merges"):
+            raise ValueError("the vocabulary is not one of plain byte-level pairs")
+        self.pattern = regex.compile(PATTERN)
+        self.kinds = [regex.compile(k) for k in KINDS]
+        #: Characters at the end of a text so far that more text can change the reading of.
+        self.margin = max([8, *map(len, self.added)])
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.automaton = ahocorasick.Automaton()
         for b, i in vocab.items():
@@ -194,25 +209,105 @@ class Model:
         out.reverse()
         return out
 
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, as little-endian 32-bit integers, as they become final."""
+        encoder = Encoder(self)
+        for at in range(0, len(text), PIECE):
+            yield from encoder.feed(text[at : at + PIECE])
+        yield from encoder.end()
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers."""
-        known, ids, out = self.known, self.ids, []
-        at = 0
-        for special in [*(self.split.finditer(text) if self.split else ()), None]:
-            stop = special.start() if special else len(text)
-            out += [known.get(p) or ids(p) for p in self.pattern.findall(text, at, stop)]
-            if special:
-                out.append(np.array([self.added[special[0]]], "<u4").tobytes())
-                at = special.end()
-        return b"".join(out)
+        return b"".join(self.blocks(text))
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """The text of ids, block by block."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        of = self.bytes_of
+        machine = Decoder(self)
         for at in range(0, len(ids), 1 << 16):
-            yield machine.decode(b"".join([of[i] for i in np.frombuffer(ids[at : at + (1 << 16)], "<u4").tolist()]))
-        yield machine.decode(b"", final=True)
+            yield machine.feed(ids[at : at + (1 << 16)])
+        yield machine.end()
+
+
+class Decoder:
+    """Text from ids that arrive in blocks; a character that is not whole yet waits."""
+
+    def __init__(self, model: Model):
+        self.of, self.machine = model.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: bytes) -> str:
+        of = self.of
+        return self.machine.decode(b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", final=True)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Encoder:
+    """Ids of a text that arrives in pieces.  It holds the last characters, whose reading can still change, and of a
+    pre-token that is LONG what its transducer holds."""
+
+    def __init__(self, model: Model):
+        self.model, self.held = model, ""
+        self.run: Transducer | None = None  # of a pre-token that is being fed, which is of this kind
+        self.kind = 0
+
+    def feed(self, text: str) -> Iterator[bytes]:
+        self.held += text
+        yield from self._drained(False)
+
+    def end(self) -> Iterator[bytes]:
+        yield from self._drained(True)
+
+    def _drained(self, last: bool) -> Iterator[bytes]:
+        model = self.model
+        while True:
+            special = model.split.search(self.held) if model.split else None
+            if special and (last or special.start() + model.margin <= len(self.held)):
+                yield from self._read(special.start(), True)
+                self.held = self.held[len(special[0]) :]
+                yield _packed([model.added[special[0]]])
+                continue
+            yield from self._read(len(self.held) if last else max(0, len(self.held) - model.margin), last)
+            return
+
+    def _read(self, stop: int, whole: bool) -> Iterator[bytes]:
+        """Reads the first characters that are held; whole: a pre-token ends where they end."""
+        model = self.model
+        if self.run is not None:
+            m = model.kinds[self.kind].match(self.held, 0, stop)
+            end = m.end() if m else 0
+            open_ended = end == stop and not whole
+            if end and (open_ended or self.kind == 3 and end < stop):
+                end -= 1  # it can belong to what follows, as the last of several blanks does
+            yield from self._fed(self.held[:end])
+            self.held, stop = self.held[end:], stop - end
+            if open_ended:
+                return
+            yield _packed(self.run.end())
+            self.run = None
+        pieces = model.pattern.findall(self.held, 0, stop)
+        end = stop
+        if not whole:
+            while pieces and end > stop - model.margin:
+                end -= len(pieces.pop())
+        known, ids = model.known, model.ids
+        if pieces:
+            yield b"".join([known.get(p) or ids(p) for p in pieces])
+            self.held = self.held[end:]
+        elif not whole and stop > LONG and model.pattern.match(self.held, 0, stop).end() == stop:
+            self.run = Transducer(model)
+            body = self.held[1] if self.held[0] == " " and not self.held[1].isspace() else self.held[0]
+            self.kind = next(i for i, k in enumerate(model.kinds) if k.match(body))
+            yield from self._fed(self.held[: stop - 1])
+            self.held = self.held[stop - 1 :]
+
+    def _fed(self, text: str) -> Iterator[bytes]:
+        raw = text.encode()
+        for at in range(0, len(raw), FED):
+            yield _packed(self.run.feed(raw[at : at + FED]))
 
 
 class Transducer:
@@ -287,13 +382,15 @@ def _digests(key: str, source):
         model = model_of(key, source)
         n, ids_sha, text_sha = [], [], []
         for t in texts:
-            ids = model.encode((t or b"").decode())
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            sha = hashlib.sha256()
-            for piece in model.decode(ids):
-                sha.update(piece.encode())
-            text_sha.append(sha.hexdigest())
+            count, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(model)
+            for ids in model.blocks((t or b"").decode()):
+                count += len(ids) // 4
+                of_ids.update(ids)
+                of_text.update(decoder.feed(ids).encode())
+            of_text.update(decoder.end().encode())
+            n.append(count)
+            ids_sha.append(of_ids.hexdigest())
+            text_sha.append(of_text.hexdigest())
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return lambda batches: tk.by_parts(batches, "text", one)

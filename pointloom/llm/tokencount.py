@@ -1,7 +1,9 @@
 """Token counts that follow edits: a segment tree of pre-tokens per document.
 
 The leaves of a document's tree are short runs of pre-tokens, each with its text, and the sizes and token
-counts of its pre-tokens; inner nodes hold sums of characters and tokens.  An edit walks down by characters, re-encodes
+counts of its pre-tokens; inner nodes hold sums of characters and tokens.  Leaves are filled to ``LEAF`` pre-tokens and
+hold up to twice as many, and may run empty, so an edit leaves the number of leaves as it is until one is full; only
+then the sums are built anew, from what the leaves have.  An edit walks down by characters, re-encodes
 from the last pre-token boundary that lies at least the boundary context before the edit, and stops at the first
 boundary behind the edit that the old text had too; all beyond keeps its counts.  Sums on the paths above the
 changed leaves are then brought up to date.
@@ -51,7 +53,7 @@ class TokenTree:
     def __init__(self, model: Model, text: str):
         self.model = model
         self.context = max([8, *(len(s) + 4 for s in model.added)])
-        self.reencoded = 0
+        self.reencoded = self.rebuilt = 0
         self.leaves = self._leaves(text, *self._counted(text))
         self._build()
 
@@ -85,12 +87,14 @@ class TokenTree:
         return sizes, counts
 
     @staticmethod
-    def _leaves(text: str, sizes: list[int], counts: list[int]) -> list[Leaf]:
+    def _leaves(text: str, sizes: list[int], counts: list[int], into: int | None = None) -> list[Leaf]:
+        """Leaves of LEAF pre-tokens, or so many leaves, filled alike."""
+        cuts = [len(sizes) * k // into for k in range(into + 1)] if into else [*range(0, len(sizes), LEAF), len(sizes)]
         out, at = [], 0
-        for i in range(0, len(sizes), LEAF):
-            own = sizes[i : i + LEAF]
+        for i, j in pairwise(cuts):
+            own = sizes[i:j]
             end = at + sum(own)
-            out.append(Leaf(text[at:end], own, counts[i : i + LEAF]))
+            out.append(Leaf(text[at:end], own, counts[i:j]))
             at = end
         return out
 
@@ -157,11 +161,13 @@ class TokenTree:
             k = bisect_right(boundaries, synced - moved)
             tail_ends = [b + moved for b in boundaries[k:]]
             tail_counts = flat_counts[k:]
-        own = [b - a for a, b in pairwise([0, *ends, *tail_ends])]
-        fresh = self._leaves(head.text[: back - first_at] + text, head.sizes[:keep] + own, [*head.counts[:keep], *counts, *tail_counts])
-        same = len(fresh) == last + 1 - first
+        sizes = head.sizes[:keep] + [b - a for a, b in pairwise([0, *ends, *tail_ends])]
+        room = last + 1 - first
+        fits = len(sizes) <= 2 * LEAF * room
+        fresh = self._leaves(head.text[: back - first_at] + text, sizes, [*head.counts[:keep], *counts, *tail_counts], room if fits else None)
         self.leaves[first : last + 1] = fresh
-        if not same:
+        if not fits:
+            self.rebuilt += 1
             self._build()
             return
         touched = set()

@@ -70,6 +70,31 @@ def test_transducer_is_bounded_and_final(model, library):
         assert out + machine.end() == library.encode(t).ids
 
 
+def test_encoder_in_pieces(model, library, monkeypatch):
+    """Any pieces give the library's ids, and what is held does not grow with the text."""
+    rng = random.Random(9)
+    monkeypatch.setattr(bpe, "LONG", 60)
+    long = ["a" * 3000, " " * 3000, "\n" * 2000 + "x", "  \n" * 900 + "word", " " + "7" * 2500 + "!", "-=" * 1500, "é" * 1500 + "'re", "'" * 700 + "s", "ab " * 900, "<|endoftext|>" * 80, "x" * 200 + "<|endoftext|>" + " " * 200, "\xa0" * 500 + " y", "a" * 300 + "1" * 300 + " " * 300 + "."]
+    for t in [*some_texts(300, 21), *long, *("".join(rng.choice(long)[: rng.randrange(200)] for _ in range(6)) for _ in range(60))]:
+        encoder, out, at = bpe.Encoder(model), [], 0
+        while at < len(t):
+            n = rng.choice((1, 3, 17, 200))
+            out += encoder.feed(t[at : at + n])
+            at += n
+            assert len(encoder.held) <= 60 + 2 * model.margin + 200
+        assert b"".join([*out, *encoder.end()]) == ids_of(library, t), t[:80]
+
+
+def test_other_vocabularies_are_refused():
+    import json
+
+    with open(PATH, "rb") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Model(json.dumps(spec).encode())
+
+
 def test_digests(spark, real, odd, no_docs, library):
     for docs in (real, odd):
         want = []
@@ -100,6 +125,24 @@ def test_edits(model, library):
     assert tree.reencoded < 60
 
 
+def test_insertions_seldom_rebuild(model, library):
+    rng, t = random.Random(4), "Some words, and more of them. " * 9000
+    tree = tokencount.TokenTree(model, t)
+    for _ in range(200):
+        at = rng.randrange(len(t))
+        tree.edit(at, at, " put in")
+        t = t[:at] + " put in" + t[at:]
+    for _ in range(30):  # in one place
+        tree.edit(500, 500, " again and again")
+        t = t[:500] + " again and again" + t[500:]
+    assert tree.rebuilt <= 4 and tree.text() == t
+    tree.edit(100, len(t) - 100, "")
+    t = t[:100] + t[-100:]
+    tree.edit(90, 95, " x y z")
+    t = t[:90] + " x y z" + t[95:]
+    assert tree.text() == t and tree.n_tokens == len(library.encode(t, add_special_tokens=False).ids)
+
+
 def test_recount(spark, real, odd, no_docs, library):
     for docs in (real, odd):
         for r, (i, t) in zip(rows(tokencount.recount(docs, PATH)), sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), strict=True):
