@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import kept, shared_dir, ship
 
 FAN_IN = 64
-#: Lines of a run between two entries of its list of places.
+#: Lines of a run between two entries of its list of places, at first; the list is thinned when it gets long.
 STRIDE = 512
+#: Places of a run, at most twice as many.
+PLACES = 512
 #: Bytes of captures in a range of the last round, about.
 RANGE = 8 << 20
 #: Seconds since the epoch of page 0; page n was captured n seconds later.
@@ -151,18 +153,22 @@ def _line(key: Key, place: tuple[str, int, int]) -> bytes:
 
 
 def _write_run(folder: str, captures: Iterable[tuple[Key, tuple[str, int, int]]]) -> tuple[str, int, list]:
-    """Writes sorted captures; returns the name, the bytes and the places (first key, offset) every STRIDE lines."""
+    """Writes sorted captures; returns the name, the bytes and the places (first key, offset) every so many lines, of
+    which a run of any length has fewer than 2 * PLACES."""
     files, path = _files(folder)
     name = f"run-{uuid.uuid4().hex}.cdxj"
-    size, places = 0, []
+    size, places, stride = 0, [], STRIDE
     with files.open_output_stream(f"{path}/{name}", compression=None) as out:
         held = []
         for i, (key, place) in enumerate(captures):
             line = _line(key, place)
             if i % STRIDE == 0:
-                places.append([list(key), size])
                 out.write(b"".join(held))
                 held.clear()
+            if i % stride == 0:
+                places.append([list(key), size])
+                if len(places) == 2 * PLACES:
+                    places, stride = places[::2], 2 * stride
             held.append(line)
             size += len(line)
         out.write(b"".join(held))
@@ -295,7 +301,7 @@ def merge(runs: DataFrame, folder: str) -> DataFrame:
         numbered = runs.withColumn("k", F.row_number().over(_order_window()) % groups)
         grouped = numbered.groupBy("k").agg(F.collect_list(F.struct("run", "size", "places", "records")).alias("runs"))  # FAN_IN at most
         runs = kept(grouped.select("runs").repartition(groups).mapInArrow(_merger(folder), _WRITTEN), "runs")
-    last = [(r.run, r.size, json.loads(r.places)) for r in runs.collect()]  # FAN_IN at most
+    last = [(r.run, r.size, json.loads(r.places)) for r in runs.collect()]  # FAN_IN at most, each with its places
     total = sum(size for _, size, _ in last)
     keys = sorted(tuple(k) for _, _, places in last for k, _ in places)
     cuts = max(1, min(len(keys), total // RANGE + 1))
@@ -341,8 +347,10 @@ def _reader(folder: str):
 
 
 def read(histories: DataFrame, folder: str) -> DataFrame:
-    """The records that the histories name, read from their archives."""
-    dealt = histories.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    """The records that the histories name, read from their archives: an archive is read by one task.  The number of
+    partitions is given, as places are few bytes and would else be put together into one."""
+    parts = int(histories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = histories.select("archive", "offset", "length").repartition(parts, "archive").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(_reader(folder), SCHEMA)
 
 
