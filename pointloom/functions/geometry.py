@@ -57,6 +57,20 @@ def extent_class(length: Column, width: Column, height: Column) -> tuple[Column,
     return kind.otherwise(0).cast("int"), sure.otherwise(0.0)
 
 
+def box_class(x_lo: Column, y_lo: Column, z_lo: Column, x_hi: Column, y_hi: Column, z_hi: Column) -> tuple[Column, Column]:
+    """(object class, confidence) of a box by its lower and upper bounds."""
+    return extent_class(x_hi - x_lo, y_hi - y_lo, z_hi - z_lo)
+
+
+def footprint_key(x: Column, y: Column, cell: float) -> Column:
+    """The square of a footprint that a point lies in."""
+    return F.struct(F.floor(x / cell).alias("kx"), F.floor(y / cell).alias("ky"))
+
+
+def planar_speed(vx: Column, vy: Column) -> Column:
+    return F.hypot(vx, vy)
+
+
 def iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
     """Intersection over union of boxes (centre x, centre y, size x, size y)."""
     side = lambda i: F.greatest(F.least(a[i] + a[i + 2] / 2, b[i] + b[i + 2] / 2) - F.greatest(a[i] - a[i + 2] / 2, b[i] - b[i + 2] / 2), F.lit(0.0))

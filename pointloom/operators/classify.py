@@ -39,9 +39,14 @@ def traversability(flagged: Column) -> Column:
 
 def classify(cells: DataFrame, ground: float, only_frame: int | None = None) -> DataFrame:
     """Cells with obstacle_flag and traversability; only_frame: none but those updated in that frame are judged,
-    though all count as neighbours."""
+    though all count as neighbours.
+
+    Cells that were never hit keep what they have: as free as carving left them, with the score of unseen ground.
+    """
     rims = rim_cells(cells, ground).withColumn("rim", F.lit(True))
     judged = cells if only_frame is None else cells.where(F.col("last_update_ts") == only_frame)
-    out = judged.where("hit_count > 0").join(rims, ["level", "ix", "iy"], "left")
-    out = out.withColumn("obstacle_flag", flag(ground, F.coalesce("rim", F.lit(False)))).drop("rim")
-    return out.withColumn("traversability", traversability(F.col("obstacle_flag")))
+    hit = F.col("hit_count") > 0
+    free = F.when(F.col("carve_ts") > 0, C.FLAT).otherwise(C.ROUGH) if "carve_ts" in cells.columns else F.lit(C.ROUGH)
+    out = judged.join(rims, ["level", "ix", "iy"], "left")
+    out = out.withColumn("obstacle_flag", F.when(hit, flag(ground, F.coalesce("rim", F.lit(False)))).otherwise(free).cast("int")).drop("rim")
+    return out.withColumn("traversability", F.when(hit, traversability(F.col("obstacle_flag"))).otherwise(C.UNSEEN))

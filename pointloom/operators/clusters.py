@@ -1,114 +1,225 @@
-"""Clusters of points within a frame, rays through the grid, and boxes."""
+"""Clusters of points within a frame, rays through the grid, and boxes.
+
+Clustering needs whole frames, so points are dealt out by frame and sorted; a task then takes as many whole frames at a
+time as make a good batch, and all of them go through the same array steps at once.  A frame is one scan, which the
+sensor bounds.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import geometry as G
 from ..functions import lattice as L
 from ..runtime import ship
 
-
-class _Sets:
-    """Disjoint sets over 0 .. n - 1; the least member stands for its set."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = sorted((self.root(a), self.root(b)))
-        self.up[b] = a
-
-
-def _pairs_within(xy: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), both ways and with i = j, no farther apart than eps; points meet by grid cell."""
-    cell = np.floor(xy / eps).astype(np.int64)
-    order = np.lexsort((cell[:, 1], cell[:, 0]))
-    key = cell[order, 0] * (1 << 31) + cell[order, 1]
-    left, right = [], []
-    for dx in (-1, 0, 1):
-        for dy in (-1, 0, 1):
-            want = (cell[:, 0] + dx) * (1 << 31) + cell[:, 1] + dy
-            lo, hi = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
-            n = hi - lo
-            i = np.repeat(np.arange(len(xy)), n)
-            j = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            near = ((xy[i] - xy[j]) ** 2).sum(1) <= eps * eps
-            left.append(i[near])
-            right.append(j[near])
-    return np.concatenate(left), np.concatenate(right)
+#: Points that whole frames are gathered up to before they are worked on together.
+TOGETHER = 200_000
+
+
+def by_frames(rows: DataFrame, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, order: list[str], by: tuple[str, ...] = ("frame_ts",)) -> DataFrame:
+    """work(rows, number of each row's frame) over whole frames, sorted by frame and then by the columns of order."""
+    ship(rows.sparkSession)
+    keys = list(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def done(last: bool) -> Iterator[pd.DataFrame]:
+            nonlocal held, size
+            if not size:
+                return
+            own = pd.concat(held, ignore_index=True)
+            frame = own.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            whole = len(own) if last else int(np.searchsorted(frame, frame[-1]))  # the last frame may go on
+            held = [own.iloc[whole:]]
+            size = len(own) - whole
+            if whole:
+                yield work(own.iloc[:whole].reset_index(drop=True), frame[:whole])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= TOGETHER:
+                yield from done(False)
+        yield from done(True)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each one's set, where a and b are pairs of one set."""
+    name = np.arange(n)
+    while len(a):
+        least = np.minimum(name[a], name[b])
+        np.minimum.at(name, name[a], least)
+        np.minimum.at(name, name[b], least)
+        while (name[name] != name).any():
+            name = name[name]
+        apart = name[a] != name[b]
+        a, b = a[apart], b[apart]
+    return name
+
+
+def _keys(frame: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One integer for a cell of a frame; neighbours in y follow each other."""
+    return (frame.astype(np.int64) << 42) + ((x.astype(np.int64) + (1 << 20)) << 21) + y.astype(np.int64) + (1 << 20)
+
+
+def _pairs(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for each i and every j from low[i] on, count[i] of them."""
+    i = np.repeat(np.arange(len(low)), count)
+    return i, np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+
+
+def _touching(xy: np.ndarray, left: tuple, right: tuple, eps: float) -> np.ndarray:
+    """Whether any point of one run is within eps of any of the other; runs are (starts, counts) over xy.  Few points
+    of both are tried first, as most neighbours show at once; all are for the rest."""
+    out = np.zeros(len(left[0]), bool)
+    todo, few = np.arange(len(out)), 4
+    while len(todo):
+        n = np.minimum(left[1][todo], few)
+        m = np.minimum(right[1][todo], few)
+        for part in np.array_split(np.arange(len(todo)), max(1, int((n * m).sum() // 4_000_000))):
+            i, at = _pairs(left[0][todo[part]], n[part])
+            k, other = _pairs(right[0][todo[part]][i], m[part][i])
+            near = ((xy[at[k]] - xy[other]) ** 2).sum(1) <= eps * eps
+            out[todo[part][i[k[near]]]] = True
+        todo = todo[~out[todo] & ((left[1][todo] > few) | (right[1][todo] > few))]
+        few *= 8
+    return out
 
 
-def dbscan_labels(xy: np.ndarray, eps: float, min_points: int) -> np.ndarray:
+def dbscan_labels(xy: np.ndarray, eps: float, min_points: int, frame: np.ndarray | None = None) -> np.ndarray:
     """Cluster of each point, or -1.  A cluster is named by the place of its first core point; a border point joins the
-    neighbouring cluster of the least name."""
+    neighbouring cluster of the least name.
+
+    Points lie in cells whose diagonal is eps, so all points of a cell are near each other: a cell of min_points holds
+    core points only, and the points of other cells are few.  Only those are counted one by one.
+    """
     n = len(xy)
     if not n:
         return np.zeros(0, np.int64)
-    i, j = _pairs_within(xy, eps)
-    core = np.bincount(i, minlength=n) >= min_points
-    sets = _Sets(n)
-    both = core[i] & core[j] & (i < j)
-    for a, b in zip(i[both].tolist(), j[both].tolist(), strict=True):
-        sets.join(a, b)
-    name = np.array([sets.root(k) if core[k] else n for k in range(n)])
+    frame = np.zeros(n, np.int64) if frame is None else frame
+    side = eps / np.sqrt(2) * (1 - 1e-9)
+    cell = np.floor(xy / side).astype(np.int64)
+    key = _keys(frame, cell[:, 0], cell[:, 1])
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    size = np.diff(np.append(start, n))
+    cells = key[order][start]
+    of = np.empty(n, np.int64)
+    of[order] = np.repeat(np.arange(len(start)), size)
+    steps = [(dx << 21) + dy for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) < 4]
+    sorted_xy = xy[order]
+
+    def meets(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(cells, keys + step)
+        at[at == len(cells)] = 0
+        return at, cells[at] == keys + step
+
+    sparse = np.flatnonzero(size[of] < min_points)  # points
+    near_i, near_j = [], []
+    for step in steps:
+        at, there = meets(key[sparse], step)
+        i, j = _pairs(start[at[there]], size[at[there]])
+        a, b = sparse[there][i], order[j]
+        near = ((xy[a] - xy[b]) ** 2).sum(1) <= eps * eps
+        near_i.append(a[near])
+        near_j.append(b[near])
+    i, j = np.concatenate(near_i), np.concatenate(near_j)
+    core = size[of] >= min_points
+    core[sparse] |= np.bincount(i, minlength=n)[sparse] >= min_points
+    # cells' core points form runs of their own, in which all are joined
+    core_order = order[core[order]]
+    core_cells, core_start, core_size = np.unique(of[core_order], return_index=True, return_counts=True)
+    if not len(core_cells):
+        return np.full(n, -1, np.int64)
+    core_xy = xy[core_order]
+    pairs_a, pairs_b = [], []
+    number = np.full(len(cells), -1)
+    number[core_cells] = np.arange(len(core_cells))
+    for step in steps:
+        if step <= 0:
+            continue
+        at, there = meets(cells[core_cells], step)
+        there &= number[at] >= 0
+        a, b = np.flatnonzero(there), number[at[there]]
+        close = _touching(core_xy, (core_start[a], core_size[a]), (core_start[b], core_size[b]), eps)
+        pairs_a.append(a[close])
+        pairs_b.append(b[close])
+    part = joined(len(core_cells), np.concatenate(pairs_a), np.concatenate(pairs_b))
+    first = np.minimum.reduceat(core_order, core_start)
+    least = np.full(len(core_cells), n)
+    np.minimum.at(least, part, first)
+    name = np.full(n, n)
+    name[core_order] = np.repeat(least[part], core_size)
     edge = ~core[i] & core[j]
     np.minimum.at(name, i[edge], name[j[edge]])
     return np.where(name == n, -1, name)
 
 
 def dbscan(points: DataFrame, eps: float = 0.8, min_points: int = 5) -> DataFrame:
-    """points (frame_ts, seq, x, y) with cluster: the seq of the cluster's first core point, null for noise.
-
-    A frame is one scan and bounded by the sensor, so each frame is one group.
-    """
-    ship(points.sparkSession)
-
-    def of_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        name = dbscan_labels(pdf[["x", "y"]].to_numpy(float), eps, min_points)
-        pdf["cluster"] = pd.array([None if k < 0 else pdf.seq[k] for k in name], dtype="Int64")
-        return pdf[["frame_ts", "seq", "cluster"]]
-
-    return points.select("frame_ts", "seq", "x", "y").groupBy("frame_ts").applyInPandas(of_frame, "frame_ts int, seq long, cluster long")
-
-
-def raster_labels(cells: np.ndarray, reach: int = 3) -> np.ndarray:
-    """Component of each occupied cell; cells up to reach apart, along either axis, are joined."""
-    at = {tuple(c): k for k, c in enumerate(cells.tolist())}
-    sets = _Sets(len(cells))
-    for (x, y), k in at.items():
-        for dx in range(reach + 1):
-            for dy in range(-reach, reach + 1):
-                other = at.get((x + dx, y + dy))
-                if other is not None and other != k:
-                    sets.join(k, other)
-    return np.array([sets.root(k) for k in range(len(cells))], np.int64)
-
-
-def raster_components(points: DataFrame, cell: float = 0.2) -> DataFrame:
+    """points (frame_ts, seq, x, y) with cluster: the seq of the cluster's first core point, null for noise."""
+
+    def work(rows: pd.DataFrame, frame: np.ndarray) -> pd.DataFrame:
+        name = dbscan_labels(rows[["x", "y"]].to_numpy(float), eps, min_points, frame)
+        cluster = pd.array(rows.seq.to_numpy()[name], dtype="Int64")
+        cluster[name < 0] = None
+        return pd.DataFrame({"frame_ts": rows.frame_ts, "seq": rows.seq, "cluster": cluster})
+
+    return by_frames(points.select("frame_ts", "seq", "x", "y"), work, "frame_ts int, seq long, cluster long", ["seq"])
+
+
+def hard_objects(points: DataFrame, target: int = C.OBSTACLE, eps: float = 0.8, min_points: int = 5) -> DataFrame:
+    """Clusters of the points (frame_ts, seq, x, y, z, label) of one label, with their boxes, classes and confidence; a
+    frame with fewer points than a cluster needs has none."""
+    own = points.where(F.col("label") == target)
+    named = own.join(dbscan(own, eps, min_points).where("cluster is not null"), ["frame_ts", "seq"])
+    return box_classes(boxes3(named, ["frame_ts", "cluster"]))
+
+
+def raster_labels(cells: np.ndarray, reach: int = 3, frame: np.ndarray | None = None) -> np.ndarray:
+    """Component of each occupied cell, by its first; cells up to reach apart, along either axis, are joined.  Cells
+    are sorted by frame, x and y."""
+    frame = np.zeros(len(cells), np.int64) if frame is None else frame
+    key = _keys(frame, cells[:, 0], cells[:, 1])
+    a, b = [], []
+    for dx in range(reach + 1):
+        for dy in range(-reach, reach + 1):
+            step = (dx << 21) + dy
+            if step <= 0 or not len(key):
+                continue
+            at = np.searchsorted(key, key + step)
+            at[at == len(key)] = 0
+            there = key[at] == key + step
+            a.append(np.flatnonzero(there))
+            b.append(at[there])
+    return joined(len(cells), np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, np.int64)
+
+
+def raster_components(points: DataFrame, cell: float = 0.2, by: tuple[str, ...] = ("frame_ts",)) -> DataFrame:
     """points (frame_ts, seq, x, y) with component: components of the frame's occupied cells, numbered in row order."""
-    ship(points.sparkSession)
+    keys = list(by)
+    schema = points.select(*keys, "seq").schema.simpleString()[7:-1].replace(":", " ") + ", component long"
 
-    def of_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = np.floor(pdf[["x", "y"]].to_numpy(float) / cell).astype(np.int64)
-        cells, where = np.unique(key, axis=0, return_inverse=True)
-        root = raster_labels(cells)
-        _, number = np.unique(root, return_inverse=True)
-        return pd.DataFrame({"frame_ts": pdf.frame_ts, "seq": pdf.seq, "component": number[where.reshape(-1)].astype(np.int64)})
+    def work(rows: pd.DataFrame, frame: np.ndarray) -> pd.DataFrame:
+        key = np.floor(rows[["x", "y"]].to_numpy(float) / cell).astype(np.int64)
+        cells, where = np.unique(np.column_stack([frame, key]), axis=0, return_inverse=True)
+        root = raster_labels(cells[:, 1:], frame=cells[:, 0])
+        roots, number = np.unique(root, return_inverse=True)  # sorted by frame, as roots are cells
+        number = number - np.searchsorted(cells[roots, 0], cells[:, 0])
+        return rows[[*keys, "seq"]].assign(component=number[where.reshape(-1)].astype(np.int64))
 
-    return points.select("frame_ts", "seq", "x", "y").groupBy("frame_ts").applyInPandas(of_frame, "frame_ts int, seq long, component long")
+    return by_frames(points.select(*keys, "seq", "x", "y"), work, schema, ["seq"], by)
 
 
 def boxes(points: DataFrame, by: list[str], least: float = 0.1) -> DataFrame:
@@ -119,19 +230,30 @@ def boxes(points: DataFrame, by: list[str], least: float = 0.1) -> DataFrame:
     return out
 
 
-def line(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:
-    """Cells of the line from one cell towards another, with the first and without the last (Bresenham 1965)."""
-    dx, dy = abs(x1 - x0), -abs(y1 - y0)
-    sx, sy = 1 if x0 < x1 else -1, 1 if y0 < y1 else -1
-    error, out = dx + dy, []
-    while (x0, y0) != (x1, y1):
-        out.append((x0, y0))
-        twice = 2 * error
-        if twice >= dy:
-            error, x0 = error + dy, x0 + sx
-        if twice <= dx:
-            error, y0 = error + dx, y0 + sy
-    return out
+def boxes3(points: DataFrame, by: list[str], least: float = 0.1) -> DataFrame:
+    """Box of each group in all three axes, with the mean of its points."""
+    bounds = [f(c).alias(f"{c}_{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"), (F.avg, "mean"))]
+    out = points.groupBy(*by).agg(*bounds, F.count("*").alias("n_points"))
+    return out.withColumns({f"d{c}": F.greatest(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(least)) for c in "xyz"})
+
+
+def box_classes(found: DataFrame) -> DataFrame:
+    """Boxes with obj_class and obj_conf, from the differences of their bounds."""
+    kind, sure = G.box_class(*(F.col(f"{c}_{n}") for n in ("lo", "hi") for c in "xyz"))
+    return found.withColumn("obj_class", kind).withColumn("obj_conf", sure)
+
+
+def line_cell(hx: Column, hy: Column, ox: Column, oy: Column, k: Column) -> tuple[Column, Column]:
+    """The k-th cell on the way from a hit (k = 0) to the origin (k = the longer side).
+
+    The longer axis moves every step.  The other has moved m cells after k steps, the least m that is not below
+    k * short / long - 1/2, so that a tie stays behind.
+    """
+    dx, dy = F.abs(ox - hx), F.abs(oy - hy)
+    longer, shorter = F.greatest(dx, dy), F.least(dx, dy)
+    behind = F.when(longer == 0, F.lit(0).cast("long")).otherwise(L.floor_div(2 * k * shorter + longer - 1, 2 * F.greatest(longer, F.lit(1))))
+    steep = dy > dx
+    return hx + F.signum(ox - hx).cast("long") * F.when(steep, behind).otherwise(k), hy + F.signum(oy - hy).cast("long") * F.when(steep, k).otherwise(behind)
 
 
 def rays(gated: DataFrame) -> DataFrame:
@@ -143,18 +265,14 @@ def rays(gated: DataFrame) -> DataFrame:
 
 
 def carve(gated: DataFrame) -> DataFrame:
-    """(level, ix, iy, carve_ts): cells that a ray passed on its way, with the last frame."""
-    ship(gated.sparkSession)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for part in range(0, len(pdf), 2000):
-                own = pdf.iloc[part : part + 2000]
-                cells = [(level, x, y, frame) for frame, level, ox, oy, hx, hy in own.itertuples(index=False) for x, y in line(hx, hy, ox, oy)[1:] + ([(ox, oy)] if (hx, hy) != (ox, oy) else [])]
-                yield pd.DataFrame(cells, columns=["level", "ix", "iy", "frame_ts"]).drop_duplicates()
-
-    steps = rays(gated).mapInPandas(walk, "level int, ix long, iy long, frame_ts int")
-    return steps.groupBy("level", "ix", "iy").agg(F.max("frame_ts").alias("carve_ts"))
+    """(level, ix, iy, carve_first, carve_ts): cells that a ray passed on its way, with the first and the last frame.
+
+    All in the JVM: a ray is the sequence of its steps, and each step's cell has a closed form.
+    """
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.abs(F.col("ox") - F.col("hx")), F.abs(F.col("oy") - F.col("hy"))))
+    long = rays(gated).where("ox <> hx or oy <> hy").withColumn("k", F.explode(steps))
+    ix, iy = line_cell(*(F.col(c) for c in ("hx", "hy", "ox", "oy", "k")))
+    return long.select("frame_ts", "level", ix.alias("ix"), iy.alias("iy")).groupBy("level", "ix", "iy").agg(F.min("frame_ts").alias("carve_first"), F.max("frame_ts").alias("carve_ts"))
 
 
 def vacated(old_cells: str, new_cells: str, occupied: str):

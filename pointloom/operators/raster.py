@@ -45,8 +45,9 @@ def footprint(cells: DataFrame, robot_x: float, robot_y: float, size: float = 10
 
 def cost_raster(cells: DataFrame, robot_x: float, robot_y: float, frame: int, size: float = 100.0, res: float = 0.2) -> DataFrame:
     """(px, py, cost): the greatest cost of the cells over a pixel; pixels without row are unknown."""
-    costed = cells.withColumn("cost", cost(frame)).where("cost is not null").select("level", "ix", "iy", "cost")
-    return footprint(costed, robot_x, robot_y, size, res).groupBy("px", "py").agg(F.max("cost").alias("cost"))
+    costed = cells.withColumn("cost", cost(frame)).select("level", "ix", "iy", "cost")
+    # a filter on the cost before would take the whole expression of it down through every step that it comes from
+    return footprint(costed, robot_x, robot_y, size, res).groupBy("px", "py").agg(F.max("cost").alias("cost")).where("cost is not null")
 
 
 def severity(ground: float) -> Column:
@@ -69,15 +70,15 @@ def _pick(index: Column, colours: tuple, channel: int) -> Column:
 def severity_image(cells: DataFrame, robot_x: float, robot_y: float, ground: float, frame: int, size: float = 100.0, res: float = 0.2) -> DataFrame:
     """(px, py, severity, r, g, b): the worst cell over a pixel, of equals the one hit last, then the finer; stale cells
     at half brightness."""
-    costed = cells.withColumn("cost", cost(frame)).where("cost is not null").withColumn("severity", severity(ground))
+    costed = cells.withColumn("cost", cost(frame)).withColumn("severity", F.when(F.col("cost").isNotNull(), severity(ground)))
     tinted = (F.col("severity") == 2) & F.col("semantic_label").between(1, 3)
     shade = F.when(stale(frame), 2).otherwise(1)
     for i, c in enumerate("rgb"):
         plain = F.when(tinted, _pick(F.greatest(F.least("semantic_label", F.lit(3)), F.lit(1)), C.GROUND_RGB, i)).otherwise(_pick(F.col("severity") + 1, C.TERRAIN_RGB, i))
         costed = costed.withColumn(c, F.floor(plain / shade).cast("int"))
     spread = footprint(costed.select("level", "ix", "iy", "severity", "last_update_ts", "r", "g", "b"), robot_x, robot_y, size, res)
-    worst = F.max(F.struct("severity", "last_update_ts", (-F.col("level")).alias("finer"), "ix", "iy", "r", "g", "b")).alias("m")
-    return spread.groupBy("px", "py").agg(worst).select("px", "py", "m.severity", "m.r", "m.g", "m.b")
+    worst = F.max(F.struct("severity", "last_update_ts", (-F.col("level")).alias("finer"), "ix", "iy", "r", "g", "b")).alias("m")  # without severity last
+    return spread.groupBy("px", "py").agg(worst).where("m.severity is not null").select("px", "py", "m.severity", "m.r", "m.g", "m.b")
 
 
 def elevation_colour(cells: DataFrame, ground: float) -> DataFrame:

@@ -10,7 +10,7 @@ from .. import config as C
 
 def fine_of_raw(raw: Column) -> Column:
     """Class of a raw id; ids that no class holds, and null, are ignored."""
-    table = F.create_map(*(F.lit(x) for pair in C.raw_to_fine().items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in C.RAW_TO_FINE.items() for x in pair))
     return F.coalesce(F.element_at(table, raw.cast("int")), F.lit(C.IGNORE))
 
 

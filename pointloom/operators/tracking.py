@@ -1,4 +1,4 @@
-"""Tracks of moving objects over the frames of a sensor: stateful, so in Python, one group per sensor.
+"""Tracks of moving objects over the frames of a drive: stateful, so in Python, one group per sensor and drive.
 
 Only detections enter, a few boxes a frame, never raw points.
 """
@@ -11,8 +11,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..runtime import ship
+from .clusters import boxes, raster_components
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -47,16 +50,50 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 class MoverRules:
     # Gates and thresholds of movers, in metres, metres a second and frames.
     dt: float = 0.1
+    least_height: float = 0.3
+    most_height: float = 2.5
+    reach: float = 40.0
+    cluster_cell: float = 0.2
+    min_points: int = 8
+    most_extent: float = 7.0
+    least_extent: float = 0.1
     min_speed: float = 1.0
     min_shift: float = 0.8
     confirm: int = 3
     window: int = 10
-    oldest: int = 5
     vacate_cell: float = 0.5
     most_occupied: float = 0.25
     least_vacated: int = 2
     misses: int = 3
     size_change: float = 1.0
+    rim: float = 1.0
+    gate: float = 1.0
+    gate_share: float = 0.5
+    smoothing: float = 0.6
+
+
+@dataclass(frozen=True)
+class Detection:
+    """A thing seen in a frame: number, centre, sizes of at least the least extent, bounds (x low, x high, y low,
+    y high), the squares that its points fall in, and what is only passed on: points, lowest and highest."""
+
+    number: int
+    cx: float
+    cy: float
+    dx: float
+    dy: float
+    bounds: tuple[float, float, float, float]
+    cells: frozenset
+    n_points: int = 0
+    z_lo: float = 0.0
+    z_hi: float = 0.0
+
+    @staticmethod
+    def of_box(number: int, cx: float, cy: float, dx: float, dy: float, cell: float = 0.5) -> Detection:
+        """A detection of which the box alone is known: it counts as filled."""
+        bounds = (cx - dx / 2, cx + dx / 2, cy - dy / 2, cy + dy / 2)
+        lo_x, hi_x, lo_y, hi_y = (math.floor(b / cell) for b in bounds)
+        return Detection(number, cx, cy, dx, dy, bounds, frozenset((a, b) for a in range(lo_x, hi_x + 1) for b in range(lo_y, hi_y + 1)))
 
 
 @dataclass
@@ -64,19 +101,14 @@ class _Mover:
     number: int
     x: float
     y: float
-    size: tuple[float, float]
     vx: float = 0.0
     vy: float = 0.0
     hits: int = 1
-    missed: int = 0
+    misses: int = 0
+    age: int = 1
     streak: int = 0
     confirmed: bool = False
-    past: list = field(default_factory=list)
-
-
-def _cells(box: tuple[float, float, float, float], cell: float) -> set[tuple[int, int]]:
-    lo_x, hi_x, lo_y, hi_y = (math.floor(b / cell) for b in box)
-    return {(a, b) for a in range(lo_x, hi_x + 1) for b in range(lo_y, hi_y + 1)}
+    past: list = field(default_factory=list)  # (frame, bounds, cells)
 
 
 def _shift(old, new) -> float:
@@ -89,66 +121,91 @@ class MoverTracker:
     leaves cells behind that are then empty, in several frames."""
 
     def __init__(self, rules: MoverRules | None = None):
-        self.rules, self.tracks, self.next = rules or MoverRules(), [], 1
+        self.rules, self.tracks, self.next, self.frame = rules or MoverRules(), [], 1, 0
 
-    def update(self, frame: int, detections: list[tuple[float, float, float, float]]) -> list[dict]:
-        """detections: (centre x, centre y, size x, size y); the confirmed movers that were seen in this frame."""
+    def update(self, detections: list[Detection], occupied: set | None = None, sensor: tuple[float, float] = (0.0, 0.0)) -> list[dict]:
+        """The confirmed movers seen in this frame; occupied: all squares that hold candidate points, by default those
+        of the detections."""
         r = self.rules
-        for t in self.tracks:
-            t.x, t.y = t.x + t.vx * r.dt, t.y + t.vy * r.dt
-        boxes = [(x - w / 2, x + w / 2, y - h / 2, y + h / 2) for x, y, w, h in detections]
-        occupied = set().union(*(_cells(b, r.vacate_cell) for b in boxes)) if boxes else set()
+        self.frame += 1
+        if occupied is None:
+            occupied = set().union(*(d.cells for d in detections))
         cost = np.full((len(self.tracks), len(detections)), 1e6)
         for i, t in enumerate(self.tracks):
-            for j, (x, y, w, h) in enumerate(detections):
-                d = math.hypot(x - t.x, y - t.y)
-                if d <= 1 + 0.5 * max(w, h):
-                    cost[i, j] = d
+            for j, d in enumerate(detections):
+                far = math.hypot(d.cx - (t.x + t.vx * r.dt), d.cy - (t.y + t.vy * r.dt))
+                if far <= r.gate + r.gate_share * max(d.dx, d.dy):
+                    cost[i, j] = far
         pairs = [(i, j) for i, j in assign(cost) if cost[i, j] < 1e6]
+        out = []
         for i, j in pairs:
-            t, (x, y, w, h) = self.tracks[i], detections[j]
-            px, py = t.x - t.vx * r.dt, t.y - t.vy * r.dt
-            gone = (t.missed + 1) * r.dt
-            px, py = (px, py) if not t.missed else (t.past[-1][1], t.past[-1][2])
-            vx, vy = (x - px) / gone, (y - py) / gone
-            t.vx, t.vy = (vx, vy) if t.hits == 1 else (0.6 * t.vx + 0.4 * vx, 0.6 * t.vy + 0.4 * vy)
-            steady = abs(w - t.size[0]) <= r.size_change and abs(h - t.size[1]) <= r.size_change
-            t.x, t.y, t.size, t.hits, t.missed = x, y, (w, h), t.hits + 1, 0
-            t.past = [p for p in t.past if frame - p[0] <= r.window]
-            moved = False
-            if t.past and frame - t.past[0][0] >= r.oldest:
-                old = t.past[0]
-                left = _cells(old[3], r.vacate_cell) - _cells(boxes[j], r.vacate_cell)
-                free = len(left) >= r.least_vacated and len(left & occupied) <= r.most_occupied * len(left)
-                moved = steady and free and _shift(old[3], boxes[j]) >= r.min_shift and math.hypot(t.vx, t.vy) >= r.min_speed
-            t.streak = t.streak + 1 if moved else 0
-            t.confirmed = t.confirmed and math.hypot(t.vx, t.vy) >= r.min_speed / 2 or t.streak >= r.confirm
-            t.past.append((frame, x, y, boxes[j]))
-        matched_t, matched_d = {i for i, _ in pairs}, {j for _, j in pairs}
+            t, d = self.tracks[i], detections[j]
+            self._seen(t, d)
+            self._judged(t, d, occupied, sensor)
+            if t.confirmed:
+                out.append({"track_id": t.number, "det_id": d.number, "cx": d.cx, "cy": d.cy, "vx": t.vx, "vy": t.vy, "dx": d.dx, "dy": d.dy, "z_lo": d.z_lo, "z_hi": d.z_hi, "n_points": d.n_points, "age": t.age, "speed": math.hypot(t.vx, t.vy)})
+        known, used = {i for i, _ in pairs}, {j for _, j in pairs}
         for i, t in enumerate(self.tracks):
-            if i not in matched_t:
-                t.missed += 1
-        self.tracks = [t for t in self.tracks if t.missed <= r.misses]
-        for j, (x, y, w, h) in enumerate(detections):
-            if j not in matched_d:
-                self.tracks.append(_Mover(self.next, x, y, (w, h), past=[(frame, x, y, boxes[j])]))
+            if i not in known:  # it goes on as it went
+                t.misses, t.age = t.misses + 1, t.age + 1
+                t.x, t.y = t.x + t.vx * r.dt, t.y + t.vy * r.dt
+        self.tracks = [t for t in self.tracks if t.misses <= r.misses]
+        for j, d in enumerate(detections):
+            if j not in used:
+                self.tracks.append(_Mover(self.next, d.cx, d.cy, past=[(self.frame, d.bounds, d.cells)]))
                 self.next += 1
-        return [{"track_id": t.number, "cx": t.x, "cy": t.y, "vx": t.vx, "vy": t.vy, "speed": math.hypot(t.vx, t.vy)} for t in self.tracks if t.confirmed and not t.missed]
-
+        return out
 
-class _Kalman:
-    """Constant velocity of the centre, constant size: state (x, y, w, h, vx, vy), measured (x, y, w, h)."""
+    def _seen(self, t: _Mover, d: Detection) -> None:
+        r = self.rules
+        vx, vy = (d.cx - t.x) / r.dt, (d.cy - t.y) / r.dt
+        old = 0.0 if t.hits == 1 else r.smoothing
+        t.vx, t.vy = old * t.vx + (1 - old) * vx, old * t.vy + (1 - old) * vy
+        t.x, t.y, t.hits, t.age, t.misses = d.cx, d.cy, t.hits + 1, t.age + 1, 0
+        t.past = [p for p in [*t.past, (self.frame, d.bounds, d.cells)] if self.frame - p[0] <= r.window]
+
+    def _judged(self, t: _Mover, d: Detection, occupied: set, sensor: tuple[float, float]) -> None:
+        """Counts frames in a row that give evidence; compared with the oldest sight of the window."""
+        r, speed = self.rules, math.hypot(t.vx, t.vy)
+        then, bounds, cells = t.past[0]
+        if self.frame - then >= r.window // 2 and speed > r.min_speed:
+            steady = max(abs(d.dx - (bounds[1] - bounds[0])), abs(d.dy - (bounds[3] - bounds[2]))) <= r.size_change
+            left = [k for k in cells - d.cells if math.hypot((k[0] + 0.5) * r.vacate_cell - sensor[0], (k[1] + 0.5) * r.vacate_cell - sensor[1]) <= r.reach - r.rim]
+            free = len(left) >= r.least_vacated and sum(k in occupied for k in left) <= r.most_occupied * len(left)
+            if steady and free and _shift(bounds, d.bounds) >= r.min_shift:
+                t.streak += 1
+                t.confirmed |= t.streak >= r.confirm
+                return
+        t.streak = 0
+        t.confirmed &= speed >= r.min_speed / 2
+
+    def skip(self, frames: int) -> None:
+        """Frames without any candidate point."""
+        for _ in range(min(frames, self.rules.misses + 1)):
+            self.update([])
+        self.frame += max(0, frames - self.rules.misses - 1)
+
+
+# The filter's first uncertainty, and noise of steps and of measurements, by (x, y, dx, dy, vx, vy).
+FIRST = (1.0, 1.0, 1.0, 1.0, 10.0, 10.0)
+STEP_NOISE = (0.05, 0.05, 0.01, 0.01, 0.5, 0.5)
+SEEN_NOISE = (0.1, 0.1, 0.1, 0.1)
+STEP_SECONDS = 0.1
+
+
+class Kalman:
+    """Constant velocity of the centre, constant size: state (x, y, dx, dy, vx, vy), measured (x, y, dx, dy)."""
 
     TURN = np.eye(6)
-    TURN[0, 4] = TURN[1, 5] = 0.1
+    TURN[0, 4] = TURN[1, 5] = STEP_SECONDS
     SEEN = np.eye(4, 6)
-    NOISE = np.diag([0.01, 0.01, 0.01, 0.01, 0.1, 0.1])
-    ERROR = np.diag([0.05, 0.05, 0.1, 0.1])
+    NOISE = np.diag(STEP_NOISE)
+    ERROR = np.diag(SEEN_NOISE)
 
     def __init__(self, number: int, box):
         self.number, self.x = number, np.array([*box, 0.0, 0.0])
-        self.p = np.diag([1.0, 1.0, 1.0, 1.0, 100.0, 100.0])
-        self.since, self.streak = 0, 0
+        self.p = np.diag(FIRST)
+        self.since, self.streak = 0, 1
 
     def predict(self) -> None:
         self.x = self.TURN @ self.x
@@ -165,11 +222,13 @@ class _Kalman:
 
 
 class SortTracker:
-    """Kalman tracks matched by overlap, or by distance where boxes don't meet."""
+    """Kalman tracks matched by overlap, or by distance where boxes don't meet; numbered from 0 on."""
+
+    FAR = 1e5
 
     def __init__(self, max_age: int = 3, min_hits: int = 2, reach: float = 2.5):
         self.max_age, self.min_hits, self.reach = max_age, min_hits, reach
-        self.tracks, self.frames, self.next = [], 0, 1
+        self.tracks, self.frames, self.next = [], 0, 0
 
     @staticmethod
     def _iou(a, b) -> float:
@@ -182,46 +241,165 @@ class SortTracker:
         self.frames += 1
         for t in self.tracks:
             t.predict()
-        cost = np.full((len(detections), len(self.tracks)), 3.0)
+        cost = np.full((len(detections), len(self.tracks)), self.FAR)
         for i, d in enumerate(detections):
             for j, t in enumerate(self.tracks):
                 over, far = self._iou(d, t.x), math.hypot(d[0] - t.x[0], d[1] - t.x[1])
-                cost[i, j] = 1 - over if over > 0 else 1 + far / self.reach if far <= self.reach else 3.0
+                if over > 0:
+                    cost[i, j] = 1 - over
+                elif far <= self.reach:
+                    cost[i, j] = 1 + far / self.reach
         pairs = [(i, j) for i, j in assign(cost) if cost[i, j] < 2]
         for i, j in pairs:
             self.tracks[j].update(detections[i])
         for i in sorted(set(range(len(detections))) - {i for i, _ in pairs}):
-            self.tracks.append(_Kalman(self.next, detections[i]))
+            self.tracks.append(Kalman(self.next, detections[i]))
             self.next += 1
-        out = [{"track_id": t.number, "cx": t.x[0], "cy": t.x[1], "dx": t.x[2], "dy": t.x[3], "vx": t.x[4], "vy": t.x[5]} for t in self.tracks if not t.since and (t.streak >= self.min_hits or self.frames <= 2)]
+        out = [{"track_id": t.number, "cx": t.x[0], "cy": t.x[1], "dx": t.x[2], "dy": t.x[3], "vx": t.x[4], "vy": t.x[5]} for t in self.tracks if not t.since and (t.streak >= self.min_hits or self.frames <= self.min_hits)]
         self.tracks = [t for t in self.tracks if t.since <= self.max_age]
         return out
 
+    def skip(self, frames: int) -> None:
+        for _ in range(min(frames, self.max_age + 1)):
+            self.update([])
+        self.frames += max(0, frames - self.max_age - 1)
+
+
+#: A drive of a sensor is the unit of tracking: tracks end with it, so no task holds a sensor's whole history.
+BY = ("sensor_id", "drive")
 
-def _frames(pdf: pd.DataFrame):
+
+def in_order(pdf: pd.DataFrame, tracker, step) -> list[dict]:
+    """step(rows of a frame) for the frames in order, with the frames between them that have no rows skipped."""
+    rows, last = [], None
     for frame, own in pdf.sort_values(["frame_ts", "det_id"]).groupby("frame_ts", sort=True):
-        yield int(frame), [tuple(x) for x in own[["cx", "cy", "dx", "dy"]].to_numpy(float)]
+        if last is not None and frame > last + 1:
+            tracker.skip(int(frame - last - 1))
+        last = frame
+        rows += [{"frame_ts": int(frame), **m} for m in step(own)]
+    return rows
+
+
+def candidates(points: DataFrame, poses: DataFrame, rules: MoverRules | None = None, by: tuple[str, ...] = BY) -> DataFrame:
+    """Points that movers are looked for among: finite, neither on the ground nor high above, and near the sensor.
+
+    points: by, frame_ts, seq, x, y, z; poses: by, frame_ts, robot_x, robot_y, ground_z."""
+    r = rules or MoverRules()
+    above = F.col("z") - F.col("ground_z")
+    away = F.hypot(F.col("x") - F.col("robot_x"), F.col("y") - F.col("robot_y"))
+    sound = ~F.isnan(above) & above.between(r.least_height, r.most_height) & ~F.isnan(away) & (away <= r.reach)
+    return points.join(poses, [*by, "frame_ts"]).where(sound)
+
+
+def detections(found: DataFrame, rules: MoverRules | None = None, by: tuple[str, ...] = BY) -> DataFrame:
+    """Boxes of the candidates' raster components, of enough points and no larger than a vehicle: by, frame_ts, det_id
+    (the component), bounds, sizes, squares, points, lowest and highest."""
+    r, keys = rules or MoverRules(), [*by, "frame_ts"]
+    # the raster starts at the corner of the sensor's reach
+    placed = found.select(*keys, "seq", (F.col("x") - F.col("robot_x") + r.reach).alias("x"), (F.col("y") - F.col("robot_y") + r.reach).alias("y"))
+    part = raster_components(placed, r.cluster_cell, tuple(keys)).withColumnRenamed("component", "det_id")
+    named = found.join(part, [*keys, "seq"])
+    out = boxes(named, [*keys, "det_id"], r.least_extent)
+    more = named.groupBy(*keys, "det_id").agg(F.collect_set(G.footprint_key(F.col("x"), F.col("y"), r.vacate_cell)).alias("cells"), F.min("z").alias("z_lo"), F.max("z").alias("z_hi"))
+    fits = (F.col("n_points") >= r.min_points) & (F.col("x_hi") - F.col("x_lo") <= r.most_extent) & (F.col("y_hi") - F.col("y_lo") <= r.most_extent)
+    return out.where(fits).join(more, [*keys, "det_id"])
+
+
+_MOVERS = "frame_ts int, track_id long, det_id long, cx double, cy double, vx double, vy double, dx double, dy double, z_lo double, z_hi double, n_points long, age long, speed double"
 
 
-def movers(detections: DataFrame, rules: MoverRules | None = None) -> DataFrame:
-    """Confirmed movers by frame, from detections (sensor_id, frame_ts, det_id, cx, cy, dx, dy)."""
-    ship(detections.sparkSession)
+def _keyed(df: DataFrame, by: tuple[str, ...], rows: str) -> str:
+    return ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in by) + ", " + rows
+
+
+def _named(pdf: pd.DataFrame, by: tuple[str, ...], rows: list[dict], columns: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
+    for i, c in enumerate(by):
+        out.insert(i, c, pdf[c].iloc[0])
+    return out
+
+
+def box_detections(own: pd.DataFrame) -> list[Detection]:
+    return [Detection.of_box(int(i), *map(float, box)) for i, *box in own[["det_id", "cx", "cy", "dx", "dy"]].itertuples(index=False)]
+
+
+def movers(boxes_seen: DataFrame, rules: MoverRules | None = None, by: tuple[str, ...] = BY) -> DataFrame:
+    """Confirmed movers by frame, from boxes (by, frame_ts, det_id, cx, cy, dx, dy)."""
+    ship(boxes_seen.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracker = MoverTracker(rules)
+        return _named(pdf, by, in_order(pdf, tracker, lambda own: tracker.update(box_detections(own))), _MOVERS)
+
+    return with_class(boxes_seen.groupBy(*by).applyInPandas(run, _keyed(boxes_seen, by, _MOVERS)))
+
+
+def movers_of_points(points: DataFrame, poses: DataFrame, rules: MoverRules | None = None, by: tuple[str, ...] = BY) -> DataFrame:
+    """Confirmed movers by frame, from points: candidates, their components, and the squares that these leave.
+
+    A row for each frame with its detections and occupied squares reaches the tracker, no points.
+    """
+    ship(points.sparkSession)
+    r, keys = rules or MoverRules(), [*by, "frame_ts"]
+    found = candidates(points, poses, r, by)
+    squares = found.groupBy(*keys).agg(F.collect_set(G.footprint_key(F.col("x"), F.col("y"), r.vacate_cell)).alias("occupied"), F.first("robot_x").alias("sensor_x"), F.first("robot_y").alias("sensor_y"))
+    seen = detections(found, r, by)
+    one = F.struct("det_id", "cx", "cy", "dx", "dy", "x_lo", "x_hi", "y_lo", "y_hi", "cells", "n_points", "z_lo", "z_hi")
+    frames = squares.join(seen.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("things")), keys, "left").withColumn("det_id", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, sensor = MoverTracker(rules), pdf.sensor_id.iloc[0]
-        rows = [{"sensor_id": sensor, "frame_ts": f, **m} for f, d in _frames(pdf) for m in tracker.update(f, d)]
-        return pd.DataFrame(rows, columns=["sensor_id", "frame_ts", "track_id", "cx", "cy", "vx", "vy", "speed"])
+        tracker = MoverTracker(r)
+
+        def step(own: pd.DataFrame) -> list[dict]:
+            row = own.iloc[0]
+            square = lambda cells: frozenset((c["kx"], c["ky"]) for c in cells)
+            things = [] if row.things is None else row.things
+            known = [Detection(d["det_id"], d["cx"], d["cy"], d["dx"], d["dy"], (d["x_lo"], d["x_hi"], d["y_lo"], d["y_hi"]), square(d["cells"]), d["n_points"], d["z_lo"], d["z_hi"]) for d in things]
+            return tracker.update(known, set(square(row.occupied)), (row.sensor_x, row.sensor_y))
+
+        return _named(pdf, by, in_order(pdf, tracker, step), _MOVERS)
+
+    return with_class(frames.groupBy(*by).applyInPandas(run, _keyed(frames, by, _MOVERS)))
+
+
+def with_class(moving: DataFrame) -> DataFrame:
+    kind, sure = G.extent_class(F.col("dx"), F.col("dy"), F.col("z_hi") - F.col("z_lo"))
+    return moving.withColumn("obj_class", kind).withColumn("obj_conf", sure)
 
-    return detections.groupBy("sensor_id").applyInPandas(run, "sensor_id long, frame_ts int, track_id long, cx double, cy double, vx double, vy double, speed double")
 
+_TRACKS = "frame_ts int, track_id long, cx double, cy double, dx double, dy double, vx double, vy double"
 
-def sort_tracks(detections: DataFrame) -> DataFrame:
+
+def sort_tracks(boxes_seen: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Boxes with persistent ids by frame."""
-    ship(detections.sparkSession)
+    ship(boxes_seen.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, sensor = SortTracker(), pdf.sensor_id.iloc[0]
-        rows = [{"sensor_id": sensor, "frame_ts": f, **m} for f, d in _frames(pdf) for m in tracker.update(d)]
-        return pd.DataFrame(rows, columns=["sensor_id", "frame_ts", "track_id", "cx", "cy", "dx", "dy", "vx", "vy"])
+        tracker = SortTracker()
+        step = lambda own: tracker.update([tuple(x) for x in own[["cx", "cy", "dx", "dy"]].to_numpy(float)])
+        return _named(pdf, by, in_order(pdf, tracker, step), _TRACKS)
+
+    return boxes_seen.groupBy(*by).applyInPandas(run, _keyed(boxes_seen, by, _TRACKS))
+
 
-    return detections.groupBy("sensor_id").applyInPandas(run, "sensor_id long, frame_ts int, track_id long, cx double, cy double, dx double, dy double, vx double, vy double")
+def filtered(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The filter's state after each measurement (by, frame_ts, cx, cy, dx, dy) of a track that is known already."""
+    ship(measured.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, rows = None, []
+        for frame, *box in pdf.sort_values("frame_ts")[["frame_ts", "cx", "cy", "dx", "dy"]].itertuples(index=False):
+            if state is None:
+                state, last = Kalman(0, box), frame
+            else:
+                for _ in range(int(frame - last)):
+                    state.predict()
+                state.update(box)
+                last = frame
+            rows.append({"frame_ts": int(frame), **dict(zip(("cx", "cy", "dx", "dy", "vx", "vy"), state.x.tolist(), strict=True)), "p_x": state.p[0, 0], "p_v": state.p[4, 4]})
+        return _named(pdf, by, rows, _STATES)
+
+    return measured.groupBy(*by).applyInPandas(run, _keyed(measured, by, _STATES))
+
+
+_STATES = "frame_ts int, cx double, cy double, dx double, dy double, vx double, vy double, p_x double, p_v double"

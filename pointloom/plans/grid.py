@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import lattice as L
 from ..operators import age, classify, clusters, fold, lookup, raster
+from ..runtime import shared_dir
+from ..streaming import live
 from .registry import big, query, r6, r9, sql6, sql9, whole
 from .views import duck
 
@@ -77,10 +81,16 @@ def lattice_base_index(t):
     return t("points").select("seq", L.base_index(x).alias("base_x"), L.cell_index(x, F.lit(1)).alias("x1"), L.cell_index(x, F.lit(2)).alias("x2"))
 
 
-@query(f"WITH {duck('points')} SELECT count(*) AS n, CAST(0 AS BIGINT) AS violations FROM points")
+_STRETCHED = "(x * 100037e-5)"
+
+
+@query(
+    f"""WITH {duck('points')}, i AS (SELECT {_base(_STRETCHED)} AS b, {_index(_STRETCHED, '1')} AS c1, {_index(_STRETCHED, '2')} AS c2 FROM points)
+  SELECT count(*) AS n, count(*) FILTER (WHERE floor(c1 / 5e0) <> c2 OR floor(b / 2e0) <> c1 OR floor(b / 10e0) <> c2) AS violations FROM i"""
+)
 def lattice_nesting_audit(t):
     x = F.col("x") * 1.00037
-    wrong = (L.floor_div(L.cell_index(x, F.lit(1)), 5) != L.cell_index(x, F.lit(2))) | (L.floor_div(L.base_index(x), 2) != L.cell_index(x, F.lit(1)))
+    wrong = (L.floor_div(L.cell_index(x, F.lit(1)), 5) != L.cell_index(x, F.lit(2))) | (L.floor_div(L.base_index(x), 2) != L.cell_index(x, F.lit(1))) | (L.floor_div(L.base_index(x), 10) != L.cell_index(x, F.lit(2)))
     return t("points").agg(F.count("*").alias("n"), F.count_if(wrong).alias("violations"))
 
 
@@ -104,15 +114,14 @@ def cell_fold(t):
     return _folded(wide_cells(t))
 
 
-@query(
-    f"""WITH {duck('passes', 'still')}, {_gated('passes', 'still')},
-  gaps AS (SELECT *, CASE WHEN frame_ts - lag(frame_ts) OVER (PARTITION BY level, ix, iy ORDER BY frame_ts, seq) > 50 THEN 1 ELSE 0 END AS fresh FROM gated),
+_RESTARTED = """gaps AS (SELECT *, CASE WHEN frame_ts - lag(frame_ts) OVER (PARTITION BY level, ix, iy ORDER BY frame_ts, seq) > 50 THEN 1 ELSE 0 END AS fresh FROM gated),
   islands AS (SELECT *, sum(fresh) OVER (PARTITION BY level, ix, iy ORDER BY frame_ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM gaps),
   marked AS (SELECT *, max(island) OVER (PARTITION BY level, ix, iy) AS newest FROM islands),
   cells AS (SELECT level, ix, iy, count(*) AS hit_count, min(z) AS h_min, max(z) AS h_max, avg(z) AS h_mean, coalesce(var_samp(z), 0) AS h_var,
-    arg_max(label, frame_ts * 100000000000 + seq) AS semantic_label, max(frame_ts) AS last_update_ts FROM marked WHERE island = newest GROUP BY level, ix, iy)
-  SELECT {_FOLDED} FROM cells"""
-)
+    arg_max(label, frame_ts * 100000000000 + seq) AS semantic_label, max(frame_ts) AS last_update_ts FROM marked WHERE island = newest GROUP BY level, ix, iy)"""
+
+
+@query(f"WITH {duck('passes', 'still')}, {_gated('passes', 'still')}, {_RESTARTED} SELECT {_FOLDED} FROM cells")
 def cell_fold_restart(t):
     return _folded(fold.fold_with_restart(fold.gate_points(t("passes"), t("still"))))
 
@@ -120,13 +129,13 @@ def cell_fold_restart(t):
 @query(
     f"""{_WIDE}, carved AS (SELECT 2 AS level, {_index('x', '2')} AS ix, {_index('y', '2')} AS iy, max(frame_ts) AS carve_ts FROM points WHERE seq % 7 = 0 GROUP BY 1, 2, 3)
   SELECT coalesce(c.level, v.level) AS level, coalesce(c.ix, v.ix) AS ix, coalesce(c.iy, v.iy) AS iy, coalesce(hit_count, 0) AS hit_count, coalesce(h_min, 1e9) AS h_min, coalesce(h_max, -1e9) AS h_max,
-    CAST(coalesce(semantic_label, 6) AS INT) AS semantic_label, coalesce(last_update_ts, 0) AS last_update_ts, coalesce(carve_ts, 0) AS carve_ts
+    CAST(coalesce(semantic_label, 6) AS INT) AS semantic_label, coalesce(last_update_ts, 0) AS last_update_ts, coalesce(carve_ts, 0) AS carve_ts, CASE WHEN c.level IS NULL THEN 0 ELSE 2 END AS obstacle_flag, 4e-1 AS traversability
   FROM cells c FULL JOIN carved v ON c.level = v.level AND c.ix = v.ix AND c.iy = v.iy"""
 )
 def cell_upsert_defaults(t):
     two = F.lit(2)
-    carved = t("points").where("seq % 7 = 0").select(two.alias("level"), L.cell_index(F.col("x"), two).alias("ix"), L.cell_index(F.col("y"), two).alias("iy"), "frame_ts").groupBy("level", "ix", "iy").agg(F.max("frame_ts").alias("carve_ts"))
-    return fold.upsert(wide_cells(t), carved).select("level", "ix", "iy", "hit_count", "h_min", "h_max", whole("semantic_label"), "last_update_ts", "carve_ts")
+    carved = t("points").where("seq % 7 = 0").select(two.alias("level"), L.cell_index(F.col("x"), two).alias("ix"), L.cell_index(F.col("y"), two).alias("iy"), "frame_ts").groupBy("level", "ix", "iy").agg(F.min("frame_ts").alias("carve_first"), F.max("frame_ts").alias("carve_ts"))
+    return fold.upsert(wide_cells(t), carved).select("level", "ix", "iy", "hit_count", "h_min", "h_max", whole("semantic_label"), "last_update_ts", "carve_ts", "obstacle_flag", "traversability")
 
 
 _JUDGED = f"level, ix, iy, obstacle_flag, {sql6('traversability', 'traversability')}"
@@ -249,6 +258,88 @@ def levels_histogram(t):
     return wide_cells(t).groupBy("level").agg(F.count("*").alias("cells"), F.sum("hit_count").alias("points"), (F.count("*") / float(1 << 21)).alias("load"))
 
 
-@query()
+#: Rays walked cell by cell, from the hit back to where its band starts, by the error of the line.
+_CARVED = f"""r AS (SELECT *, CASE WHEN rng <= 1e-3 THEN 0e0 ELSE (CASE level WHEN 0 THEN 0e0 WHEN 1 THEN 10e0 ELSE 25e0 END) / rng END AS f FROM gated),
+  rays AS (SELECT DISTINCT frame_ts, level, {_index('(robot_x + f * (x - robot_x))', 'level')} AS ox, {_index('(robot_y + f * (y - robot_y))', 'level')} AS oy, ix AS hx, iy AS hy FROM r WHERE f < 1),
+  walk(k, frame_ts, level, x, y, ox, oy, dx, dy, sx, sy, e) AS (
+    SELECT 0, frame_ts, level, hx, hy, ox, oy, abs(ox - hx), abs(oy - hy), CASE WHEN ox > hx THEN 1 ELSE -1 END, CASE WHEN oy > hy THEN 1 ELSE -1 END, abs(ox - hx) - abs(oy - hy) FROM rays
+    UNION ALL SELECT k + 1, frame_ts, level, x + (CASE WHEN 2 * e > -dy THEN sx ELSE 0 END), y + (CASE WHEN 2 * e < dx THEN sy ELSE 0 END), ox, oy, dx, dy, sx, sy,
+      e - (CASE WHEN 2 * e > -dy THEN dy ELSE 0 END) + (CASE WHEN 2 * e < dx THEN dx ELSE 0 END) FROM walk WHERE x <> ox OR y <> oy),
+  carved AS (SELECT level, x AS ix, y AS iy, min(frame_ts) AS carve_first, max(frame_ts) AS carve_ts FROM walk WHERE k > 0 GROUP BY level, x, y)"""
+
+
+@query(f"WITH RECURSIVE {duck('dense', 'poses')}, {_gated('dense', 'poses')}, {_CARVED} SELECT level, ix, iy, carve_first, carve_ts FROM carved")
 def carve_rays(t):
-    return clusters.carve(fold.gate_points(t("dense"), t("poses")))
+    return clusters.carve(fold.gate_points(t("dense"), t("poses"))).select("level", "ix", "iy", "carve_first", "carve_ts")
+
+
+@query(f"WITH {duck('dense', 'poses')}, {_gated('dense', 'poses')} SELECT seq, level, ix, iy FROM gated WHERE rng >= 3e-1")
+def self_return_filter(t):
+    return fold.gate_points(t("dense"), t("poses"), C.SELF_RANGE).select("seq", "level", "ix", "iy")
+
+
+LOOP_FRAME = 640
+
+_LOOP = f"""WITH RECURSIVE {duck('passes', 'still')}, {_gated('passes', 'still').replace('gated AS', 'all_gated AS')}, gated AS (SELECT * FROM all_gated WHERE rng >= 3e-1), {_RESTARTED}, {_CARVED}, {_classified(GROUND)},
+  whole AS (SELECT level, ix, iy, coalesce(hit_count, 0) AS hit_count, coalesce(h_min, 1e9) AS h_min, coalesce(semantic_label, 6) AS semantic_label, coalesce(obstacle_flag, 0) AS flag, coalesce(traversability, 4e-1) AS score, coalesce(last_update_ts, 0) AS last_update_ts,
+    coalesce(carve_first, 0) AS carve_first, coalesce(carve_ts, 0) AS carve_ts FROM judged FULL JOIN carved USING (level, ix, iy)),
+  ticked AS (SELECT *, CASE WHEN hit_count = 0 THEN greatest(0, floor({LOOP_FRAME} / 5e0) - floor(greatest(50, carve_first - 1) / 5e0)) WHEN {LOOP_FRAME} >= last_update_ts + 51 THEN floor({LOOP_FRAME} / 5e0) - floor((last_update_ts + 50) / 5e0) ELSE 0 END AS k FROM whole),
+  judged_late AS (SELECT * EXCLUDE (flag, score), CASE WHEN flag = 1 AND carve_ts > last_update_ts THEN 2 WHEN flag IN (1, 3) AND k >= 1 AND score * pow(9e-1, k) < 5e-2 THEN 2 ELSE flag END AS obstacle_flag, score * pow(9e-1, k) AS traversability FROM ticked)"""
+
+
+def _fed(t, name: str, parts: int) -> live.LiveMap:
+    """The live map after a stream of a view's scans, a file for each micro-batch, frames in order."""
+    folder = f"{shared_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    points = t(name)
+    low, high = points.agg(F.min("frame_ts"), F.max("frame_ts")).first()
+    for i in range(parts if low is not None else 0):
+        cut = lambda k: low + (high + 1 - low) * k // parts
+        points.where((F.col("frame_ts") >= cut(i)) & (F.col("frame_ts") < cut(i + 1))).coalesce(1).write.mode("append").parquet(f"{folder}/scans")
+    stream = t.spark.readStream.schema(points.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/scans")
+    return live.run(t.spark, stream, t("still" if name == "passes" else "poses"), f"{folder}/map", self_range=C.SELF_RANGE if name == "passes" else 0.0)
+
+
+@query(f"{_LOOP} SELECT level, ix, iy, hit_count, obstacle_flag, {sql6('traversability', 'traversability')}, last_update_ts, carve_ts FROM judged_late WHERE {_near(0, 0, 20)}")
+def frame_loop(t):
+    out = _fed(t, "passes", 7).at(LOOP_FRAME, 0.0, 0.0, GROUND)
+    return out.select("level", "ix", "iy", big("hit_count"), "obstacle_flag", r6("traversability"), "last_update_ts", "carve_ts")
+
+
+def loop_map(t):
+    """The same map in one batch: gate, fold with restarts, carve, judge, fade, evict."""
+    gated = fold.gate_points(t("passes"), t("still"), C.SELF_RANGE)
+    whole = fold.upsert(fold.fold_with_restart(gated), clusters.carve(gated))
+    return age.evict(age.age(classify.classify(whole, GROUND), LOOP_FRAME), 0.0, 0.0)
+
+
+@query(
+    f"""{_LOOP}, costed AS (SELECT *, CASE WHEN obstacle_flag IN (1, 3) THEN 100 WHEN hit_count = 0 THEN 0 WHEN {LOOP_FRAME} - last_update_ts > 50 AND traversability < 5e-2 THEN NULL WHEN semantic_label IN (4, 5) THEN 100
+    ELSE CAST(round(99e0 * (1e0 - least(greatest(traversability / least(hit_count / 10e0, 1e0), 0e0), 1e0)), 0) AS INT) END AS cost FROM judged_late WHERE {_near(0, 0, 20)}),
+  {_spread(0.03, 0.03, 6.0, 0.1)} SELECT px, py, max(cost) AS cost, count(*) FILTER (WHERE hit_count = 0) AS n_free FROM pixels GROUP BY px, py"""
+)
+def free_space_raster(t):
+    costed = loop_map(t).withColumn("cost", raster.cost(LOOP_FRAME)).select("level", "ix", "iy", "cost", "hit_count")
+    out = raster.footprint(costed, 0.03, 0.03, 6.0, 0.1).groupBy("px", "py").agg(F.max("cost").alias("cost"), F.count_if(F.col("hit_count") == 0).alias("n_free"))
+    return out.where("cost is not null").select("px", "py", "cost", "n_free")
+
+
+@query(f"WITH {duck('points', 'poses')}, {_gated('points', 'poses')}, {_RESTARTED} SELECT {_FOLDED} FROM cells")
+def streaming_map_update(t):
+    return _folded(_fed(t, "points", 3).cells().where("hit_count > 0"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS cells, true AS forgotten")
+def map_reset(t):
+    kept = _fed(t, "passes", 1)
+    there = kept.cells().count()
+    kept.reset()
+    return kept.cells().agg(F.count("*").alias("cells")).withColumn("forgotten", F.lit(there > 0))
+
+
+@query(
+    f"""{_LOOP}, costed AS (SELECT *, CASE WHEN obstacle_flag IN (1, 3) THEN 100 WHEN hit_count = 0 THEN 0 WHEN {LOOP_FRAME} - last_update_ts > 50 AND traversability < 5e-2 THEN NULL WHEN semantic_label IN (4, 5) THEN 100
+    ELSE CAST(round(99e0 * (1e0 - least(greatest(traversability / least(hit_count / 10e0, 1e0), 0e0), 1e0)), 0) AS INT) END AS cost FROM judged_late WHERE {_near(0, 0, 20)}),
+  {_spread(0.0, 0.0, 20.0, 0.2)} SELECT px, py, max(cost) AS cost, {LOOP_FRAME} AS frame_ts FROM pixels GROUP BY px, py"""
+)
+def cost_grid_publish(t):
+    return _fed(t, "passes", 2).publish(LOOP_FRAME, 0.0, 0.0, GROUND, 20.0, 0.2).select("px", "py", "cost", "frame_ts")

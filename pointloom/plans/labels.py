@@ -9,7 +9,7 @@ from ..operators import metrics, rangeimage, semantics
 from .registry import big, query, r6, sql6, whole
 from .views import duck
 
-_FINE = "(CASE raw " + " ".join(f"WHEN {raw} THEN {fine}" for raw, fine in sorted(C.raw_to_fine().items())) + f" ELSE {C.IGNORE} END)"
+_FINE = "(CASE raw " + " ".join(f"WHEN {raw} THEN {fine}" for raw, fine in C.RAW_TO_FINE.items()) + f" ELSE {C.IGNORE} END)"
 
 
 def _of_fine(values: tuple, fine: str, other: int) -> str:
@@ -24,11 +24,10 @@ def remap_raw_fine_adl1(t):
 
 @query(
     f"""WITH {duck('raws')}, f AS (SELECT raw, {_FINE} AS fine FROM raws)
-  SELECT raw, count(*) AS n, bool_and(fine = 255) AS ignored, bool_and(raw NOT IN ({', '.join(map(str, sorted([*C.raw_to_fine(), *C.IGNORED_RAW])))})) AS unmapped FROM f GROUP BY raw"""
+  SELECT raw, count(*) AS n, bool_and(fine = 255) AS ignored, bool_and(raw NOT IN ({', '.join(map(str, C.RAW_TO_FINE))})) AS unmapped FROM f GROUP BY raw"""
 )
 def label_audit(t):
-    known = [*C.raw_to_fine(), *C.IGNORED_RAW]
-    return t("raws").withColumn("fine", semantics.fine_of_raw(F.col("raw"))).groupBy("raw").agg(F.count("*").alias("n"), F.bool_and(F.col("fine") == C.IGNORE).alias("ignored"), F.bool_and(~F.col("raw").isin(known)).alias("unmapped"))
+    return t("raws").withColumn("fine", semantics.fine_of_raw(F.col("raw"))).groupBy("raw").agg(F.count("*").alias("n"), F.bool_and(F.col("fine") == C.IGNORE).alias("ignored"), F.bool_and(~F.col("raw").isin(list(C.RAW_TO_FINE))).alias("unmapped"))
 
 
 _CHANCES = """p AS (SELECT vec_id, label AS gt, list_transform(e, lambda x: x / list_sum(e)) AS p FROM

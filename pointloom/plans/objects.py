@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import clusters, metrics, tracking
-from ..runtime import shared_dir
 from ..sources import clouds
-from ..streaming import live
-from .registry import big, query, r6, r9, sql6, sql9, whole
+from .registry import query, r6, r9, sql6, sql9
 from .views import duck
 
 _KIND = """CASE WHEN lg <= 0 THEN 0 WHEN lg <= 6e-1 AND height >= 18e-1 AND tall >= 3 THEN 3 WHEN lg >= 3 AND slim >= 3 THEN 4
@@ -137,19 +133,11 @@ def recall_by_range(t):
     return binned.groupBy("range_bin").agg(F.count("*").alias("n"), F.count("nearest_det_id").alias("found"), (F.count("nearest_det_id") / F.count("*")).alias("recall")).select("range_bin", "n", "found", r6("recall"))
 
 
-def _moving(t):
-    """Three things a sensor: two that walk and one that stands, with gaps."""
-    frames = t("detections").select("frame_ts").distinct()
-    things = [(0, 0.0, 0.2, 0.5), (1, 20.0, -0.15, 0.8), (2, -9.0, 0.0, 4.0)]
-    kinds = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x0"), F.lit(v).alias("v"), F.lit(w).alias("w")) for i, x, v, w in things))
-    rows = frames.withColumn("k", F.explode(kinds)).withColumn("sensor_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))).where("(frame_ts * 7 + k.i * 3) % 19 <> 0")
-    return rows.select("sensor_id", "frame_ts", F.col("k.i").alias("det_id"), (F.col("k.x0") + F.col("k.v") * (F.col("frame_ts") % 100) + F.col("sensor_id") * 100).alias("cx"), (F.col("k.i") * 8.0).alias("cy"), F.col("k.w").alias("dx"), F.col("k.w").alias("dy"))
-
-
 def _boxes(t):
-    """All detections; among them things that move, as the detections' places are random and never move on."""
-    detected = t("detections").select("sensor_id", "frame_ts", "det_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "dx", "dy")
-    return detected.unionByName(_moving(t).withColumn("det_id", (-1 - F.col("det_id")).cast("long")))
+    """All detections, by sensor and drive, and among them the things of the scene, as the detections' places are random
+    and never move on."""
+    detected = t("detections").select("sensor_id", F.expr("cast(frame_ts div 100 as bigint)").alias("drive"), "frame_ts", "det_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "dx", "dy")
+    return detected.unionByName(t("scene").withColumn("det_id", (-1 - F.col("det_id")).cast("long")))
 
 
 @query()
@@ -185,22 +173,6 @@ def split_semijoin(t):
     return kept.groupBy(F.regexp_extract("seq_id", "[0-9]+", 0).cast("int").alias("seq_id")).agg(F.countDistinct("frame_ts").alias("scans"), F.count("*").alias("n"))
 
 
-def _streamed_sql() -> str:
-    from .grid import _CELLS, _FOLDED, _gated
-
-    return f"WITH {duck('points', 'poses')}, {_gated('points', 'poses')}, {_CELLS} SELECT {_FOLDED} FROM cells"
-
-
-@query(_streamed_sql())
-def streaming_map_update(t):
-    folder = f"{shared_dir(t.spark)}/feed-{uuid.uuid4().hex}"
-    points = t("points")
-    points.repartitionByRange(3, "frame_ts").write.parquet(folder)
-    stream = t.spark.readStream.schema(points.schema).option("maxFilesPerTrigger", "1").parquet(folder)
-    out = live.run(t.spark, stream, t("poses"), shared_dir(t.spark))
-    return out.select(whole("level"), big("ix"), big("iy"), big("hit_count"), "h_min", "h_max", r9("h_mean"), r9("h_var"), whole("semantic_label"), whole("last_update_ts"))
-
-
 @query(f"WITH {duck('points', 'poses')}, s AS (SELECT frame_ts, {sql9('avg(z)', 'mean_z')}, count(*) AS n FROM points GROUP BY frame_ts) SELECT s.frame_ts, n, mean_z, robot_x FROM s LEFT JOIN (SELECT * FROM poses WHERE frame_ts % 3 <> 0) p ON p.frame_ts = s.frame_ts")
 def pose_pass_through(t):
     scans = t("points").groupBy("frame_ts").agg(F.avg("z").alias("mean_z"), F.count("*").alias("n"))
