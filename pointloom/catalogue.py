@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import classify
-from .plans import grid, labels, more, objects, registry, scans  # noqa: F401
+from .plans import chains, grid, labels, more, objects, registry, scans  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import lattice as L
+from ..runtime import settled
 
 #: Steps to the ring of a rim, by level.
 RING = (15, 7, 1)
@@ -49,4 +50,4 @@ def classify(cells: DataFrame, ground: float, only_frame: int | None = None) ->
     free = F.when(F.col("carve_ts") > 0, C.FLAT).otherwise(C.ROUGH) if "carve_ts" in cells.columns else F.lit(C.ROUGH)
     out = judged.join(rims, ["level", "ix", "iy"], "left")
     out = out.withColumn("obstacle_flag", F.when(hit, flag(ground, F.coalesce("rim", F.lit(False)))).otherwise(free).cast("int")).drop("rim")
-    return out.withColumn("traversability", F.when(hit, traversability(F.col("obstacle_flag"))).otherwise(C.UNSEEN))
+    return settled(out.withColumn("traversability", F.when(hit, traversability(F.col("obstacle_flag"))).otherwise(C.UNSEEN)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import geometry as G
 from ..functions import lattice as L
-from ..runtime import ship
+from ..runtime import settled, ship
 
 #: Points that whole frames are gathered up to before they are worked on together.
 TOGETHER = 200_000
@@ -261,7 +261,7 @@ def rays(gated: DataFrame) -> DataFrame:
     t = F.when(F.col("range") <= 1e-3, 0.0).otherwise(L.by_level(F.col("level"), C.INNER) / F.col("range"))
     out = gated.withColumn("_t", t).where("_t < 1")
     at = lambda c: L.cell_index(F.col(f"robot_{c}") + F.col("_t") * (F.col(c) - F.col(f"robot_{c}")), F.col("level"))
-    return out.select("frame_ts", "level", at("x").alias("ox"), at("y").alias("oy"), F.col("ix").alias("hx"), F.col("iy").alias("hy")).distinct()
+    return settled(out.select("frame_ts", "level", at("x").alias("ox"), at("y").alias("oy"), F.col("ix").alias("hx"), F.col("iy").alias("hy"))).distinct()
 
 
 def carve(gated: DataFrame) -> DataFrame:

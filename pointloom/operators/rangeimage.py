@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .clusters import by_frames
 
 HEIGHT, WIDTH, UP, DOWN = 64, 1024, 22.5, -22.5
 
@@ -18,9 +21,9 @@ def project(points: DataFrame, height: int = HEIGHT, width: int = WIDTH, up: flo
     return points.withColumn("range", r).where("range > 1e-6").withColumn("v", v).withColumn("u", u)
 
 
-def z_buffer(projected: DataFrame) -> DataFrame:
-    """The nearest return of each pixel; of equal ranges the one with the greatest index."""
-    best = F.max_by(F.struct("idx", "range", "x", "y", "z", "label"), F.struct(-F.col("range"), F.col("idx"))).alias("w")
+def z_buffer(projected: DataFrame, *more: str) -> DataFrame:
+    """The nearest return of each pixel; of equal ranges the one with the greatest index.  more: further columns."""
+    best = F.max_by(F.struct("idx", "range", "x", "y", "z", "label", *more), F.struct(-F.col("range"), F.col("idx"))).alias("w")
     return projected.groupBy("frame_ts", "v", "u").agg(best).select("frame_ts", "v", "u", "w.*")
 
 
@@ -30,23 +33,47 @@ def unproject(points: DataFrame, pixels: DataFrame, value: str, fill: int = 255)
     return points.join(own, ["frame_ts", "idx"], "left").withColumn(value, F.coalesce("_v", F.lit(fill))).drop("_v")
 
 
-def knn_labels(projected: DataFrame, pixels: DataFrame, k: int = 5, window: int = 5, cutoff: float = 1.0, ignore: int = 255) -> DataFrame:
+def knn_labels(projected: DataFrame, pixels: DataFrame, k: int = 5, window: int = 5, cutoff: float = 1.0, ignore: int = 255, value: str = "label") -> DataFrame:
     """A label for every point: the majority among the k pixels of its window that are nearest in range.
 
     Ties in range go by offset, ties in votes to the lower class; ignored labels have no vote; without votes the label
-    of the own pixel counts.  The window ends at the image's edges.
+    of the own pixel counts.  The window ends at the image's edges.  Points and pixels of a frame meet in one shuffle;
+    a task looks the window of all its points up at once.
     """
     half = window // 2
-    steps = F.array(*(F.struct(F.lit(a).alias("dv"), F.lit(b).alias("du")) for a in range(-half, half + 1) for b in range(-half, half + 1)))
-    near = projected.select("frame_ts", "idx", "range", "v", "u").withColumn("d", F.explode(steps))
-    near = near.select("frame_ts", "idx", F.col("range").alias("own"), (F.col("v") + F.col("d.dv")).alias("v"), (F.col("u") + F.col("d.du")).alias("u"), "d.dv", "d.du")
-    seen = near.join(pixels.select("frame_ts", "v", "u", F.col("range").alias("there"), "label"), ["frame_ts", "v", "u"])
-    seen = seen.withColumn("gap", F.abs(F.col("there") - F.col("own"))).where((F.col("there") > 0) & (F.col("gap") <= cutoff))
-    first = seen.withColumn("_r", F.row_number().over(Window.partitionBy("frame_ts", "idx").orderBy("gap", "dv", "du"))).where(F.col("_r") <= k)
-    votes = first.where(F.col("label") != ignore).groupBy("frame_ts", "idx", "label").agg(F.count("*").alias("n"))
-    won = votes.groupBy("frame_ts", "idx").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("voted"))
-    own = projected.join(pixels.select("frame_ts", "v", "u", F.col("label").alias("pixel_label")), ["frame_ts", "v", "u"], "left")
-    return own.join(won, ["frame_ts", "idx"], "left").select("frame_ts", "idx", F.coalesce("voted", "pixel_label", F.lit(ignore)).alias("label"))
+    steps = [(dv << 20) + du for dv in range(-half, half + 1) for du in range(-half, half + 1)]
+    own = projected.select("frame_ts", F.lit(1).alias("point"), "idx", "range", "v", "u", F.lit(None).cast("int").alias("label"))
+    image = pixels.where("range > 0").select("frame_ts", F.lit(0).alias("point"), "idx", "range", "v", "u", F.col(value).cast("int").alias("label"))
+
+    def work(rows: pd.DataFrame, frame: np.ndarray) -> pd.DataFrame:
+        key = (frame.astype(np.int64) << 40) + ((rows.v.to_numpy(np.int64) + half) << 20) + rows.u.to_numpy(np.int64) + half
+        point = rows.point.to_numpy() == 1
+        order = np.argsort(key[~point], kind="stable")
+        there, reach, label = key[~point][order], rows.range.to_numpy(float)[~point][order], rows.label.to_numpy(float)[~point][order]
+        mine, own_range = key[point], rows.range.to_numpy(float)[point]
+        gap, seen = np.full((len(mine), len(steps)), np.inf), np.full((len(mine), len(steps)), -1.0)
+        for j, step in enumerate(steps if len(there) else ()):
+            at = np.searchsorted(there, mine + step)
+            at[at == len(there)] = 0
+            far = np.abs(reach[at] - own_range)
+            fits = (there[at] == mine + step) & (far <= cutoff)
+            gap[fits, j], seen[fits, j] = far[fits], label[at[fits]]
+        near = np.argsort(gap, 1, kind="stable")[:, :k]
+        votes = np.take_along_axis(seen, near, 1)
+        valid = np.isfinite(np.take_along_axis(gap, near, 1)) & (votes != ignore)
+        count = ((votes[:, :, None] == votes[:, None, :]) & valid[:, None, :]).sum(2)
+        best = np.argmax(np.where(valid, count * 1000.0 - votes, -np.inf), 1)
+        voted = votes[np.arange(len(votes)), best]
+        middle = seen_at(there, label, mine, ignore)
+        return pd.DataFrame({"frame_ts": rows.frame_ts[point], "idx": rows.idx[point], value: np.where(valid.any(1), voted, middle).astype(np.int32)})
+
+    def seen_at(there: np.ndarray, label: np.ndarray, mine: np.ndarray, other: int) -> np.ndarray:
+        if not len(there):
+            return np.full(len(mine), float(other))
+        at = np.minimum(np.searchsorted(there, mine), len(there) - 1)
+        return np.where(there[at] == mine, label[at], float(other))
+
+    return by_frames(own.unionByName(image), work, f"frame_ts int, idx long, {value} int", ["idx"])
 
 
 def directions(spark: SparkSession, height: int = HEIGHT, width: int = WIDTH, up: float = UP, down: float = DOWN) -> DataFrame:
@@ -73,12 +100,42 @@ def roll_flip(pixels: DataFrame, roll: int, flip: bool, width: int = WIDTH) -> D
     return out.withColumn("u", (width - 1 - F.col("u")).cast("int")).withColumn("y", -F.col("y")) if flip else out
 
 
-def mixed(one: DataFrame, two: DataFrame, bands: int = 4, height: int = HEIGHT) -> DataFrame:
-    """Rows of two images by turns: even bands from the one, odd ones from the other."""
-    band = F.floor(F.col("v") * bands / height) % 2
+def flipped(pixels: DataFrame, mean: float, std: float, width: int = WIDTH) -> DataFrame:
+    """Mirrors an image whose y channel is normalised: y becomes what normalising the mirrored one gives."""
+    return pixels.withColumn("u", (width - 1 - F.col("u")).cast("int")).withColumn("y", -F.col("y") - 2.0 * mean / max(std, 1e-6))
+
+
+def dropped(pixels: DataFrame, channels: list[str], share: float = 0.05, seed: int = 0, drop: Column | None = None, ignore: int = 255) -> DataFrame:
+    """Pixels without return: zero in every channel and ignored as label; a share of them by chance, or those named."""
+    gone = F.rand(seed) < share if drop is None else drop
+    return pixels.withColumn("_gone", gone).select(*(F.when(F.col("_gone"), ignore if c == "label" else 0).otherwise(F.col(c)).cast(dict(pixels.dtypes)[c]).alias(c) if c in (*channels, "label") else c for c in pixels.columns))
+
+
+def mixed(one: DataFrame, two: DataFrame, bands: int = 4, height: int = HEIGHT, cuts: list[int] | None = None) -> DataFrame:
+    """Rows of two images by turns: even bands from the one, odd ones from the other; bands of one height, or cut where
+    told."""
+    if cuts is None:
+        band = F.floor(F.col("v") * bands / height) % 2
+    else:
+        band = F.lit(0)
+        for c in cuts:
+            band = band + (F.col("v") >= c).cast("int")
+        band = band % 2
     return one.where(band == 0).unionByName(two.where(band == 1))
 
 
+def mixed_points(one: DataFrame, two: DataFrame, split: float) -> DataFrame:
+    """Points of two scans, those below an azimuth from the one and the others from the other."""
+    return one.where(F.atan2("y", "x") < split).unionByName(two.where(F.atan2("y", "x") >= split))
+
+
+def rotated_scaled(points: DataFrame, yaw: float, scale: float, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """Points turned about the upright axis, scaled, and moved by chance in every axis."""
+    x, y, c, s = F.col("x"), F.col("y"), math.cos(yaw), math.sin(yaw)
+    moved = {"x": (x * c - y * s) * scale, "y": (x * s + y * c) * scale, "z": F.col("z") * scale}
+    return points.withColumns({k: v + F.randn(seed + i) * jitter if jitter else v for i, (k, v) in enumerate(moved.items())})
+
+
 def horizon(points: DataFrame, columns: int = 1024, slack: float = 0.05) -> DataFrame:
     """Returns that no nearer one of their frame and azimuth column hides."""
     col = F.floor((F.atan2("y", "x") / (2 * math.pi) + 0.5) * columns)

@@ -69,3 +69,27 @@ def height_labels(points: DataFrame) -> DataFrame:
     """The stand-in labeller for runs without a network: by height alone, dust outside the gate."""
     z = F.col("z")
     return points.withColumn("label", F.when(~z.between(-2.0, 15.0), C.DUST).when(z > 1.0, 4).otherwise(0).cast("int"))
+
+
+def ladder_labels(points: DataFrame) -> DataFrame:
+    """The stand-in labeller of the sparse network: by height, and above the ground by distance; dust outside the
+    gate."""
+    z, away = F.col("z"), F.hypot(F.col("x"), F.col("y"))
+    # Heights of ground, gravel and what stands, and the distance from which that counts as growth.
+    label = F.when(~z.between(-2.0, 15.0) | F.isnan(z), C.DUST).when(z < 0.10, 0).when(z < 0.30, 1).when(away < 10.0, C.OBSTACLE).otherwise(3)
+    return points.withColumn("label", label.cast("int"))
+
+
+def stub_logits(pixels: DataFrame) -> DataFrame:
+    """Logits of the stand-in network: it is sure of a class that follows from height alone."""
+    z = F.col("z")
+    fine = F.when(z < -0.5, 0).when(z < 0.0, 2).when(z < 0.5, 3).when(z < 1.0, 5).when(z < 1.5, 6).otherwise(8)
+    return pixels.withColumn("logits", F.array(*(F.when(fine == i, 4.0).otherwise(0.0) for i in range(len(C.FINE)))))
+
+
+def in_space(points: DataFrame, space: str, raw: str = "label") -> DataFrame:
+    """Points with their raw label put into a label space: raw, fine or adl1."""
+    if space == "raw":
+        return points
+    fine = fine_of_raw(F.col(raw))
+    return points.withColumn(raw, {"fine": fine, "adl1": label_of_fine(fine)}[space])

@@ -119,14 +119,14 @@ def latency_stats(t):
 
 @query(f"WITH {duck('points')} SELECT frame_ts, {sql6('quantile_cont(z, 2e-2)', 'ground_z')} FROM points GROUP BY frame_ts")
 def ground_percentile(t):
-    return t("points").groupBy("frame_ts").agg(F.percentile("z", F.lit(0.02)).alias("ground_z")).select("frame_ts", r6("ground_z"))
+    return metrics.percentiles(t("points"), ["frame_ts"], "z", {"ground_z": 0.02}).select("frame_ts", r6("ground_z"))
 
 
 @query(f"WITH {duck('points')} SELECT {sql6('quantile_cont(p, 1e-3)', 'low')}, {sql6('quantile_cont(p, 999e-3)', 'high')} FROM (SELECT degrees(asin(least(greatest(z / sqrt(x * x + y * y + z * z), -1e0), 1e0))) AS p FROM points)")
 def fov_percentiles(t):
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     pitch = F.degrees(F.asin(F.least(F.greatest(F.col("z") / r, F.lit(-1.0)), F.lit(1.0))))
-    return t("points").select(pitch.alias("p")).agg(F.percentile("p", F.lit(0.001)).alias("low"), F.percentile("p", F.lit(0.999)).alias("high")).select(r6("low"), r6("high"))
+    return metrics.percentiles(t("points").select(pitch.alias("p")), [], "p", {"low": 0.001, "high": 0.999}).select(r6("low"), r6("high"))
 
 
 @query(

@@ -6,7 +6,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _sent: set[str] = set()
 
@@ -32,7 +33,18 @@ def ship(spark: SparkSession) -> None:
     _sent.add(context.applicationId)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, worked out here: filters and steps that use a column several times would else repeat its whole
+    expression, and theirs again, until the generated code is too long to compile."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir.  Where it is unset, a local master gets a
+    temporary folder, as driver and executors are one process there; a cluster has to name one."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (given or "file:///tmp/pointloom-shared").rstrip("/")
+    if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        given = f"file://{tempfile.gettempdir()}/pointloom-{spark.sparkContext.applicationId}"
+    return given.rstrip("/")

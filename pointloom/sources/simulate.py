@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..operators import rangeimage
 
 
@@ -52,3 +53,56 @@ def scene(spark: SparkSession, boxes: DataFrame, frames: int, dt: float = 0.1, d
     level = F.abs(F.atan2("z", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))) <= math.radians(22.5)
     points = points.where(level)
     return rangeimage.horizon(points).drop("col", "dist", "nearest") if occlusion else points
+
+
+# The terrain that scenes stand on.
+TRACK, MEADOW = 3.0, 25.0
+PUDDLES = ((42.0, -7.0, 5.0, 3.0), (95.0, 9.0, 4.0, 6.0))
+WAVE, WAVE_X, WAVE_Y = 0.03, 0.35, 0.25
+CURB = (4.0, 4.4, 0.25)
+
+
+def terrain_label(x: Column, y: Column) -> Column:
+    """Track, meadow, open ground, and puddles on any of them."""
+    out = F.lit(False)
+    for cx, cy, rx, ry in PUDDLES:
+        a, b = (x - cx) / rx, (y - cy) / ry
+        out = out | (a * a + b * b < 1.0)
+    return F.when(out, C.WATER).when(F.abs(y) < TRACK, 1).when(F.abs(y) < MEADOW, 2).otherwise(0).cast("int")
+
+
+def terrain_height(x: Column, y: Column, ground: float) -> Column:
+    """Gentle waves, and a curb beside the track."""
+    low, high, step = CURB
+    return ground + WAVE * F.sin(WAVE_X * x) * F.cos(WAVE_Y * y) + F.when((y > low) & (y < high), step).otherwise(0.0)
+
+
+# The scan of the regression drive.
+BEAMS, DRIVE_UP, DRIVE_MOUNT, DRIVE_REACH, TREES, NEAR_TREES, FAR_TREES, ROUGHNESS = 64, 22.5, 1.2, 100.0, 0.35, 20.0, 70.0, 0.04
+
+
+def lcg(seed: Column, k: int) -> Column:
+    """A number from 0 to 1 for each seed, by k steps of a linear congruence modulo 2 ** 31."""
+    x = F.pmod(seed, F.lit(1 << 31))
+    for _ in range(k):
+        x = F.pmod(x * 1_103_515_245 % (1 << 31) + 12_345, F.lit(1 << 31))
+    return F.floor(x / 256) / float(1 << 23)
+
+
+def drive_scan(spark: SparkSession, columns: int = 1024) -> DataFrame:
+    """One scan (idx, x, y, z, label) of flat ground and a line of trees, as the regression drive sees it in every frame."""
+    rows = spark.range(BEAMS * columns).select(F.col("id").alias("idx"), F.floor(F.col("id") / columns).alias("b"), (F.col("id") % columns).alias("c"))
+    up = F.radians(-DRIVE_UP + 2 * DRIVE_UP * F.col("b") / (BEAMS - 1.0))
+    az = 2.0 * math.pi * F.col("c") / columns
+    ground = up < -0.01
+    r = F.when(ground, DRIVE_MOUNT / F.tan(-up)).otherwise(NEAR_TREES + FAR_TREES * lcg(F.col("idx") + 7, 4))
+    z = F.when(ground, -DRIVE_MOUNT + (lcg(F.col("idx"), 3) - 0.5) * ROUGHNESS).otherwise(r * F.tan(up))
+    seen = rows.where(ground | (lcg(F.col("idx") + 3, 5) < TREES)).withColumn("r", r).where(F.col("r") <= DRIVE_REACH)
+    return seen.select("idx", (F.col("r") * F.cos(az)).alias("x"), (F.col("r") * F.sin(az)).alias("y"), z.alias("z"), F.when(ground, 0).otherwise(3).alias("label"))
+
+
+def drive(spark: SparkSession, frames: int, columns: int = 1024, step: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(points, poses) of a drive: the scan as seen from each place, a step further every frame."""
+    at = spark.range(1, frames + 1).select(F.col("id").cast("int").alias("frame_ts"), ((F.col("id") - 1) * step).alias("robot_x"), F.lit(0.0).alias("robot_y"), F.lit(-DRIVE_MOUNT).alias("ground_z"))
+    seen = at.select("frame_ts", "robot_x").join(drive_scan(spark, columns))  # every frame sees the whole scan
+    return seen.select("frame_ts", F.col("idx").alias("seq"), (F.col("x") + F.col("robot_x")).alias("x"), "y", "z", "label"), at
