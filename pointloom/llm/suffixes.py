@@ -8,8 +8,10 @@ A string of ``length`` symbols that starts twice selects the same k-gram in both
 the leftmost of equals.  So all windows of ``length`` symbols fall into contexts, each the run of windows that one
 selected k-gram serves, and a window repeats only between contexts of the same k-gram, at the same distance to it.
 
-1. One pass cuts every text into contexts, about one in length / 2.4 symbols, and emits k-gram code, context code and
-   place.  Equal contexts meet in a map-side aggregation: all windows of a context that occurs twice repeat.
+1. One pass cuts every text into contexts, about one in length / 3 symbols, and deals k-gram code, context code and
+   place out to buckets of k-grams, packed.  Within a task, equal contexts are one entry, as all windows of a context
+   that occurs twice repeat; and a k-gram with more than ``LONG`` different contexts there sends one of them on, since
+   it is known already that the others have to be compared.  So a passage of very many documents fills no bucket.
 2. Contexts that share their k-gram with a different one are fetched, once each, as two strings: the windows that
    reach half a window or more to the left of the k-gram, and the others.  A repeated window lies in two strings
    that agree on that half, which is the grouping key; most chance neighbours part here.
@@ -51,6 +53,10 @@ from .common import in_release, kept, narrow, shared_dir
 LENGTH = 400
 #: Words of a shared passage, at least.
 PASSAGE = 51
+#: Contexts that a task holds before it packs them, entries of a bucket, about, and bytes of text for a context.
+HELD, BUCKET, SPACING = 1 << 19, 1 << 18, 50
+#: Different contexts of a k-gram within one task, above which it sends one on.
+LONG = 16
 #: Strings of a group, at most, that a task orders together.
 HOT = 512
 #: Strings ordered at once, at least, where there are so many.
@@ -74,7 +80,7 @@ class Unit:
 
     @property
     def gram(self) -> int:
-        return max(4, 4 * self.length // 25)
+        return max(4, 8 * self.length // 25)
 
     @property
     def half(self) -> int:
@@ -128,52 +134,193 @@ def contexts(buf: np.ndarray, at: np.ndarray, size: np.ndarray, unit: Unit):
     return start, windows, off, codes[place[start]] ^ _U(unit.number), code
 
 
-_OCC = "gram long, ctx long, doc_id long, th long, unit int, at long, windows int, off int"
+#: What is known of an entry: its k-gram has several contexts, its context repeats, its document has no id, its unit.
+OPEN, MANY, NO_ID, UNIT = 1, 2, 4, 8
+_ENTRY = (("gram", np.uint64), ("ctx", np.uint64), ("doc", np.int64), ("th", np.int64), ("at", np.int32), ("windows", np.int32), ("off", np.int32), ("flags", np.uint8))
+Entries = dict[str, np.ndarray]
 
 
-def _cut(kinds: tuple[Unit, ...]):
-    def one_unit(unit: Unit, ids: list, th: list, strings: list[np.ndarray]) -> pa.RecordBatch | None:
+def _packed(rows: Entries) -> bytes:
+    raw = b"".join([np.int64(len(rows["gram"])).tobytes(), *(rows[n].astype(t).tobytes() for n, t in _ENTRY)])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(block: bytes) -> Entries:
+    raw = pa.decompress(block[8:], int(np.frombuffer(block[:8], np.int64)[0]), "zstd", asbytes=True)
+    n, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, {}
+    for name, t in _ENTRY:
+        out[name] = np.frombuffer(raw, t, n, at)
+        at += n * np.dtype(t).itemsize
+    return out
+
+
+def _taken(rows: Entries, at: np.ndarray) -> Entries:
+    return {k: v[at] for k, v in rows.items()}
+
+
+def _joined(parts: list[Entries]) -> Entries:
+    return {n: np.concatenate([p[n] for p in parts]) for n, _ in _ENTRY}
+
+
+def _resolved(rows: Entries, across: np.ndarray, last: bool) -> tuple[Entries, Entries, np.ndarray, Entries]:
+    """(contexts that repeat whole, contexts to be compared, whether these stand for themselves alone, entries to go on).
+
+    across: by unit, whether repeats have to be in several documents.  Unless it is the last time, only k-grams with
+    very many contexts are settled."""
+    doc = tk.mix(rows["doc"].view(np.uint64) ^ tk.mix(rows["th"].view(np.uint64) + (rows["flags"] & NO_ID).astype(np.uint64)))
+    order = np.lexsort((doc, rows["ctx"], rows["gram"]))
+    rows, doc = _taken(rows, order), doc[order]
+    gram, ctx, flags = rows["gram"], rows["ctx"], rows["flags"]
+    new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
+    new = new_gram | np.concatenate(([True], ctx[1:] != ctx[:-1]))
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(gram)))
+    end = start + count - 1
+    several = np.where(across[(flags[start] & UNIT) // UNIT], doc[start] != doc[end], count > 1)
+    many = several | (np.bitwise_or.reduceat(flags, start) & MANY > 0)
+    whole = np.flatnonzero(np.repeat(many, count) & (flags & MANY == 0))  # those with the flag are out already
+    of_gram = np.cumsum(new_gram)[start] - 1
+    contexts_of = np.bincount(of_gram)
+    known = np.zeros(len(contexts_of), bool)
+    np.logical_or.at(known, of_gram, np.bitwise_or.reduceat(flags, start) & OPEN > 0)
+    settled = (known | (contexts_of > 1)) if last else contexts_of > LONG
+    # of a context that repeats one entry stands for all
+    stands = np.ones(len(gram), bool)
+    stands[np.repeat(many, count)] = False
+    stands[start[many]] = True
+    compared = np.flatnonzero(stands & np.repeat(settled[of_gram], count) & (flags & OPEN == 0))
+    alone = ~np.repeat(many, count)[compared]
+    if last:
+        return _taken(rows, whole), _taken(rows, compared), alone, _taken(rows, np.zeros(0, np.int64))
+    onward = stands & np.repeat(~settled[of_gram], count)
+    first_of_gram = np.flatnonzero(new_gram)
+    onward[first_of_gram[settled]] = True
+    passed = _taken(rows, np.flatnonzero(onward))
+    marks = np.repeat(np.where(many, MANY, 0), count) | np.repeat(np.where(settled[of_gram], OPEN, 0), count)
+    passed["flags"] = passed["flags"] | marks[onward].astype(np.uint8)
+    return _taken(rows, whole), _taken(rows, compared), alone, passed
+
+
+_MET = "kind int, bucket int, block binary, doc_id long, th long, unit int, low long, high long, gram long, windows int, off int, single boolean"
+BLOCK, SPAN, WANTED = range(3)
+_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+
+
+def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _MET.split(", ")]
+    columns["kind"] = np.full(size, kind, np.int32)
+    return pa.RecordBatch.from_arrays([x if isinstance(x := columns.get(n), pa.Array) else pa.nulls(size, t) if x is None else pa.array(x, t) for n, t in zip(names, _TYPES, strict=True)], names=names)
+
+
+def _found(whole: Entries, compared: Entries, alone: np.ndarray, lengths: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of spans and of contexts that are wanted; their bucket only spreads them."""
+    for kind, rows in ((SPAN, whole), (WANTED, compared)):
+        n = len(rows["gram"])
+        if not n:
+            continue
+        number = ((rows["flags"] & UNIT) // UNIT).astype(np.int32)
+        low = rows["at"].astype(np.int64)
+        common = {
+            "bucket": (rows["th"].view(np.uint64) & _U(buckets - 1)).astype(np.int32), "doc_id": pa.array(rows["doc"], mask=rows["flags"] & NO_ID > 0), "th": rows["th"], "unit": number,
+            "low": low, "high": low + rows["windows"] - 1 + lengths[number],
+        }
+        if kind == WANTED:
+            common |= {"gram": rows["gram"].view(np.int64), "windows": rows["windows"], "off": rows["off"], "single": alone}
+        yield _rows(kind, n, **common)
+
+
+def _cut(kinds: tuple[Unit, ...], buckets: int):
+    across, lengths = np.array([u.across for u in kinds]), np.array([u.length for u in kinds])
+
+    def entries(unit: Unit, ids: np.ndarray, no_id: np.ndarray, th: np.ndarray, strings: list[np.ndarray]) -> Iterator[Entries]:
         length, most = unit.length, tk.PIECE
         piece = most - length
-        out = []
         held: list[tuple[int, int, np.ndarray]] = []
 
-        def flush() -> None:
+        def flush() -> Entries:
             size = np.array([len(t) for _, _, t in held], np.int64)
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             start, windows, off, grams, code = contexts(np.concatenate([t for _, _, t in held]), first, size, unit)
             of = np.searchsorted(first, start, "right") - 1
             doc = np.array([i for i, _, _ in held])[of]
             at = start - first[of] + np.array([a for _, a, _ in held], np.int64)[of]
-            out.append((doc, at, windows, off, grams, code))
             held.clear()
+            return {"gram": grams, "ctx": code, "doc": ids[doc], "th": th[doc], "at": at.astype(np.int32), "windows": windows.astype(np.int32), "off": off.astype(np.int32), "flags": (NO_ID * no_id[doc] + UNIT * unit.number).astype(np.uint8)}
 
         total = 0
         for i, t in enumerate(strings):
             for a in range(0, len(t) - length + 1, piece):
                 part = t[a : a + piece + length - 1]
                 if held and total + len(part) > most:
-                    flush()
+                    yield flush()
                     total = 0
                 held.append((i, a, part))
                 total += len(part)
         if held:
-            flush()
-        if not out:
-            return None
-        doc, at, windows, off, grams, code = (np.concatenate(x) for x in zip(*out, strict=True))
-        pick = pa.array(doc)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(grams.view(np.int64)), pa.array(code.view(np.int64)), pa.array(ids, pa.int64()).take(pick), pa.array(th, pa.int64()).take(pick), pa.array(np.full(len(doc), unit.number, np.int32)), pa.array(at), pa.array(windows.astype(np.int32)), pa.array(off.astype(np.int32))],
-            names=["gram", "ctx", "doc_id", "th", "unit", "at", "windows", "off"],
-        )
+            yield flush()
 
-    def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch | None:
-        ids, th = rows.column(0).to_pylist(), rows.column(2).to_pylist()
-        found = [b for unit in kinds if (b := one_unit(unit, ids, th, unit.symbols(texts))) is not None]
-        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Entries] = []
 
-    return lambda batches: tk.by_parts(batches, "text", one, tk.PIECE)
+        def send() -> Iterator[pa.RecordBatch]:
+            whole, compared, alone, passed = _resolved(_joined(held), across, False)
+            held.clear()
+            yield from _found(whole, compared, alone, lengths, buckets)
+            bucket = (passed["gram"] & _U(buckets - 1)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, passed = bucket[order], _taken(passed, order)
+            start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+            cuts = list(zip(start.tolist(), np.append(start[1:], len(bucket)).tolist(), strict=True))
+            for at in range(0, len(cuts), 16):
+                yield _rows(BLOCK, len(cuts[at : at + 16]), bucket=bucket[[a for a, _ in cuts[at : at + 16]]].astype(np.int32), block=[_packed({k: v[a:b] for k, v in passed.items()}) for a, b in cuts[at : at + 16]])
+
+        def one(rows: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            ids, th = rows.column(0), rows.column(2)
+            no_id = np.asarray(ids.is_null())
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for unit in kinds:
+                held.extend(entries(unit, ids, no_id, th.to_numpy(zero_copy_only=False), unit.symbols(texts)))
+            return rows
+
+        for _ in tk.by_parts(batches, "text", one, tk.PIECE):
+            if sum(len(h["gram"]) for h in held) >= HELD:
+                yield from send()
+        if held:
+            yield from send()
+        tk.give_back()
+
+    return run
+
+
+def _met(kinds: tuple[Unit, ...], buckets: int):
+    """Settles the k-grams of each bucket; rows that are settled already go through."""
+    across, lengths = np.array([u.across for u in kinds]), np.array([u.length for u in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        now, held = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            whole, compared, alone, _ = _resolved(_joined(list(map(_unpacked, held))), across, True)
+            held.clear()
+            yield from _found(whole, compared, alone, lengths, buckets)
+
+        for b in batches:
+            is_block = pc.equal(b.column("kind"), BLOCK)
+            blocks, rest = b.filter(is_block), b.filter(pc.invert(is_block))
+            if rest.num_rows:
+                yield rest
+            for bucket, block in zip(blocks.column("bucket").to_pylist(), blocks.column("block").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from settle()
+                now = bucket
+                held.append(block)
+        if held:
+            yield from settle()
+        tk.give_back()
+
+    return run
 
 
 _STRINGS = "key long, unit int, doc_id long, th long, at long, lead int, single boolean, symbols binary"
@@ -401,37 +548,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _beside(docs: DataFrame, rows: DataFrame, items: str, how: str) -> DataFrame:
-    """docs with the row of their id and text code: sent to all executors if that is few bytes, else by a shuffle of
-    both; items: the array that makes a row long."""
-    size = rows.agg((F.sum(F.size(items)) * 48 + F.count("*") * 64).alias("n")).first().n or 0
+    """docs with the row of their id and text code, and of the others, where how is left, without.
+
+    The rows are sent to all executors if that is few bytes; else, if at least the ids are, only the documents that have
+    a row are shuffled to meet it; else both sides are.  items: the array that makes a row long."""
+    count = rows.agg(F.count("*").alias("n"), F.sum(F.size(items)).alias("items")).first()
     rows = rows.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    if size <= SENT:
+    on = lambda r: docs.doc_id.eqNullSafe(r["_id"]) & (docs.th == r["_th"])
+    if count.n * 64 + (count["items"] or 0) * 48 <= SENT:
         rows = F.broadcast(rows)
-    return docs.join(rows, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.th == F.col("_th")), how).drop("_id", "_th")
+    elif count.n * 40 <= SENT:
+        ids = F.broadcast(rows.select("_id", "_th"))
+        near = docs.join(ids, on(ids), "left_semi")
+        out = near.join(rows, near.doc_id.eqNullSafe(rows["_id"]) & (near.th == rows["_th"]), "inner").drop("_id", "_th")
+        return out if how == "inner" else out.unionByName(docs.join(ids, on(ids), "left_anti"), allowMissingColumns=True)
+    return docs.join(rows, on(rows), how).drop("_id", "_th")
+
+
+def _buckets(size: int) -> int:
+    return 1 << max(4, min(30, (2 * size // SPACING // BUCKET).bit_length()))
 
 
-def _repeats(kinds: tuple[Unit, ...], n: str, low: str, high: str):
-    """Whether what occurs n times, in documents with codes from low to high, repeats as its unit asks for."""
-    across = [u.number for u in kinds if u.across]
-    return F.when(F.col("unit").isin(across), F.col(low) != F.col(high)).otherwise(F.col(n) > 1)
+def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [[{"unit": u, "low": low, "high": high} for u in (0, 1) for low, high in merged([(x["low"], x["high"]) for x in own if x["unit"] == u])] for own in b.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(out, pa.list_(pa.struct([("unit", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])))], names=["doc_id", "th", "spans"])
 
 
 def spans(docs: DataFrame, kinds: tuple[Unit, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, unit, low, high): ranges of symbols that repeat, which may meet; th is the code of the text."""
+    """(doc_id, th, spans): ranges of symbols of each unit that repeat, apart from each other; th is the code of the
+    text.  Documents without any have no row."""
     docs = _keyed(narrow(docs, id_col, text_col).where(F.octet_length("text") >= min(u.length if u.size == 1 else 2 * u.length - 1 for u in kinds)))
-    folder = in_release(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/pointloom-columns-{uuid.uuid4().hex}")
-    occ = kept(docs.select("doc_id", "text", "th").mapInArrow(_cut(kinds), _OCC), "contexts")
+    spark = docs.sparkSession
+    folder = in_release(spark, f"{shared_dir(spark)}/pointloom-columns-{uuid.uuid4().hex}")
+    buckets = _buckets(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    cut = docs.select("doc_id", "text", "th").mapInArrow(_cut(kinds, buckets), _MET)
+    met = kept(cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met(kinds, buckets), _MET).drop("bucket", "block"), "met")
     length = F.element_at(F.array(*(F.lit(u.length) for u in kinds)), F.col("unit") + 1)
-    first = lambda c: F.first(c).alias(c)  # noqa: E731  (all of one row: they are taken together)
-    code = F.xxhash64("doc_id", "th")
-    same = kept(occ.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(code).alias("from"), F.max(code).alias("to"), *map(first, ("doc_id", "th", "unit", "at", "windows", "off"))).withColumn("many", _repeats(kinds, "n", "from", "to")), "same")
-    whole = occ.join(same.where("many").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("doc_id", "th", "unit", F.col("at").alias("low"), (F.col("at") + F.col("windows") - 1 + length).alias("high"))
-    several = same.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    # what a document alone has several times is wanted in every place
-    again = occ.join(same.where("n > 1 and not many").select("gram", "ctx"), ["gram", "ctx"], "left_semi").withColumn("many", F.lit(False))
-    fields = ["gram", "doc_id", "th", "unit", "at", "windows", "off", "many"]
-    open_ctx = same.where("n = 1 or many").select(*fields).unionByName(again.select(*fields)).join(several, "gram", "left_semi")
-    wanted = kept(open_ctx.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "unit", "at", "windows", "off", (~F.col("many")).alias("single"))).alias("wanted")), "wanted")  # a row for each document
+    whole = met.where(F.col("kind") == SPAN).select("doc_id", "th", "unit", "low", "high")
+    one = F.struct("gram", "unit", F.col("low").alias("at"), "windows", "off", "single")
+    wanted = kept(met.where(F.col("kind") == WANTED).groupBy("doc_id", "th").agg(F.collect_list(one).alias("wanted")), "wanted")  # a row for each document
     # rows of documents that repeat fetch the same strings, which are taken once below
     texts = _beside(docs, wanted, "wanted", "inner").select("doc_id", "th", "text", "wanted")
     strings = kept(texts.mapInArrow(_fetched(kinds), _STRINGS), "strings")
@@ -439,11 +595,14 @@ def spans(docs: DataFrame, kinds: tuple[Unit, ...], id_col: str = "doc_id", text
     cold = strings.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id", "th", "at")
     found = whole.unionByName(cold.mapInArrow(_ordered(kinds, folder), _SPANS))
     if not hot.isEmpty():
+        code = F.xxhash64("doc_id", "th")
+        across = [u.number for u in kinds if u.across]
         windows = kept(strings.join(hot, "key", "left_semi").dropDuplicates(["key", "doc_id", "th", "at"]).mapInArrow(_windows(kinds), _WINDOWS), "windows")
-        counted = windows.groupBy("d1", "d2", "unit").agg(F.count("*").alias("n"), F.min(code).alias("from"), F.max(code).alias("to"), (~F.bool_and("single")).alias("many"))
-        twice = counted.where(F.col("many") | _repeats(kinds, "n", "from", "to")).select("d1", "d2")
-        found = found.unionByName(windows.where("single").join(twice, ["d1", "d2"], "left_semi").select("doc_id", "th", "unit", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
-    return found
+        counted = windows.groupBy("d1", "d2", "unit").agg(F.count("*").alias("n"), F.min(code).alias("from"), F.max(code).alias("to"), F.bool_and("single").alias("single"))
+        repeats = F.when(F.col("unit").isin(across), F.col("from") != F.col("to")).otherwise(F.col("n") > 1) | ~F.col("single")
+        found = found.unionByName(windows.where("single").join(counted.where(repeats).select("d1", "d2"), ["d1", "d2"], "left_semi").select("doc_id", "th", "unit", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
+    lists = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("unit", "low", "high")).alias("spans"))  # a row for each document
+    return kept(lists.mapInArrow(_merged_spans, "doc_id long, th long, spans array<struct<unit: int, low: long, high: long>>"), "spans")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,6 +639,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col:
     """One row per document: bytes, bytes and maximal runs removed, the digest of what is left and its bytes; the runs
     of words that it shares with another document, and whether there is any."""
     texts = _keyed(narrow(docs, id_col, text_col))
-    found = spans(docs, units(length, passage), id_col, text_col)
-    by_doc = kept(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("unit", "low", "high")).alias("spans")), "spans")
+    by_doc = spans(docs, units(length, passage), id_col, text_col)
     return _beside(texts, by_doc, "spans", "left").select("doc_id", "text", "spans").mapInArrow(_removed, SCHEMA)

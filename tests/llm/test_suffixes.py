@@ -63,11 +63,13 @@ def mixture(seed, unit, n=60):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("length", "hot", "sent"), [(400, 512, 10**6), (40, 512, 0), (40, 3, 10**6)])
+@pytest.mark.parametrize(("length", "hot", "sent"), [(400, 512, 10**6), (40, 512, 0), (40, 512, 3000), (40, 3, 10**6)])
 def test_dedup(spark, monkeypatch, length, hot, sent):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "SENT", sent)
     monkeypatch.setattr(suffixes, "TOGETHER", 50)
+    monkeypatch.setattr(suffixes, "HELD", 200 if hot == 3 else 1 << 19)
+    monkeypatch.setattr(suffixes, "LONG", 2 if hot == 3 else 16)
     monkeypatch.setattr(suffixes.tk, "PIECE", 1 << 14)
     docs = spark.createDataFrame(mixture(length + hot, length), "doc_id long, text string").repartition(3)
     plain = [(r.doc_id, r.text) for r in docs.collect()]
