@@ -256,23 +256,140 @@ def line_cell(hx: Column, hy: Column, ox: Column, oy: Column, k: Column) -> tupl
     return hx + F.signum(ox - hx).cast("long") * F.when(steep, behind).otherwise(k), hy + F.signum(oy - hy).cast("long") * F.when(steep, k).otherwise(behind)
 
 
-def rays(gated: DataFrame) -> DataFrame:
-    """Distinct rays of each frame, hit cell to the cell where its band starts: the points of an azimuth share rays."""
+def _ray_ends(gated: DataFrame) -> DataFrame:
     t = F.when(F.col("range") <= 1e-3, 0.0).otherwise(L.by_level(F.col("level"), C.INNER) / F.col("range"))
     out = gated.withColumn("_t", t).where("_t < 1")
     at = lambda c: L.cell_index(F.col(f"robot_{c}") + F.col("_t") * (F.col(c) - F.col(f"robot_{c}")), F.col("level"))
-    return settled(out.select("frame_ts", "level", at("x").alias("ox"), at("y").alias("oy"), F.col("ix").alias("hx"), F.col("iy").alias("hy"))).distinct()
+    return settled(out.select("frame_ts", "level", at("x").alias("ox"), at("y").alias("oy"), F.col("ix").alias("hx"), F.col("iy").alias("hy")))
+
+
+def rays(gated: DataFrame) -> DataFrame:
+    """Distinct rays of each frame, hit cell to the cell where its band starts: the points of an azimuth share rays."""
+    return _ray_ends(gated).distinct()
+
+
+def ray_cells(ends: DataFrame) -> DataFrame:
+    """(frame_ts, level, ix, iy) for every step of every ray, from expressions alone."""
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.abs(F.col("ox") - F.col("hx")), F.abs(F.col("oy") - F.col("hy"))))
+    long = ends.where("ox <> hx or oy <> hy").withColumn("k", F.explode(steps))
+    ix, iy = line_cell(*(F.col(c) for c in ("hx", "hy", "ox", "oy", "k")))
+    return long.select("frame_ts", "level", ix.alias("ix"), iy.alias("iy"))
+
+
+#: Rays that a task walks together, and cells of the window that it notes frames in, at most.
+RAYS, WINDOW = 1 << 18, 1 << 24
+
+
+class _Carved:
+    """First and last frame of the cells of one level, noted in a dense window around what was walked."""
+
+    def __init__(self):
+        self.low = self.first = self.last = None
+
+    def _room(self, x0: int, x1: int, y0: int, y1: int) -> bool:
+        """Makes the window hold these cells; false if it would be too large."""
+        if self.low is not None:
+            x0, y0 = min(x0, self.low[0]), min(y0, self.low[1])
+            x1, y1 = max(x1, self.low[0] + self.first.shape[0] - 1), max(y1, self.low[1] + self.first.shape[1] - 1)
+            if self.low == (x0, y0) and self.first.shape == (x1 - x0 + 1, y1 - y0 + 1):
+                return True
+        if self.low is not None and (x1 - x0 + 1) * (y1 - y0 + 1) > WINDOW:
+            return False
+        pad = 64  # room to move on
+        x0, x1, y0, y1 = x0 - pad, x1 + pad, y0 - pad, y1 + pad
+        grown = [np.full((x1 - x0 + 1, y1 - y0 + 1), v, np.int32) for v in (np.iinfo(np.int32).max, np.iinfo(np.int32).min)]
+        if self.low is not None:
+            a, b = self.low[0] - x0, self.low[1] - y0
+            for new, old in zip(grown, (self.first, self.last), strict=True):
+                new[a : a + old.shape[0], b : b + old.shape[1]] = old
+        (self.first, self.last), self.low = grown, (x0, y0)
+        return True
+
+    def walk(self, frame: int, ends: np.ndarray) -> bool:
+        """Notes all cells of the rays (ox, oy, hx, hy) of a frame; false, and nothing, if they are too far away.
+
+        All rays take their k-th step together: the longer axis moves, the other one when it has fallen behind by more
+        than half a cell.  Rays are sorted by length, so those that go on are the first."""
+        if not self._room(int(ends[:, 0::2].min()), int(ends[:, 0::2].max()), int(ends[:, 1::2].min()), int(ends[:, 1::2].max())):
+            return False
+        dx, dy = ends[:, 0] - ends[:, 2], ends[:, 1] - ends[:, 3]
+        length = np.maximum(abs(dx), abs(dy))
+        order = np.argsort(-length, kind="stable")
+        dx, dy, length = dx[order], dy[order], length[order].astype(np.int32)
+        width = self.first.shape[1]
+        at = ((ends[order, 2] - self.low[0]) * width + ends[order, 3] - self.low[1]).astype(np.int32)
+        in_x, in_y = (np.sign(dx) * width).astype(np.int32), np.sign(dy).astype(np.int32)
+        steep = abs(dy) > abs(dx)
+        major, minor = np.where(steep, in_y, in_x), np.where(steep, in_x, in_y)
+        twice = 2 * np.minimum(abs(dx), abs(dy)).astype(np.int32)
+        behind = np.zeros(len(length), np.int32)
+        first, last = self.first.reshape(-1), self.last.reshape(-1)
+        ends_at = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right") if len(length) else ()
+        seen = np.zeros(first.shape, bool)
+        for n in ends_at:
+            b = behind[:n]
+            b += twice[:n]
+            falls = b > length[:n]
+            b -= falls * (2 * length[:n])
+            at[:n] += major[:n] + falls * minor[:n]
+            seen[at[:n]] = True
+        cells = np.flatnonzero(seen)
+        first[cells] = np.minimum(first[cells], frame)
+        last[cells] = np.maximum(last[cells], frame)
+        return True
+
+    def rows(self, level: int) -> pd.DataFrame:
+        x, y = np.nonzero(self.first != np.iinfo(np.int32).max)
+        return pd.DataFrame({"level": np.full(len(x), level, np.int32), "ix": x + self.low[0], "iy": y + self.low[1], "carve_first": self.first[x, y], "carve_ts": self.last[x, y]})
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    windows: dict[int, _Carved] = {}
+    held: list[np.ndarray] = []
+
+    def walk() -> Iterator[pd.DataFrame]:
+        rows = np.concatenate(held)
+        held.clear()
+        key = rows[:, 0] * len(C.CELL) + rows[:, 1]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        for own in np.split(rows, cuts):
+            frame, level = int(own[0, 0]), int(own[0, 1])
+            ends = own[:, 2:]
+            ends = ends[(ends[:, 0] != ends[:, 2]) | (ends[:, 1] != ends[:, 3])]
+            if not len(ends):
+                continue
+            code = (ends - ends.min(0)).astype(np.int64)
+            spread = code.max(0) + 1
+            if float(np.prod(spread.astype(float))) < 2**62:  # rays that points share, once
+                code = ((code[:, 0] * spread[1] + code[:, 1]) * spread[2] + code[:, 2]) * spread[3] + code[:, 3]
+                ends = ends[np.unique(code, return_index=True)[1]]
+            if not windows.setdefault(level, _Carved()).walk(frame, ends):
+                yield windows[level].rows(level)
+                windows[level] = _Carved()
+                windows[level].walk(frame, ends)
+
+    for batch in batches:
+        held.append(batch[["frame_ts", "level", "ox", "oy", "hx", "hy"]].to_numpy(np.int64))
+        if sum(map(len, held)) >= RAYS:
+            yield from walk()
+    if held:
+        yield from walk()
+    for level, window in windows.items():
+        if window.low is not None:
+            yield window.rows(level)
 
 
 def carve(gated: DataFrame) -> DataFrame:
     """(level, ix, iy, carve_first, carve_ts): cells that a ray passed on its way, with the first and the last frame.
 
-    All in the JVM: a ray is the sequence of its steps, and each step's cell has a closed form.
+    Rays are walked where the points are, all of a frame side by side; a task hands on each cell once, with its frames,
+    and these merge by cell.
     """
-    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.abs(F.col("ox") - F.col("hx")), F.abs(F.col("oy") - F.col("hy"))))
-    long = rays(gated).where("ox <> hx or oy <> hy").withColumn("k", F.explode(steps))
-    ix, iy = line_cell(*(F.col(c) for c in ("hx", "hy", "ox", "oy", "k")))
-    return long.select("frame_ts", "level", ix.alias("ix"), iy.alias("iy")).groupBy("level", "ix", "iy").agg(F.min("frame_ts").alias("carve_first"), F.max("frame_ts").alias("carve_ts"))
+    ship(gated.sparkSession)
+    cells = _ray_ends(gated).mapInPandas(_walked, "level int, ix long, iy long, carve_first int, carve_ts int")
+    return cells.groupBy("level", "ix", "iy").agg(F.min("carve_first").alias("carve_first"), F.max("carve_ts").alias("carve_ts"))
 
 
 def vacated(old_cells: str, new_cells: str, occupied: str):

@@ -152,6 +152,26 @@ def test_carving(spark):
     assert got == {(i, 0): (1, 4 if i < 3 else 1) for i in range(5)}
 
 
+@pytest.mark.parametrize("window", [1 << 24, 1 << 14])
+def test_carving_in_windows(spark, monkeypatch, window):
+    """Rays of several frames, far apart at times, walked side by side, against each on its own."""
+    monkeypatch.setattr(clusters, "WINDOW", window)
+    rng = random.Random(3)
+    rays = [(f, lv, f * 300 + a, -f * 200 + b, f * 300 + a + rng.randrange(-40, 41), -f * 200 + b + rng.randrange(-40, 41)) for f in (1, 2, 9, 2) for lv in (0, 2) for a in (0, 3) for b in (0, 5) for _ in range(12)]
+    import pandas as pd
+
+    frames = [pd.DataFrame(part, columns=["frame_ts", "level", "ox", "oy", "hx", "hy"]) for part in (rays[:50], rays[50:])]
+    got, want = {}, {}
+    for r in pd.concat(list(clusters._walked(iter(frames)))).itertuples(index=False):
+        old = got.get(r[:3], r[3:])
+        got[r[:3]] = min(old[0], r[3]), max(old[1], r[4])
+    for f, lv, ox, oy, hx, hy in rays:
+        for x, y in walked(hx, hy, ox, oy):
+            old = want.get((lv, x, y), (f, f))
+            want[lv, x, y] = min(old[0], f), max(old[1], f)
+    assert got == want
+
+
 def free_map(spark, points, frame, ground=0.0):
     gated = cells_of(spark, points, ground)
     whole = fold.upsert(fold.fold_with_restart(gated), clusters.carve(gated))
