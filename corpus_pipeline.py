@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, decontaminate, ngram, pii, quality
-from pointloom.llm.common import kept, table
+from pointloom.llm.common import forget, kept, mark, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        since = mark()
+        before, docs = docs, kept(stage(spark, docs, sf_dir), name)
+        forget(spark, since - hasattr(before, "kept_at"), docs)  # with what the stage read, if that was a stage's
     return STAGES[-1][1](spark, docs, sf_dir)

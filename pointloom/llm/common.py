@@ -29,7 +29,28 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pointloom-{label}-{uuid.uuid4().hex}"
     _made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mark() -> int:
+    """What forget counts from."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int, *needed: DataFrame) -> None:
+    """Removes the intermediate tables made since the mark, but for those that are still to be read."""
+    left = {df.kept_at for df in needed}
+    for path in _made[since:]:
+        if path not in left:
+            _deleted(spark, path)
+    _made[since:] = [path for path in _made[since:] if path in left]
 
 
 def in_release(spark: SparkSession, path: str) -> str:
@@ -52,6 +73,4 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 
 def release(spark: SparkSession) -> None:
     """Removes the intermediate tables of this application; results that read them must have been used by then."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    forget(spark, 0)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import kept, narrow, without
+from .common import forget, kept, mark, narrow, without
 from .graph import components
 
 N = 5
@@ -543,6 +543,7 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id that links lead to)."""
+    since = mark()
     docs = narrow(docs, id_col, text_col)
     order, shingles = order_of(docs)
     buckets = _buckets(shingles, percent)
@@ -618,6 +619,7 @@ def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
         links = links.unionAll(found_later)
     parts = components(links)
     levels.unpersist()
+    forget(docs.sparkSession, since, sent, parts)  # the result reads these two
     labelled = own.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep")
     return labelled.join(parts, labelled.rep == parts.v, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id"))
 
@@ -625,7 +627,9 @@ def components_of(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 def distinct(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all columns, without those linked to one of a lesser id; an id with several rows keeps the
     row of the least text, and rows without id stay."""
+    since = mark()
     parts = kept(components_of(docs, percent, id_col, text_col), "components")
+    forget(docs.sparkSession, since, parts)
     gone = parts.where("doc_id <> component_id").select("doc_id")
     several = parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     several = kept(several, "several")

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import in_release, kept, narrow, shared_dir
+from .common import forget, in_release, kept, mark, narrow, shared_dir
 
 LENGTH = 400
 #: Words of a shared passage, at least.
@@ -579,7 +579,7 @@ def spans(docs: DataFrame, kinds: tuple[Unit, ...], id_col: str = "doc_id", text
     """(doc_id, th, spans): ranges of symbols of each unit that repeat, apart from each other; th is the code of the
     text.  Documents without any have no row."""
     docs = _keyed(narrow(docs, id_col, text_col).where(F.octet_length("text") >= min(u.length if u.size == 1 else 2 * u.length - 1 for u in kinds)))
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     folder = in_release(spark, f"{shared_dir(spark)}/pointloom-columns-{uuid.uuid4().hex}")
     buckets = _buckets(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     cut = docs.select("doc_id", "text", "th").mapInArrow(_cut(kinds, buckets), _MET)
@@ -602,7 +602,9 @@ def spans(docs: DataFrame, kinds: tuple[Unit, ...], id_col: str = "doc_id", text
         repeats = F.when(F.col("unit").isin(across), F.col("from") != F.col("to")).otherwise(F.col("n") > 1) | ~F.col("single")
         found = found.unionByName(windows.where("single").join(counted.where(repeats).select("d1", "d2"), ["d1", "d2"], "left_semi").select("doc_id", "th", "unit", F.col("at").alias("low"), (F.col("at") + length).alias("high")))
     lists = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("unit", "low", "high")).alias("spans"))  # a row for each document
-    return kept(lists.mapInArrow(_merged_spans, "doc_id long, th long, spans array<struct<unit: int, low: long, high: long>>"), "spans")
+    out = kept(lists.mapInArrow(_merged_spans, "doc_id long, th long, spans array<struct<unit: int, low: long, high: long>>"), "spans")
+    forget(spark, since, out)
+    return out
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,7 +77,7 @@ class TokenTree:
         model, at, sizes, counts = self.model, 0, [], []
         known, ids = model.known, model.ids
         for special in [*(model.split.finditer(text) if model.split else ()), None]:
-            pieces = model.pattern.findall(text, at, special.start() if special else len(text))
+            pieces = model.cut(text, at, special.start() if special else len(text))
             sizes += map(len, pieces)
             counts += [len(known.get(p) or ids(p)) >> 2 for p in pieces]
             if special:
