@@ -112,3 +112,23 @@ def layers(cells: DataFrame, ground: float, frame: int) -> DataFrame:
         F.when(negative, C.TERRAIN_RGB[7][1]).when(lethal, 0).when(~hit, 90).otherwise(F.floor(200 * t)).cast("int").alias("cost_g"),
         (F.lit(frame) - seen > C.STALE_FRAMES).alias("stale"),
     )
+
+
+def painted(cells: DataFrame, colours: list[str], x: float, y: float, half: float, pixel: float, outline: int, order: list[str]) -> DataFrame:
+    """(px, py, colours): the cell drawn last over each pixel of a square around a place, by order and then the finer.
+
+    A cell is as many pixels wide as its size asks for, one at least; those of outline pixels or more have a darker
+    right and upper edge, so that the bands show.
+    """
+    n = max(1, round(2 * half / pixel))
+    cs = L.by_level(F.col("level"), C.CELL)
+    wide = F.greatest(F.lit(1), F.round(cs / pixel, 0).cast("int"))
+    low = lambda i, o: F.floor((F.col(i) * cs - (o - half)) / pixel + 1e-6)
+    placed = cells.select(*cells.columns, low("ix", x).alias("_x"), low("iy", y).alias("_y"), wide.alias("_w"))
+    placed = placed.where(f"_x + _w > 0 and _y + _w > 0 and _x < {n} and _y < {n}")
+    span = lambda c: F.sequence(F.greatest(F.lit(0).cast("long"), F.col(c)), F.least(F.lit(n - 1).cast("long"), F.col(c) + F.col("_w") - 1))
+    spread = placed.withColumn("px", F.explode(span("_x"))).withColumn("py", F.explode(span("_y")))
+    edge = (F.col("_w") >= outline) & ((F.col("px") == F.col("_x") + F.col("_w") - 1) | (F.col("py") == F.col("_y") + F.col("_w") - 1))
+    shaded = [F.when(edge, F.floor(F.col(c) * 0.55)).otherwise(F.col(c)).cast("int").alias(c) for c in colours]
+    top = F.max(F.struct(*order, (-F.col("level")).alias("_finer"), "ix", "iy", *shaded)).alias("m")
+    return spread.groupBy("px", "py").agg(top).select("px", "py", *(F.col(f"m.{c}").alias(c) for c in colours))

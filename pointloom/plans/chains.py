@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import geometry as G
-from ..operators import clusters, metrics, rangeimage, segment, semantics, tracking
+from ..operators import classify, clusters, fold, metrics, raster, rangeimage, segment, semantics, tracking
 from ..runtime import shared_dir
 from ..sources import clouds, simulate
+from . import grid
+from .grid import _DENSE
 from .objects import _KIND, _ramp
 from .registry import big, query, r6, sql6
 from .scans import _BUFFER, _NEAR, _PIXELS
@@ -202,6 +204,33 @@ def random_baseline(t):
     return own.agg(share("pred", "model"), share("chance", "chance")).select(r6("model"), r6("chance"))
 
 
+_PIXEL = "floor((i{c} * (CASE level WHEN 0 THEN 5e-2 WHEN 1 THEN 1e-1 ELSE 5e-1 END) - ({o} - 6e-1)) / 1e-2 + 1e-6)"
+
+
+@query(
+    f"""{_DENSE}, p AS (SELECT *, CAST({_PIXEL.format(c='x', o='3e-1')} AS BIGINT) AS x0, CAST({_PIXEL.format(c='y', o='2e-1')} AS BIGINT) AS y0, CASE level WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 50 END AS w FROM cells),
+  s AS (SELECT * EXCLUDE (px), px, unnest(range(greatest(y0, 0), least(y0 + w - 1, 119) + 1)) AS py FROM (SELECT *, unnest(range(greatest(x0, 0), least(x0 + w - 1, 119) + 1)) AS px FROM p WHERE x0 + w > 0 AND y0 + w > 0 AND x0 < 120 AND y0 < 120)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY last_update_ts DESC, level, ix DESC, iy DESC) AS n FROM s)
+  SELECT px, py, CAST(CASE WHEN px = x0 + w - 1 OR py = y0 + w - 1 THEN floor(semantic_label * 30 * 55e-2) ELSE semantic_label * 30 END AS INT) AS shade FROM r WHERE n = 1"""
+)
+def paint_outlined(t):
+    cells = grid.dense_cells(t).withColumn("shade", F.col("semantic_label") * 30)
+    return raster.painted(cells, ["shade"], 0.3, 0.2, 0.6, 0.01, 5, ["last_update_ts"])
+
+
+@query(f"{_DENSE} SELECT ix, iy, level, CAST(semantic_label AS INT) AS semantic_label, h_min, h_max, hit_count, last_update_ts, CASE level WHEN 0 THEN 5e-2 WHEN 1 THEN 1e-1 ELSE 5e-1 END AS cell_size FROM cells")
+def cell_snapshot(t):
+    place = _folder(t, "snapshot")
+    clouds.write_cells(fold.with_size(classify.classify(grid.dense_cells(t), grid.GROUND)), place)
+    return t.spark.read.parquet(place).select("ix", "iy", "level", "semantic_label", "h_min", "h_max", "hit_count", "last_update_ts", "cell_size")
+
+
+@query(f"WITH {duck('scene')} SELECT sensor_id, frame_ts, det_id, {sql6('cx + dx * (frame_ts * 1e-1)', 'cx')}, {sql6('cy - dy * (frame_ts * 1e-1)', 'cy')} FROM scene")
+def constant_velocity(t):
+    moved = simulate.at_time(t("scene").withColumn("vx", F.col("dx")).withColumn("vy", -F.col("dy")), F.col("frame_ts") * 0.1)
+    return moved.select("sensor_id", "frame_ts", "det_id", r6("cx"), r6("cy"))
+
+
 # Scans, messages and shards --------------------------------------------------------------------------------------
 
 @query(

@@ -301,7 +301,7 @@ def _fed(t, name: str, parts: int) -> live.LiveMap:
 
 @query(f"{_LOOP} SELECT level, ix, iy, hit_count, obstacle_flag, {sql6('traversability', 'traversability')}, last_update_ts, carve_ts FROM judged_late WHERE {_near(0, 0, 20)}")
 def frame_loop(t):
-    out = _fed(t, "passes", 7).at(LOOP_FRAME, 0.0, 0.0, GROUND)
+    out = _fed(t, "passes", 3).at(LOOP_FRAME, 0.0, 0.0, GROUND)
     return out.select("level", "ix", "iy", big("hit_count"), "obstacle_flag", r6("traversability"), "last_update_ts", "carve_ts")
 
 
@@ -325,7 +325,7 @@ def free_space_raster(t):
 
 @query(f"WITH {duck('points', 'poses')}, {_gated('points', 'poses')}, {_RESTARTED} SELECT {_FOLDED} FROM cells")
 def streaming_map_update(t):
-    return _folded(_fed(t, "points", 3).cells().where("hit_count > 0"))
+    return _folded(_fed(t, "points", 2).cells().where("hit_count > 0"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS cells, true AS forgotten")
@@ -342,4 +342,4 @@ def map_reset(t):
   {_spread(0.0, 0.0, 20.0, 0.2)} SELECT px, py, max(cost) AS cost, {LOOP_FRAME} AS frame_ts FROM pixels GROUP BY px, py"""
 )
 def cost_grid_publish(t):
-    return _fed(t, "passes", 2).publish(LOOP_FRAME, 0.0, 0.0, GROUND, 20.0, 0.2).select("px", "py", "cost", "frame_ts")
+    return _fed(t, "passes", 1).publish(LOOP_FRAME, 0.0, 0.0, GROUND, 20.0, 0.2).select("px", "py", "cost", "frame_ts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import asof, clusters, fold, rangeimage, raster
 from . import grid
 from .grid import _DENSE, _WIDE, _gated, _index, _spread
@@ -49,7 +50,7 @@ def paint_order(t):
 @query(f"WITH {duck('detections')} SELECT det_id, x - dx / 2 AS x0, y - dy / 2 AS y0, x + dx / 2 AS x1, y + dy / 2 AS y1, {sql6('sqrt(dx * dx + dy * dy)', 'speed')}, {sql6('x + dx * 15e-1', 'ahead_x')} FROM detections")
 def box_views(t):
     x, y, dx, dy = (F.col(c) for c in ("x", "y", "dx", "dy"))
-    return t("detections").select("det_id", (x - dx / 2).alias("x0"), (y - dy / 2).alias("y0"), (x + dx / 2).alias("x1"), (y + dy / 2).alias("y1"), F.hypot(dx, dy).alias("speed"), (x + dx * 1.5).alias("ahead_x")).select("det_id", "x0", "y0", "x1", "y1", r6("speed"), r6("ahead_x"))
+    return t("detections").select("det_id", (x - dx / 2).alias("x0"), (y - dy / 2).alias("y0"), (x + dx / 2).alias("x1"), (y + dy / 2).alias("y1"), G.planar_speed(dx, dy).alias("speed"), (x + dx * 1.5).alias("ahead_x")).select("det_id", "x0", "y0", "x1", "y1", r6("speed"), r6("ahead_x"))
 
 
 @query(
@@ -94,11 +95,12 @@ def evidence_window(t):
   SELECT track, {sql6('list_reduce(v, lambda a, b: 6e-1 * a + 4e-1 * b)', 'vx')}, len(v) AS n FROM l"""
 )
 def velocity_smoothing(t):
+    # the smoothed value is a weighted sum, so no track is gathered in a row
     w = Window.partitionBy("track").orderBy("frame_ts")
     steps = t("detections").withColumn("track", F.col("det_id") % 30).withColumn("v", F.col("x") - F.lag("x").over(w)).where("v is not null")
-    ordered = steps.groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_ts", "v"))), lambda s: s["v"]).alias("v"))  # a track's frames
-    smooth = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.element_at("v", 1), lambda a, b: 0.6 * a + 0.4 * b)
-    return ordered.select("track", smooth.alias("vx"), F.size("v").cast("long").alias("n")).select("track", r6("vx"), "n")
+    placed = steps.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("track")))
+    weight = F.when(F.col("i") == 1, 1.0).otherwise(0.4) * F.pow(F.lit(0.6), F.col("n") - F.col("i"))
+    return placed.groupBy("track").agg(F.sum(weight * F.col("v")).alias("vx"), F.count("*").alias("n")).select("track", r6("vx"), "n")
 
 
 @query(

@@ -29,13 +29,13 @@ def classify_extent(t):
     return t("extents").select("id", kind.alias("obj_class"), sure.alias("confidence")).select("id", "obj_class", r6("confidence"))
 
 
-_BOX = "WITH " + duck("detections") + ", b AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(dx) OVER w AS dx2, lead(dy) OVER w AS dy2 FROM (SELECT * REPLACE (x / 20e0 AS x, y / 20e0 AS y) FROM detections) WINDOW w AS (PARTITION BY sensor_id ORDER BY det_id))"
+_BOX = "WITH " + duck("detections") + ", b AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(dx) OVER w AS dx2, lead(dy) OVER w AS dy2 FROM (SELECT * REPLACE (x / 20e0 AS x, y / 20e0 AS y) FROM detections) WINDOW w AS (PARTITION BY sensor_id, frame_ts // 10 ORDER BY det_id))"
 
 
 def _next_boxes(t):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("sensor_id").orderBy("det_id")
+    w = Window.partitionBy("sensor_id", F.expr("frame_ts div 10")).orderBy("det_id")  # a stretch of a sensor's frames
     d = t("detections").withColumn("x", F.col("x") / 20.0).withColumn("y", F.col("y") / 20.0)
     return d.select("*", *(F.lead(c).over(w).alias(f"{c}2") for c in ("x", "y", "dx", "dy"))).where("x2 is not null")
 
