@@ -75,7 +75,7 @@ _MOVING = """mv(sensor_id, drive, det_id, f, f1, x, vx, hits, streak, sure, seen
 
 @query(
     f"""WITH RECURSIVE {duck('scene')}, {_SPAN}, {_EVIDENCE}, {_MOVING}, n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, drive ORDER BY f0, det_id) AS track_id FROM span)
-  SELECT mv.sensor_id, mv.drive, f AS frame_ts, track_id, mv.det_id, {sql6('x', 'cx')}, {sql6('vx', 'vx')}, f - f0 + 1 AS age FROM mv JOIN n ON n.sensor_id = mv.sensor_id AND n.drive = mv.drive AND n.det_id = mv.det_id WHERE seen AND sure"""
+  SELECT mv.sensor_id, mv.drive, f AS frame_ts, track_id, mv.det_id, {sql6('x', 'cx')}, {sql6('vx', 'vx')}, CAST(f - f0 + 1 AS BIGINT) AS age FROM mv JOIN n ON n.sensor_id = mv.sensor_id AND n.drive = mv.drive AND n.det_id = mv.det_id WHERE seen AND sure"""
 )
 def mover_scene(t):
     return tracking.movers(t("scene")).select("sensor_id", "drive", "frame_ts", "track_id", "det_id", r6("cx"), r6("vx"), "age")

@@ -37,7 +37,7 @@ def scene(spark: SparkSession, boxes: DataFrame, frames: int, dt: float = 0.1, d
     """Returns from the faces of boxes that are turned to a sensor at the origin: density falls with the distance, rays
     above or below the field of view are lost, and nearer boxes hide farther ones of the same azimuth."""
     clock = spark.range(1, frames + 1).select(F.col("id").cast("int").alias("frame_ts"))
-    placed = at_time(clock.join(boxes, F.lit(True)), (F.col("frame_ts") - 1) * dt)  # every frame shows every box
+    placed = at_time(clock.crossJoin(boxes), (F.col("frame_ts") - 1) * dt)  # all pairs by design: every frame shows every box
     faces = placed.withColumn("side", F.explode(F.array(*map(F.lit, (-1, 1))))).withColumn("axis", F.explode(F.array(F.lit("x"), F.lit("y"))))
     half = F.when(F.col("axis") == "x", F.col("sx")).otherwise(F.col("sy")) / 2
     centre = F.when(F.col("axis") == "x", F.col("cx")).otherwise(F.col("cy"))
@@ -104,5 +104,5 @@ def drive_scan(spark: SparkSession, columns: int = 1024) -> DataFrame:
 def drive(spark: SparkSession, frames: int, columns: int = 1024, step: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(points, poses) of a drive: the scan as seen from each place, a step further every frame."""
     at = spark.range(1, frames + 1).select(F.col("id").cast("int").alias("frame_ts"), ((F.col("id") - 1) * step).alias("robot_x"), F.lit(0.0).alias("robot_y"), F.lit(-DRIVE_MOUNT).alias("ground_z"))
-    seen = at.select("frame_ts", "robot_x").join(drive_scan(spark, columns))  # every frame sees the whole scan
+    seen = at.select("frame_ts", "robot_x").crossJoin(drive_scan(spark, columns))  # all pairs by design: every frame sees the whole scan
     return seen.select("frame_ts", F.col("idx").alias("seq"), (F.col("x") + F.col("robot_x")).alias("x"), "y", "z", "label"), at
