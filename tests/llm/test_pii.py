@@ -50,6 +50,23 @@ def test_trees_held_out():
     assert sum(accepted) / len(accepted) > 0.95 and sum(accepted) / sum(y for _, y in right) > 0.7
 
 
+def test_all_spans_by_brute_force(real):
+    """The likeliest candidates first, each kept if it meets nothing that stays."""
+    import random
+
+    model, rng = pii.trained(), random.Random(3)
+    made = ["".join(rng.choice((s, s, rng.choice(TEXTS) or "")) for _ in range(4)) for s, _, _ in pii.samples(150, seed=5)]
+    for t in [*(x for x in TEXTS if x), *made, *(r.text or "" for r in real.collect())]:
+        base_found, own = pii.all_spans(t, model)
+        taken, want = [(a, b) for a, _, b in base_found], []
+        likely = [(model.chance(pii.features(t, c)), c) for c in pii.candidates(t)]
+        for p, (a, k, b) in sorted(likely, key=lambda x: (-x[0], x[1])):
+            if p >= model.threshold[k] and not any(a < e and s < b for s, e in taken):
+                taken.append((a, b))
+                want.append((a, k, b))
+        assert own == want
+
+
 def test_thresholds():
     """Calibration decides: no kind with a generator takes all its candidates, and each has a threshold."""
     cuts = pii.trained().threshold

@@ -41,6 +41,29 @@ def test_scan(spark, real, odd, no_docs, sf):
     assert rows(secrets.scan(no_docs, table)) == []
 
 
+def whole(t, ratios):
+    """All spans: those of the base, and the runs that hold a random stretch and meet none of them."""
+    found = [(m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(KINDS.values()) for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
+
+    def random_like(run):
+        r = [ratios[ord(a) * 128 + ord(b)] for a, b in zip(run, run[1:])]
+        n = secrets.MIN_RUN - 1
+        return any(sum(x) / len(x) >= secrets.THRESHOLD for x in (r, *(r[i : i + n] for i in range(len(r) - n + 1))))
+
+    runs = [(m.start(), 3, m.end()) for m in re.finditer(secrets.RUN, t or "") if random_like(m[0])]
+    more = [r for r in runs if not any(a < r[2] and r[0] < b for a, _, b in found)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found + more))
+
+
+def test_all_spans(spark, real, odd, sf):
+    """The method's spans too, against the same table read in plain Python."""
+    table = secrets.train(real, spark.read.parquet(f"{sf}/labels.parquet"))
+    mine = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "path/to/kZ8qX2vW9rT4yB7nM3cL6pD1/file and a_b-c=" + "q" * 40, "token=kZ8qX2vW9rT4yB7nM3cL6pD1/more/of/it/kZ8qX2vW9rT4yB7nM3cL6pD1"])], "doc_id long, text string")
+    for docs in (real, odd, mine):
+        want = {(r.doc_id, whole(r.text, table)) for r in docs.select("doc_id", "text").collect()}
+        assert {(r[0], r[5]) for r in rows(secrets.scan(docs, table))} == want
+
+
 def test_models(spark, real, sf):
     """Held-out samples: random strings of other numbers, and words joined of documents without a label."""
     labels = spark.read.parquet(f"{sf}/labels.parquet")
