@@ -221,7 +221,7 @@ def _found(whole: Entries, compared: Entries, alone: np.ndarray, lengths: np.nda
         number = ((rows["flags"] & UNIT) // UNIT).astype(np.int32)
         low = rows["at"].astype(np.int64)
         common = {
-            "bucket": (rows["th"].view(np.uint64) & _U(buckets - 1)).astype(np.int32), "doc_id": pa.array(rows["doc"], mask=rows["flags"] & NO_ID > 0), "th": rows["th"], "unit": number,
+            "bucket": (tk.mix(rows["doc"].view(np.uint64)) & _U(buckets - 1)).astype(np.int32), "doc_id": pa.array(rows["doc"], mask=rows["flags"] & NO_ID > 0), "th": rows["th"], "unit": number,
             "low": low, "high": low + rows["windows"] - 1 + lengths[number],
         }
         if kind == WANTED:
@@ -544,7 +544,9 @@ def _windows(kinds: tuple[Unit, ...]):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    """The documents with th: 0 where ids tell them apart, else the code of the text, for ids that have several."""
+    apart = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return docs.select("doc_id", "text", (F.lit(0).cast("long") if apart else F.xxhash64("text")).alias("th"))
 
 
 def _beside(docs: DataFrame, rows: DataFrame, items: str, how: str) -> DataFrame:
@@ -575,10 +577,10 @@ def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(out, pa.list_(pa.struct([("unit", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])))], names=["doc_id", "th", "spans"])
 
 
-def spans(docs: DataFrame, kinds: tuple[Unit, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, spans): ranges of symbols of each unit that repeat, apart from each other; th is the code of the
-    text.  Documents without any have no row."""
-    docs = _keyed(narrow(docs, id_col, text_col).where(F.octet_length("text") >= min(u.length if u.size == 1 else 2 * u.length - 1 for u in kinds)))
+def spans(docs: DataFrame, kinds: tuple[Unit, ...]) -> DataFrame:
+    """(doc_id, th, spans): ranges of symbols of each unit that repeat, apart from each other.  Documents, which _keyed
+    gave, have no row without any."""
+    docs = docs.where(F.octet_length("text") >= min(u.length if u.size == 1 else 2 * u.length - 1 for u in kinds))
     spark, since = docs.sparkSession, mark()
     folder = in_release(spark, f"{shared_dir(spark)}/pointloom-columns-{uuid.uuid4().hex}")
     buckets = _buckets(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
@@ -641,5 +643,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col:
     """One row per document: bytes, bytes and maximal runs removed, the digest of what is left and its bytes; the runs
     of words that it shares with another document, and whether there is any."""
     texts = _keyed(narrow(docs, id_col, text_col))
-    by_doc = spans(docs, units(length, passage), id_col, text_col)
+    by_doc = spans(texts, units(length, passage))
     return _beside(texts, by_doc, "spans", "left").select("doc_id", "text", "spans").mapInArrow(_removed, SCHEMA)
