@@ -310,14 +310,15 @@ class _Carved:
 
         All rays take their k-th step together: the longer axis moves, the other one when it has fallen behind by more
         than half a cell.  Rays are sorted by length, so those that go on are the first."""
-        if not self._room(int(ends[:, 0::2].min()), int(ends[:, 0::2].max()), int(ends[:, 1::2].min()), int(ends[:, 1::2].max())):
+        x0, x1, y0, y1 = int(ends[:, 0::2].min()), int(ends[:, 0::2].max()), int(ends[:, 1::2].min()), int(ends[:, 1::2].max())
+        if not self._room(x0, x1, y0, y1):
             return False
         dx, dy = ends[:, 0] - ends[:, 2], ends[:, 1] - ends[:, 3]
         length = np.maximum(abs(dx), abs(dy))
         order = np.argsort(-length, kind="stable")
         dx, dy, length = dx[order], dy[order], length[order].astype(np.int32)
-        width = self.first.shape[1]
-        at = ((ends[order, 2] - self.low[0]) * width + ends[order, 3] - self.low[1]).astype(np.int32)
+        width = y1 - y0 + 1  # of what these rays pass
+        at = ((ends[order, 2] - x0) * width + ends[order, 3] - y0).astype(np.int32)
         in_x, in_y = (np.sign(dx) * width).astype(np.int32), np.sign(dy).astype(np.int32)
         steep = abs(dy) > abs(dx)
         major, minor = np.where(steep, in_y, in_x), np.where(steep, in_x, in_y)
@@ -325,7 +326,7 @@ class _Carved:
         behind = np.zeros(len(length), np.int32)
         first, last = self.first.reshape(-1), self.last.reshape(-1)
         ends_at = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right") if len(length) else ()
-        seen = np.zeros(first.shape, bool)
+        seen = np.zeros((x1 - x0 + 1) * width, bool)
         for n in ends_at:
             b = behind[:n]
             b += twice[:n]
@@ -334,6 +335,7 @@ class _Carved:
             at[:n] += major[:n] + falls * minor[:n]
             seen[at[:n]] = True
         cells = np.flatnonzero(seen)
+        cells = (cells // width + x0 - self.low[0]) * self.first.shape[1] + cells % width + y0 - self.low[1]
         first[cells] = np.minimum(first[cells], frame)
         last[cells] = np.maximum(last[cells], frame)
         return True
